@@ -94,3 +94,48 @@ marked AS (SELECT l.*, coalesce(l.doc_id <> c.first_doc, false) AS gone FROM key
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth, by inner product."""
+    from tidemark.llm.topk import exact_top_k, quantized
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("vector"))
+    found = exact_top_k(vectors, vectors.where("id % 50 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLE["op6_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    from tidemark.llm.archives import archived
+
+    rows = archived(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op7_archives"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, payload_bytes, max(page_id) AS kept, count(*) AS n FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, p.payload_bytes, p.payload_digest, CASE WHEN n > 1 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id <> kept THEN kept END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest, payload_bytes)"""
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and how like it are its edited text's and the next document's."""
+    from tidemark.llm.edit_embedding import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
