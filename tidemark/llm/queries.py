@@ -139,3 +139,45 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.edit_embedding import fingerprint
 
     return fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    from tidemark.llm.extraction import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+ORACLE["op4_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x:
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))),
+  lambda x: x <> '') AS parts FROM a)
+SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10))) AS n_chars FROM b"""
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; sources stand for hosts."""
+    from tidemark.llm.language import identify
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "lang", F.round("posterior", 6).alias("posterior"), "declared", "accepted")
+
+
+@query
+def op9_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language, with what its markup, suffix and host say."""
+    from tidemark.llm.language import identify_pages
+
+    found = identify_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "lang", F.round("posterior", 6).alias("posterior"), "declared", "accepted")
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    from tidemark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
