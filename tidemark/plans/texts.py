@@ -1 +1,167 @@
-"""Queries."""
+"""Text queries: lexicons, keywords, bodies, URLs and dates over documents and pages.
+
+The invented text holds none of the default words, so lexicons are drawn from it.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import dates, text, urls
+from tidemark.operators import news
+from tidemark.plans.registry import query, rounded
+from tidemark.sources import bindings as b
+from tidemark.sources import feeds
+from tidemark.sources.bindings import ARTICLES, RUNS
+
+GOOD, BAD, WEIGHTY = ["tion", "ment", "ung", "ado"], ["the", "les", "sch", "que"], ["ing", "eau", "keit", "ción"]
+
+
+def contains_sql(words: list[str]) -> str:
+    """Distinct words held, in SQL."""
+    return " + ".join(f"contains(lower(t), '{w}')::INT" for w in words)
+
+
+COMPACT = r"trim(regexp_replace({}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+ANALYSIS_SQL = f"""{ARTICLES}, c AS (SELECT article_id, {COMPACT.format("substr(title || '. ' || excerpt, 1, 6500)")} AS t FROM articles),
+n AS (SELECT *, {contains_sql(GOOD)} AS pos, {contains_sql(BAD)} AS neg, {contains_sql(WEIGHTY)} AS imp FROM c),
+m AS (SELECT *, pos - neg AS raw, CASE WHEN imp >= 3 THEN '높음' WHEN imp >= 1 THEN '보통' ELSE '낮음' END AS materiality,
+  CASE WHEN regexp_matches(lower(t), 'earnings|revenue|guidance|forecast') THEN '실적·가이던스' WHEN regexp_matches(lower(t), 'contract|order') THEN '수주·사업계약' WHEN regexp_matches(lower(t), 'regulation|lawsuit|probe') THEN '규제·법률' WHEN regexp_matches(lower(t), 'investment|partnership') THEN '투자·파트너십' ELSE '산업·시장동향' END AS event_type FROM n)"""
+
+
+@query(f"""WITH {ANALYSIS_SQL} SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score,
+  least(100, 48 + least(imp * 5, 19))::INT AS relevance, materiality, event_type,
+  CASE WHEN event_type = '실적·가이던스' THEN '중기(1~2분기)' WHEN event_type = '수주·사업계약' THEN '장기(1년+)' WHEN materiality = '낮음' THEN '당일' ELSE '단기(1~4주)' END AS impact_horizon,
+  round(least(100, 52 + least(length(t) / 45.0::DOUBLE, 18) + imp * 2), 6) AS confidence,
+  floor(greatest(-8, least(8, raw * CASE materiality WHEN '높음' THEN 2.4::DOUBLE WHEN '보통' THEN 1.5 ELSE 0.7 END)) + 0.5)::INT AS score_adjustment FROM m""")
+def t4_analyze_news(spark, d):
+    """The rule-based reading of articles."""
+    a = b.articles(spark, d).select("article_id", F.substring(F.concat("title", F.lit(". "), "excerpt"), 1, 6500).alias("t"))
+    out = news.analyzed(a, F.col("t"), positive=GOOD, negative=BAD, material=WEIGHTY)
+    out = out.select("article_id", "sentiment", F.col("sentiment_score").cast("int").alias("sentiment_score"), F.col("relevance").cast("int").alias("relevance"), "materiality", "event_type", "impact_horizon", F.col("confidence").cast("double").alias("confidence"), "score_adjustment")
+    return rounded(out, ["confidence"])
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS if w.isascii())
+
+
+@query(f"""WITH {ARTICLES}, t AS (SELECT article_id, unnest(regexp_split_to_array(title, '[^0-9A-Za-z가-힣%]+')) AS token, 4 AS w FROM articles UNION ALL SELECT article_id, unnest(regexp_split_to_array(body, '[^0-9A-Za-z가-힣%]+')), 1 FROM articles),
+k AS (SELECT article_id, token, sum(w) AS w FROM t WHERE length(token) BETWEEN 2 AND 20 AND lower(token) NOT IN ({STOP_SQL}) AND NOT regexp_matches(token, '^[0-9]+$') AND NOT regexp_matches(token, '^[A-Za-z]{{1,3}}$') GROUP BY 1, 2 HAVING sum(w) > 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY w DESC, token) AS n FROM k)
+SELECT article_id, coalesce(string_agg(token, ',' ORDER BY n) FILTER (n <= 8), '') AS keywords FROM articles LEFT JOIN n USING (article_id) GROUP BY 1""")
+def t8_keywords(spark, d):
+    """Keywords of articles."""
+    return news.keywords(b.articles(spark, d)).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query(f"WITH {ARTICLES} SELECT article_id, sha256(title || chr(10) || excerpt) AS content_hash, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS title_key, CASE WHEN length(body) > length(excerpt) THEN length(body) ELSE length(excerpt) END AS body_chars FROM articles")
+def t10_hashes(spark, d):
+    """Content hash, title key, choice of body."""
+    a = b.articles(spark, d)
+    return a.select("article_id", text.content_hash(F.col("title"), F.col("excerpt")).alias("content_hash"), text.title_key(F.col("title")).alias("title_key"), F.length(news.choose_body(F.col("body"), F.col("excerpt"))).cast("long").alias("body_chars"))
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id, len(regexp_extract_all(lower(' ' || regexp_replace(body, '([^A-Za-z0-9])', '\\1\\1', 'g') || ' '), '[^a-z0-9]the[^a-z0-9]')) AS n FROM articles""")
+def t6_occurrences(spark, d):
+    """Whole-word occurrences of a Latin alias."""
+    return b.articles(spark, d).select("article_id", text.occurrences(F.col("body"), "the").cast("long").alias("n"))
+
+
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<(?:script)\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g') AS h FROM pages)
+SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&copy;', chr(1) || 'copy;'), '&middot;', chr(1) || 'middot;'), '&lt;', '<'), '&quot;', '"'), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')), 1, 6000) AS t FROM c""".replace("AS t FROM c", "AS t0 FROM c").replace("SELECT page_id, substr", "SELECT page_id, replace(substr").replace("6000) AS t0", "6000), chr(1), '&') AS text"))
+def t1_clean_text(spark, d):
+    """Pages as clean text."""
+    return b.table(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
+
+
+@query()
+def io6_extract_body(spark, d):
+    """IO6: article bodies of pages."""
+    body = text.extract_body(F.col("html"))
+    return b.table(spark, d, "pages").select("page_id", body.alias("body"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+s AS (SELECT page_id, regexp_extract(u, '^(https?://[^/?]+)', 1) AS o, regexp_extract(u, '^https?://[^/?]+([^?]*)', 1) AS p, regexp_extract(u, '\?(.*)$', 1) AS q FROM p),
+k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('ref', 'section', 'from', 'cp', 'sid')), '&') AS r FROM s)
+SELECT page_id, o || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN r <> '' THEN '?' || r ELSE '' END AS url, CASE WHEN regexp_matches(q, '(^|&)page=\d{1,3}(&|$)') THEN regexp_extract(q, '(?:^|&)page=(\d{1,3})', 1)::INT WHEN regexp_matches(p, '/\d{1,3}/?$') THEN regexp_extract(p, '/(\d{1,3})/?$', 1)::INT ELSE 1 END AS page FROM k""")
+def x1_canonical_url(spark, d):
+    """Canonical URLs and page numbers."""
+    u = F.col("url")
+    return b.table(spark, d, "pages").select("page_id", urls.canonical_url(u).alias("url"), urls.page_number(u).alias("page"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^(10\.|localhost)') THEN 'inner' END AS error FROM pages""")
+def f11_validate_source_url(spark, d):
+    """which URLs may be sources."""
+    return b.table(spark, d, "pages").select("page_id", urls.validate_source_url(F.col("url"))["error"].alias("error"))
+
+
+@query(f"""WITH {RUNS} SELECT run_id, epoch_ms(to_timestamp((floor(epoch(started_at) / (step * 60)) + 1) * step * 60)::TIMESTAMP) AS next_at, strftime(started_at + INTERVAL 9 HOUR, '%Y-%m-%d') AS day
+FROM (SELECT *, greatest(5, least(1440, fetched_count)) AS step FROM runs WHERE fetched_count > 0)""")
+def x7_next_runs(spark, d):
+    """The next crawl by interval, and the day in Korea."""
+    r = b.runs(spark, d).where("fetched_count > 0")
+    t = F.col("started_at")
+    return r.select("run_id", F.unix_millis(dates.next_crawl_at(F.lit(9), F.col("fetched_count"), t)).alias("next_at"), dates.date_kst(t).cast("string").alias("day"))
+
+
+@query("""SELECT o_orderkey AS id, epoch_ms(make_timestamp(year(o_orderdate), month(o_orderdate), 1, 0, 0, 0) + to_days((o_orderkey % 31)::INT) + to_hours((o_orderkey % 24)::INT) - INTERVAL 9 HOUR) AS t FROM orders""")
+def x3_visible_dates(spark, d):
+    """Dates in visible text, days beyond a month's end run over."""
+    o = b.table(spark, d, "orders")
+    day = F.col("o_orderdate").cast("timestamp")
+    shown = F.format_string("입력 %d.%d.%d %02d:00 수정", F.year(day), F.month(day), (F.col("o_orderkey") % 31 + 1).cast("int"), (F.col("o_orderkey") % 24).cast("int"))
+    early = F.year(day) < 2000
+    shown = F.when(early, F.format_string("%04d-%02d-%02dT%02d:00:00+09:00", F.year(day), F.month(day), F.lit(1), (F.col("o_orderkey") % 24).cast("int"))).otherwise(shown)
+    t = dates.parse_visible_date(shown, F.lit(datetime(2024, 1, 1)).cast("timestamp"))
+    t = F.when(early, t + F.make_dt_interval(days=(F.col("o_orderkey") % 31).cast("int"))).otherwise(t)
+    return o.select(F.col("o_orderkey").alias("id"), F.unix_millis(t).alias("t"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents)
+SELECT doc_id, substr(trim(regexp_replace(title, '\s+', ' ', 'g')), 1, 500) AS title, 'https://news.example.com/a/' || doc_id AS url, epoch_ms(TIMESTAMP '2024-01-01' + to_minutes(doc_id) - INTERVAL 9 HOUR) AS published_at FROM w WHERE trim(title) <> '' AND NOT contains(title, '&') AND NOT contains(title, '<')""")
+def io2_parse_feed(spark, d):
+    """IO2, IO3: documents written as one-item feeds, and read again."""
+    doc = b.table(spark, d, "documents").withColumn("title", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    doc = doc.where("trim(title) <> '' and not contains(title, '&') and not contains(title, '<')")
+    day = F.date_format(F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int")), "dd MMM yyyy HH:mm:ss")
+    body = F.concat(F.lit("<rss><channel><item><title><![CDATA["), "title", F.lit("]]></title><link>/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x&amp;section=y</link><pubDate>Mon, "), day, F.lit(" +0900</pubDate></item></channel></rss>"))
+    pages = doc.select(F.lit("https://news.example.com/rss").alias("url"), body.alias("body")).where(feeds.looks_like_feed(F.col("body")))
+    items = feeds.parse_feed(pages, F.lit(datetime(2024, 6, 1)).cast("timestamp"))
+    return items.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "title", "url", F.unix_millis("published_at").alias("published_at"))
+
+
+@query()
+def io4_parse_list(spark, d):
+    """IO4, IO5: items and links of pages, given a date before each anchor."""
+    dated = F.regexp_replace("html", "<li><a ", '<li><span class="time">2024.01.15 10:00</span><a title="a title of twelve letters" ')
+    items = feeds.parse_news_list(b.table(spark, d, "pages").select("url", dated.alias("html")), F.lit(datetime(2024, 1, 16)).cast("timestamp"))
+    return items.select("page", "title", "url", F.unix_millis("published_at").alias("published_at"))
+
+
+@query(r"""WITH o AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages)
+SELECT page_id, NOT (regexp_matches(url, '^https?://[^/?#]+/fr/')) AS allowed FROM pages""")
+def f12_robots(spark, d):
+    """which pages robots files let through, if each forbids /fr/ but for other agents."""
+    pages = b.table(spark, d, "pages").select("page_id", "url")
+    robots = pages.select(F.lower(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)).alias("origin")).distinct().withColumns({"status": F.lit(200), "text": F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nAllow: /f\n")})
+    return feeds.robots_filter(pages, feeds.robots_rules(robots)).select("page_id", "allowed")
+
+
+@query()
+def t5_match_symbols(spark, d):
+    """Symbols mentioned, from a dictionary drawn from the text."""
+    entries = [("AAA", "The Company", "US", "one", ["the", "thethe"]), ("BBB", "Der", "KR", "two", ["der", "schen"]), ("CCC", "Que", "US", "one", ["que", "les"])]
+    return news.article_symbols(news.match_symbols(b.articles(spark, d), entries, ["thst"]))
+
+
+@query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || excerpt, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")} SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score, materiality FROM m""")
+def t9_rule_insight(spark, d):
+    """Insights by rules; replies without JSON leave them as they are."""
+    a = news.match_symbols(b.articles(spark, d), [("AAA", "The Company", "US", "one", ["the"])])
+    base = news.rule_insight(a, news.keywords(b.articles(spark, d)), GOOD, BAD, WEIGHTY)
+    replies = b.table(spark, d, "conversations").where("role = 'assistant'").groupBy((F.col("conv_id") % 100).alias("article_id")).agg(F.min("text").alias("reply")).withColumns({"engine": F.lit("llm"), "model": F.lit("m")})
+    return news.merge_llm_insight(base, replies).select("article_id", "sentiment", "sentiment_score", "materiality")
