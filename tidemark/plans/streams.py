@@ -1 +1,46 @@
-"""Queries."""
+"""Streaming queries, run over the events that are there and given as batches."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query
+from tidemark.streaming import jobs
+
+
+def events(spark, d):
+    """events as a stream."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("symbol"), "event_type")
+
+
+def folder(spark) -> str:
+    """A new folder in the shared one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id::VARCHAR AS symbol, event_type, count(DISTINCT 1) AS n FROM events GROUP BY 1, 2")
+def st2_unique_items(spark, d):
+    """ST1, ST2: the first event of each user and kind within the window, which here spans all."""
+    s = events(spark, d).select("symbol", "event_type", F.col("ts").alias("published_at"), F.concat_ws("/", "symbol", "event_type").alias("canonical_url"))
+    out = jobs.drained(jobs.unique_items(s, window="1000 days"), folder(spark))
+    return out.groupBy("symbol", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts::TIMESTAMP) + INTERVAL 30 MINUTE) AS next_run, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 30 MINUTE, ts::TIMESTAMP) + INTERVAL 30 MINUTE <= (SELECT max(ts)::TIMESTAMP - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+def st5_cadence(spark, d):
+    """ST5: counts by half hours that have closed."""
+    out = jobs.drained(jobs.cadence_counts(events(spark, d), 30, "event_type"), folder(spark))
+    return out.select(F.unix_millis("next_run").alias("next_run"), "event_type", "n")
+
+
+@query("""WITH w AS (SELECT user_id::VARCHAR AS symbol, unnest(range(time_bucket(INTERVAL 12 HOUR, ts::TIMESTAMP) + INTERVAL 12 HOUR, time_bucket(INTERVAL 12 HOUR, ts::TIMESTAMP) + INTERVAL 60 HOUR, INTERVAL 12 HOUR)) AS until FROM events)
+SELECT epoch_ms(until) AS until, symbol, count(*) AS n FROM w WHERE until <= (SELECT max(ts)::TIMESTAMP - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+def st6_trailing_mentions(spark, d):
+    """ST6: mentions within 48 hours, every twelve."""
+    out = jobs.drained(jobs.trailing_mentions(events(spark, d), "48 hours", "12 hours"), folder(spark))
+    return out.select(F.unix_millis("until").alias("until"), "symbol", "n")
