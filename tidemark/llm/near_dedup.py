@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BLANKS, classes, cut_without_loss, packed, saved, small
+from tidemark.llm.shared import BLANKS, components, cut_without_loss, packed, saved, small
 
 #: Words of a shingle, similarity from which documents are near duplicates, bands and samples in a band.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 3
 #: Share of documents from which on a shingle's document frequency is counted; below it all shingles weigh alike, the most. It bounds the table of
 #: counted shingles: at most (mean shingles of a document) / COMMON have that frequency.
 COMMON = 1 / 1000
+#: What idf adds to a shingle's weight of one, at most. It is kept small: within a large group of copies the shared shingles are the common ones.
+IDF = 0.1
 #: Documents of a window in the search for common shingles.
 WINDOW = 5000
 PRIME, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -101,12 +103,12 @@ def common_shingles(docs: DataFrame, text: Column, common: float = COMMON) -> tu
 
 
 def weigh(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, weights) of a document: how often a shingle occurs times one plus its idf, from 1 for one in all documents to 2 for a rare one."""
+    """(shingles, weights) of a document: how often a shingle occurs times one plus a share of its idf: 1 for one in all documents, 1 + IDF for a rare one."""
     h, tf = shingles(words)
-    weight = tf * 2.0
+    weight = tf * (1 + IDF)
     if len(table[0]):
         at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-        weight = np.where(table[0][at] == h, tf * (1 + table[1][at]), weight)
+        weight = np.where(table[0][at] == h, tf * (1 + IDF * table[1][at]), weight)
     return h, weight
 
 
@@ -122,36 +124,47 @@ def gamma_table(size: int = 1 << 16) -> np.ndarray:
 
 
 class Sampler:
-    """Improved consistent weighted sampling: documents share a sample with the probability of their weighted Jaccard similarity."""
+    """Improved consistent weighted sampling: documents share a sample with the probability of their weighted Jaccard similarity.
+
+    For a shingle of weight w and each sample, r and c are gamma variables and beta is uniform, all by hash. With t = floor(log w / r + beta), the shingle of least
+    log c - r * (t - beta + 1) is picked, together with t. Weights are in units of a rare shingle's, for which t = 0, so most shingles need two look-ups:
+    a hash picks one of 65536 draws of (r, beta), and one of as many quantiles of c.
+    """
 
     def __init__(self, samples: int = BANDS * ROWS):
-        self.seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * PRIME)
-        self.r = gamma_table().astype(np.float32)
-        self.log_c = np.log(gamma_table()).astype(np.float32)
+        self.seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * PRIME)[:, None]
+        order = np.random.default_rng(20240607).permutation(1 << 16)
+        self.r, self.beta = gamma_table(), (order + 0.5) / (1 << 16)
+        self.log_c, self.least = np.log(gamma_table()).astype(np.float32), (self.r * (1 - self.beta)).astype(np.float32)
+
+    def part(self, h: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least value, pick) of each sample over a document's shingles or some of them."""
+        x = (h[None, :] ^ self.seeds) * MIX1
+        x ^= x >> np.uint64(32)
+        x *= MIX2
+        bits = x.view(np.uint16).reshape(*x.shape, 4)
+        at = bits[..., 3]
+        value = self.log_c[bits[..., 2]] - self.least[at]
+        t = None
+        other = np.flatnonzero(log_w)
+        if len(other):
+            r, beta = self.r[at[:, other]], self.beta[at[:, other]]
+            t = np.zeros(x.shape, np.int64)
+            t[:, other] = np.floor(log_w[other] / r + beta)
+            value[:, other] = self.log_c[bits[:, other, 2]] - r * (t[:, other] - beta + 1)
+        j, rows = value.argmin(1), np.arange(len(x))
+        pick = h[j] if t is None else h[j] + t[rows, j].view(np.uint64) * PRIME
+        return value[rows, j], pick
 
     def keys(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """A key for each band: a hash of its samples, each a shingle and its quantised weight."""
-        log_w = np.log(weight).astype(np.float32)
-        picked = np.empty(len(self.seeds), np.uint64)
-        for i in range(0, len(self.seeds), ROWS):
-            low, kept = None, None
-            for at in range(0, len(h), 1 << 16):  # long documents in parts
-                part = h[at : at + (1 << 16), None]
-                x = mixed(part + self.seeds[None, i : i + ROWS])
-                r = self.r[(x & np.uint64(0xFFFF)).astype(np.intp)]
-                beta = ((x >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.float32) + np.float32(0.5)) / np.float32(65536)
-                t = np.floor(log_w[at : at + (1 << 16), None] / r + beta)
-                log_a = self.log_c[(x >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.intp)] - r * (t - beta + 1)
-                j = np.argmin(log_a, 0)
-                cols = np.arange(ROWS)
-                best = log_a[j, cols]
-                sample = part[j, 0] + t[j, cols].astype(np.int64).view(np.uint64) * PRIME
-                if low is None:
-                    low, kept = best, sample
-                else:
-                    kept = np.where(best < low, sample, kept)
-                    low = np.minimum(best, low)
-            picked[i : i + ROWS] = kept
+        """A key for each band: a hash of its samples. Long documents are sampled in parts."""
+        log_w = np.log(weight / (1 + IDF))
+        log_w[np.abs(log_w) < 1e-12] = 0
+        least, picked = self.part(h[: 1 << 12], log_w[: 1 << 12])
+        for i in range(1 << 12, len(h), 1 << 12):
+            value, pick = self.part(h[i : i + (1 << 12)], log_w[i : i + (1 << 12)])
+            picked = np.where(value < least, pick, picked)
+            least = np.minimum(value, least)
         bands = picked.reshape(-1, ROWS)
         key = mixed(np.arange(len(bands), dtype=np.uint64))
         for i in range(ROWS):
@@ -159,18 +172,70 @@ class Sampler:
         return key.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity: the sum of lesser weights by that of greater ones."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
+    """(sum of the lesser weights of two documents, indices of b's shingles that weigh more there than in a)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(a[1][i], b[1][j]).sum()
-    return float(low / (a[1].sum() + b[1].sum() - low))
+    more = b[1].copy()
+    more[j] -= a[1][i]
+    return float(np.minimum(a[1][i], b[1][j]).sum()), np.flatnonzero(more > 1e-9)
+
+
+def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], common: float, at: np.ndarray, table: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """Of the shingles that b has over a, as few as any document similar to b must share one of, unless what b has in common with a is enough.
+
+    A similar document overlaps b by `similar` of b's weight; what exceeds the overlap of b and a must come from shingles over a. In one order for all documents,
+    common shingles last, those at the end that weigh less than this together can go.
+    """
+    h, w = b[0][at], b[1][at]
+    heavy = np.zeros(len(h), bool)
+    if len(table[0]):
+        heavy = table[0][np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)] == h
+    order = np.lexsort((h, heavy))
+    need = similar * b[1].sum() - common
+    rest = np.cumsum(w[order][::-1])[::-1]
+    return h[order][rest >= need - 1e-9].view(np.int64)
+
+
+def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
+    """(node, root) for nodes that are linked to others: root is the smallest node of the class.
+
+    buckets: (key, node), a saved table; nodes that share a key are candidates. meet gives for pairs (a, b) their similarity `sim`, the weights `size` (b's) and `common` (the overlap's), and the shingles `added` (see added). Each bucket's smallest node meets all others of its bucket, then its leader does, the member that most
+    are similar to: linear in its size, this settles groups of copies. A link is left only between nodes of one leader in different classes, of which one at least isn't similar to the leader; such a pair is
+    similar only if both share an added shingle, or if the lesser of their overlaps with the leader is enough by itself. Pairs of either kind are found
+    by joins on (leader, shingle) and on the leader with that condition, and are verified: no link between candidates is lost, and no pairs of a bucket are spelled out but these.
+    """
+    lead = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    tried = buckets.join(saved(lead.select("key", "a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    met = saved(meet(saved(tried)))
+    # a leader by chance tells little about its bucket: the member that most others are similar to meets the rest, too
+    held = met.where(F.col("sim") >= similar).groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "node")
+    best = buckets.join(saved(lead.select("key")), "key").join(saved(held), "node", "left").groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("n", F.lit(0)), -F.col("node"))).alias("a"))
+    led = saved(buckets.join(saved(best), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    again = saved(led.join(met.select("a", "b"), ["a", "b"], "left_anti"))
+    met = saved(met.unionByName(meet(again)))
+    links = saved(met.where(F.col("sim") >= similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    roots = saved(components(links))
+    rows = met.join(led, ["a", "b"], "left_semi").join(roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b", "left")
+    rows = saved(rows.select("a", "b", "size", "common", "added", F.coalesce("rb", "b").alias("c")))
+    leaders = saved(rows.select("a").distinct().join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left").select("a", F.coalesce("ra", "a").alias("ca")))
+    away = saved(rows.join(leaders, "a").where("c <> ca").drop("ca"))
+    open_rows = saved(rows.join(small(saved(away.select("a").distinct())), "a", "left_semi"))
+    names = lambda df, c: df.select("a", F.col("b").alias(c), F.col("c").alias(f"c_{c}"), F.explode("added").alias("s"))
+    shared = names(away, "x").join(names(open_rows, "y"), ["a", "s"]).where("c_x <> c_y").select("x", "y")
+    numbers = lambda df, c: df.select("a", F.col("b").alias(c), F.col("c").alias(f"c_{c}"), F.col("size").alias(f"size_{c}"), F.col("common").alias(f"common_{c}"))
+    enough = F.least("common_x", "common_y") >= similar / (1 + similar) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    near = numbers(away, "x").join(numbers(open_rows, "y"), "a").where((F.col("c_x") != F.col("c_y")) & enough).select("x", "y")
+    pairs = shared.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = saved(pairs.join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = saved(meet(pairs).where(F.col("sim") >= similar).select("a", "b"))
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) for each row: class_id is the smallest doc_id among the documents that equal texts and links of near duplicates connect.
 
     Shingles of five lower-cased words are weighed by TF-IDF (see weigh); a candidate pair shares a band of ROWS samples, so of pairs at similarity 0.8 one in some
-    5000 is missed; every candidate pair of different texts that isn't connected anyway is verified on whole texts.
+    5000 is missed; candidate pairs are verified on whole texts (see classes).
 
     A null text counts as empty; empty texts are equal. Rows of one doc_id are one document. A row without doc_id has class null and links nothing.
     An empty table gives an empty one; other columns are left out.
@@ -194,20 +259,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = saved(signed.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
     buckets = saved(nodes.select(F.explode("keys").alias("key"), "node"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def meet(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lists = zip(word_lists(batch.column(2)), word_lists(batch.column(3)), strict=True)
-                keep = [similarity(weigh(x, table), weigh(y, table)) >= similar for x, y in lists]
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                out = []
+                for x, y in zip(word_lists(batch.column(2)), word_lists(batch.column(3)), strict=True):
+                    x, y = weigh(x, table), weigh(y, table)
+                    common, at = overlap(x, y)
+                    size = float(y[1].sum())
+                    out.append((common / (float(x[1].sum()) + size - common), size, common, added(x, y, common, at, table, similar)))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(columns, [pa.float64()] * 3 + [pa.list_(pa.int64())], strict=True)]], ["a", "b", "sim", "size", "common", "added"])
 
         need = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         texts = known.select(F.col(f"`{doc_id}`").alias("id"), whole.alias("text")).join(small(need), "id", "left_semi")
         texts = saved(texts.dropDuplicates(["id"]))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return both.select("a", "b", word_hashes(F.col("x")).alias("x"), word_hashes(F.col("y")).alias("y")).mapInArrow(check, f"a {kind}, b {kind}")
+        both = both.select("a", "b", word_hashes(F.col("x")).alias("x"), word_hashes(F.col("y")).alias("y"))
+        return both.mapInArrow(check, f"a {kind}, b {kind}, sim double, size double, common double, added array<long>")
 
-    roots = classes(buckets, verify)
+    roots = classes(buckets, meet, similar)
     found = signed.select("id", "t1", "t2").join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(saved(roots), "node", "left")
     found = found.select(F.col("id").alias("doc_id"), F.coalesce("root", "node").alias("class_id"))
     without = docs.where(F.col(f"`{doc_id}`").isNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_id}`").alias("class_id"))

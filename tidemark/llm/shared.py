@@ -103,28 +103,3 @@ def cut_without_loss(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame
     for c in on:
         same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_gone_{c}"))
     return df.join(gone, same, "left_anti")
-
-
-def classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) for nodes that are linked to others: root is the smallest node of the class.
-
-    buckets: (key, node), a saved table. Nodes that share a key are candidates; verify gets candidate pairs (a, b) and gives those that hold.
-    First each bucket's smallest node meets all others of its bucket, which is linear in its size and settles groups of copies. What then is left are
-    pairs of one bucket in different classes: each of these is verified too, so no link between candidates is lost, and no pair within a class is spelled out.
-    """
-    lead = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    lead = saved(lead.select("key", "a"))
-    members = saved(buckets.join(lead, "key"))
-    tried = saved(members.where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    links = saved(verify(tried))
-    roots = saved(components(links))
-    placed = members.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("c"))
-    placed = saved(placed)
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    first = placed.where("node = a").select("key", F.col("c").alias("main")).join(open_keys.select("key"), "key")
-    open_rows = saved(placed.join(saved(first), "key").select("key", "node", "c", "main"))
-    outside = open_rows.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    pairs = outside.join(open_rows, "key").where("c <> cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-    more = saved(verify(pairs))
-    return roots if more.isEmpty() else components(links.unionByName(more))
