@@ -58,3 +58,12 @@ def test_rows(spark, messy, empty):
     assert ee.fingerprint(empty).collect() == []
     one = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
     assert ee.fingerprint(one).first().edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
+
+
+def test_similar_pairs(spark):
+    r = random.Random(6)
+    base = words(r, 300)
+    texts = {1: base, 2: base[:700] + base[702:], 3: base, 4: words(r, 300), 5: "", 6: "short", 7: "short"}
+    prints = spark.createDataFrame([(i, p) for i, p in zip(texts, ee.digits(ee.fingerprints(list(texts.values()))), strict=True)] + [(None, "0"), (9, None)], "doc_id long, fingerprint string")
+    got = {(x.query_id, x.doc_id) for x in ee.similar_pairs(prints, prints).collect()}
+    assert got == {(a, b) for g in ({1, 2, 3}, {6, 7}) for a in g for b in g if a != b}
