@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import market
+from tidemark.operators import indicators, market
 from tidemark.operators import ranking as ops
 from tidemark.plans.markets import SNAPSHOT_SQL
 from tidemark.plans.registry import query, rounded
@@ -114,3 +114,26 @@ def x13_macro_regime(spark, d):
     k = F.col("l_suppkey") % 3
     series = line.groupBy(F.when(k == 0, "vix").when(k == 1, "usdkrw").otherwise("us10y").alias("name"), F.col("l_shipdate").cast("date").alias("date")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("close"))
     return rounded(ops.macro_regime(series), ["vix", "usdkrw_change_20d", "us10y_change_bp_20d"])
+
+
+def panel(spark, d):
+    """The indicator panel of all symbols."""
+    bars = b.bars(spark, d)
+    snapshot = market.market_snapshot(bars).join(market.technical_metrics(bars), "symbol", "left").withColumn("currency", F.lit("USD"))
+    return indicators.indicator_panel(snapshot, fundamentals(spark, d))
+
+
+@query(f"""WITH {SNAPSHOT_SQL}, {FUNDAMENTALS_SQL}, m AS (
+  SELECT symbol, unnest(['ma_20', 'ma_60', 'ma_100', 'atr_20', 'volatility', 'drawdown', 'trailing_pe', 'price_to_book', 'profit_margin_pct', 'revenue_growth_pct', 'beta']) AS key,
+    unnest([ma_20, ma_60, ma_100, atr_20, volatility_20d_pct, max_drawdown_1y_pct, CASE WHEN trailing_pe > 0 THEN trailing_pe END, CASE WHEN price_to_book > 0 THEN price_to_book END, profit_margin_pct, revenue_growth_pct, NULL]) AS value FROM snapshot LEFT JOIN fundamentals USING (symbol))
+SELECT symbol, key, round(value, 4) AS value, value IS NULL AS missing FROM m""")
+def x16_indicator_panel(spark, d):
+    """Indicators in long form."""
+    keys = ["ma_20", "ma_60", "ma_100", "atr_20", "volatility", "drawdown", "trailing_pe", "price_to_book", "profit_margin_pct", "revenue_growth_pct", "beta"]
+    return rounded(panel(spark, d).where(F.col("key").isin(keys)).select("symbol", "key", "value", "missing"), ["value"], 4)
+
+
+@query()
+def io17_panel_json(spark, d):
+    """IO17, X27: compact panels as JSON."""
+    return indicators.to_panel_json(indicators.compact_panel(panel(spark, d)), "symbol")

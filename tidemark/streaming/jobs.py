@@ -51,3 +51,19 @@ def insert_stream(items: DataFrame, store: str, state: str):
         new.withColumn("batch", F.lit(number)).write.mode("append").parquet(store)
 
     return items.writeStream.foreachBatch(insert).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def insight_stream(pending: DataFrame, analyse, sink, state: str):
+    """Analyses a stream of waiting articles in micro-batches: analyse(batch) gives insights, sink(insights, number) upserts them (see upsert_insights), so a batch that runs again changes nothing."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        sink(analyse(batch.dropDuplicates(["article_id"])), number)
+
+    return pending.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def fetched_items(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages to parse, status by source) of fetched pages (source_id, status, body): an unchanged page (304) gives no rows."""
+    unchanged = F.col("status") == 304
+    state = F.when(unchanged, "변경 없음").when(F.col("status") == 200, "완료").otherwise("오류")
+    return pages.where(F.col("status") == 200), pages.select("source_id", state.alias("state"))
