@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of a few numbers a row may be broadcast (some ten MB).
 BROADCAST_ROWS = 100_000
 
+#: Folders of applications whose session names none.
+UNSET: dict[str, str] = {}
+
 #: ASCII white space, as Java and Python string literals write it.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -22,8 +25,8 @@ def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = UNSET.get(app) or UNSET.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")
 
 
