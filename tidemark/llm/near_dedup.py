@@ -201,8 +201,8 @@ def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar:
 
     buckets: (key, node), a saved table; nodes that share a key are candidates. meet gives for pairs (a, b) their similarity `sim`, the weights `size` (b's) and `common` (the overlap's), and the shingles `added` (see added). Each bucket's smallest node meets all others of its bucket, then its leader does, the member that most
     are similar to: linear in its size, this settles groups of copies. A link is left only between nodes of one leader in different classes, of which one at least isn't similar to the leader; such a pair is
-    similar only if both share an added shingle, or if the lesser of their overlaps with the leader is enough by itself. Pairs of either kind are found
-    by joins on (leader, shingle) and on the leader with that condition, and are verified: no link between candidates is lost, and no pairs of a bucket are spelled out but these.
+    similar only if the lesser of their overlaps with the leader is enough by itself, or if both share an added shingle and that overlap with the lesser of what they
+    have over the leader is enough. Pairs of either kind are found by joins on the leader and on (leader, shingle) with these conditions, and are verified: no link between candidates is lost, and no pairs of a bucket are spelled out but these.
     """
     lead = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     tried = buckets.join(saved(lead.select("key", "a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -220,11 +220,13 @@ def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar:
     leaders = saved(rows.select("a").distinct().join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left").select("a", F.coalesce("ra", "a").alias("ca")))
     away = saved(rows.join(leaders, "a").where("c <> ca").drop("ca"))
     open_rows = saved(rows.join(small(saved(away.select("a").distinct())), "a", "left_semi"))
-    names = lambda df, c: df.select("a", F.col("b").alias(c), F.col("c").alias(f"c_{c}"), F.explode("added").alias("s"))
-    shared = names(away, "x").join(names(open_rows, "y"), ["a", "s"]).where("c_x <> c_y").select("x", "y")
-    numbers = lambda df, c: df.select("a", F.col("b").alias(c), F.col("c").alias(f"c_{c}"), F.col("size").alias(f"size_{c}"), F.col("common").alias(f"common_{c}"))
-    enough = F.least("common_x", "common_y") >= similar / (1 + similar) * (F.col("size_x") + F.col("size_y")) - 1e-9
-    near = numbers(away, "x").join(numbers(open_rows, "y"), "a").where((F.col("c_x") != F.col("c_y")) & enough).select("x", "y")
+    numbers = lambda df, c, *more: df.select("a", F.col("b").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("c", "size", "common")], *more)
+    want = similar / (1 + similar) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    both, over = F.least("common_x", "common_y"), F.least(F.col("size_x") - F.col("common_x"), F.col("size_y") - F.col("common_y"))
+    apart = F.col("c_x") != F.col("c_y")
+    shingle = F.explode("added").alias("s")
+    shared = numbers(away, "x", shingle).join(numbers(open_rows, "y", shingle), ["a", "s"]).where(apart & (both + over >= want)).select("x", "y")
+    near = numbers(away, "x").join(numbers(open_rows, "y"), "a").where(apart & (both >= want)).select("x", "y")
     pairs = shared.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = saved(pairs.join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = saved(meet(pairs).where(F.col("sim") >= similar).select("a", "b"))
@@ -271,7 +273,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 columns = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(columns, [pa.float64()] * 3 + [pa.list_(pa.int64())], strict=True)]], ["a", "b", "sim", "size", "common", "added"])
 
-        need = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        need = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         texts = known.select(F.col(f"`{doc_id}`").alias("id"), whole.alias("text")).join(small(need), "id", "left_semi")
         texts = saved(texts.dropDuplicates(["id"]))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
