@@ -26,6 +26,28 @@ def test_odd_pages():
     assert main_text("<article><div class=ad>x</article><p>") == ""
 
 
+LONG = "A paragraph of the article that goes on for a good while and has many words in it."
+
+
+def test_noise_words_in_other_names_and_values_cut_nothing():
+    for attribute in ('style="overflow:hidden"', 'data-hidden="0"', 'title="hidden gems"', "class='layout with-sidebar'", 'class="has-comments"', 'id="share-prices"', 'class="content notice-board"'):
+        assert main_text(f"<body><div {attribute}><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div></body>") == f"Head\n\n{LONG}\n\n{LONG}", attribute
+    assert main_text(f'<article><p>{LONG} See <a href="/hidden-gems">the gems</a>.</p></article>') == f"{LONG} See the gems."
+
+
+def test_noise_names_cut_unless_they_hold_the_article():
+    for name in ("promo", "content notice", "page-header"):
+        body = f'<div class="{name}"><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><div class="ad-box"><p>Buy</p></div></div>'
+        assert main_text(f"<body>{body}<div><p>Short.</p></div></body>").startswith(f"Head\n\n{LONG}\n\n{LONG}") and "Buy" not in main_text(body), name
+        assert main_text(f'<body><div class="{name}"><article><p>{LONG}</p></article></div></body>') == LONG
+        assert main_text(f'<body><div class="{name}"><p>{LONG}</p><p>{LONG}</p></div><p>Short.</p></body>').startswith(f"{LONG}\n\n{LONG}")
+        assert main_text(f'<body><div class="{name}">{LONG}</div></body>') == LONG
+    for name in ("sidebar", "ad-box", "site-header", "comments2", "cookie-notice", "related_items"):
+        for noise in (f'<div class="{name}" hidden2=x><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', f"<div id='{name}'>{LONG}</div>", f"<div hidden><p>{LONG}</p></div>"):
+            assert main_text(f"<body><article><h1>Head</h1><p>Brief.</p>{noise}</article>{noise}</body>") == "Head\n\nBrief.", name
+            assert "Brief." in main_text(f"<body><div><h1>Head</h1><p>Brief and to the point it is.</p><p>Brief.</p></div>{noise}</body>")
+
+
 def test_rows(spark):
     rows = [(1, None, None, "t"), (2, "u", "<p>" + "wörd " * 50_000 + "</p>", "t"), (2, "u", "<p>x</p>", None), (None, "u", "<p>x</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

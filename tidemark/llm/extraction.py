@@ -16,6 +16,11 @@ RAW = frozenset("script style textarea title xmp noframes".split())
 NOISE = frozenset("head script style noscript template iframe object svg canvas audio video nav header footer aside menu form button select textarea input dialog".split())
 #: Words of class or id, and roles, that mark what is no article.
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars rail widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs pagination pager header masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended recommendations outbrain taboola search login toolbar skip".split())
+#: Parts that may follow and go before a noise word in a class or id that is noise as a whole ("ad-box", "site-header").
+SUFFIXES = frozenset("area bar block body box btn button buttons col column container content form icons inner item items label left link links list message outer panel right root row section slot text title top unit widget wrap wrapper zone".split())
+PREFIXES = frozenset("article bottom desktop entry footer global google js left main mobile page post primary right secondary site sticky top".split())
+#: Elements that mark an article; how much denser than the text around a heading a noise-named element must be to be the article; levels of noise names in each other that are weighed.
+MARKED, OUTWEIGHS, LEVELS = frozenset({"article", "main"}), 10, 8
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -25,36 +30,46 @@ HIDES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"form", "header", "footer", "nav", "aside"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 RAW_END = {t: re.compile(rf"</{t}\s*(?:>|\Z)|\Z", re.I) for t in RAW}
 
 
 class Node:
     """An element: its children are nodes and strings."""
 
-    __slots__ = ("tag", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "suspect")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, suspect: bool = False):
+        self.tag, self.parent, self.children, self.suspect = tag, parent, [], suspect
 
 
-def noisy(tag: str, attributes: str) -> bool:
-    """Whether an element's kind, class, id or role says that it is no article."""
+def noise_name(token: str) -> bool:
+    """Whether a class or id is a noise word as a whole: nothing but noise words, or one at its start or end with known parts beside it."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"\d+", "", token)) if p]
+    if not parts:
+        return False
+    first = parts[0] in NOISE_WORDS and all(p in NOISE_WORDS or p in SUFFIXES for p in parts)
+    return first or parts[-1] in NOISE_WORDS and all(p in NOISE_WORDS or p in PREFIXES for p in parts)
+
+
+def noisy(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's kind, role or being hidden says that it is no article; whether its class or id does, which is weighed against what it holds."""
     if tag in NOISE:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    suspect = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
-            return True
-        if name in ("class", "id") and NOISE_WORDS.intersection(re.split(r"[^a-z]+", re.sub(r"\d+", "", value))):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id"):
+            suspect = suspect or any(map(noise_name, value.split()))
+    return False, suspect
 
 
 def parse(page: str) -> Node:
-    """The page's tree, rid of comments, raw text and elements that are no article. Unclosed and stray tags are mended as browsers do."""
+    """The page's tree, rid of comments, raw text and elements that are no article by kind or role; those with a noise name are suspect. Unclosed and stray tags are mended as browsers do."""
     root = Node("html", None)
     node, skip, at = root, [], 0  # skip: open elements below one that is left out
     while at < len(page):
@@ -115,12 +130,13 @@ def parse(page: str) -> Node:
                 if up.tag in closes:
                     node = up.parent
                 up = up.parent
-        if noisy(tag, attributes):
+        cut, suspect = noisy(tag, attributes)
+        if cut:
             if tag not in ("br", "hr") and not void:
                 skip = [tag]
             node.children.append(Node("cut", node))
             continue
-        child = Node(tag, node)
+        child = Node(tag, node, suspect)
         node.children.append(child)
         if not void:
             node = child
@@ -155,13 +171,66 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def inside(node: Node) -> list[Node]:
+    """A node and all nodes below it."""
+    found = [node]
+    for n in found:
+        found += [c for c in n.children if isinstance(c, Node)]
+    return found
+
+
+def settled(root: Node) -> list[Node]:
+    """As measure(), after suspect elements are cut, except those that hold the article.
+
+    An element with a noise name stays if it holds an h1, or article or main element, and none stands outside of such elements; or if it holds the densest subtree and
+    nothing outside marks another place: an article or main element does, a mere h1 unless its surroundings are OUTWEIGHS times less dense. It also stays if nothing else has text.
+    Elements in one that stays are weighed in turn.
+    """
+    order = measure(root)
+    for _ in range(LEVELS):
+        outer, todo = [], [root]
+        for n in todo:
+            for c in n.children:
+                if isinstance(c, Node):
+                    (outer if c.suspect else todo).append(c)
+        if not outer:
+            break
+        core = max(order, key=lambda n: n.total)
+        around = {id(core)}
+        while core.parent is not None:
+            core = core.parent
+            around.add(id(core))
+        facts = []
+        for n in outer:
+            below = inside(n)
+            facts.append((n, n.tag, n.children, n.chars, {c.tag for c in below if c.chars}, max(c.total for c in below)))
+            n.tag, n.children = "cut", []
+        order = measure(root)
+        title = any(n.tag == "h1" and n.chars for n in order)
+        marked = any(n.tag in MARKED and n.chars for n in order)
+        most = max(n.total for n in order)
+        alone = not root.chars and not any(n.tag in MARKED for n in order)
+        longest = max(f[3] for f in facts)
+        stays = False
+        for n, tag, children, chars, tags, total in facts:
+            densest = id(n) in around
+            keep = "h1" in tags and not title or tags & MARKED and not marked and (densest or not title)
+            keep = keep or densest and not marked and total > most * (OUTWEIGHS if title else 1)
+            if keep or alone and chars and chars == longest:
+                n.tag, n.children, n.suspect, stays = tag, children, False, True
+        if not stays:
+            break
+        order = measure(root)
+    return order
+
+
 def chosen(root: Node) -> list[Node]:
     """The nodes that hold the main text, in page order.
 
     The node whose children's densities sum highest is the core (or the article or main element around it). The least density on the path from the body to the
     core is the threshold: beside the path, headings and nodes of that density with few links belong to the text as well.
     """
-    order = measure(root)
+    order = settled(root)
     core = max(order, key=lambda n: n.total)
     if not core.total:  # text without elements around it
         return [root]
