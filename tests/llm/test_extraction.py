@@ -48,6 +48,17 @@ def test_noise_names_cut_unless_they_hold_the_article():
             assert "Brief." in main_text(f"<body><div><h1>Head</h1><p>Brief and to the point it is.</p><p>Brief.</p></div>{noise}</body>")
 
 
+def test_all_of_the_content_container_stays_in_page_order():
+    section = f"<div class=section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    beside = '<p>Oslo, May 2.</p>Bare text <b>in</b> a <a href=/x>row</a> of words.{}<blockquote>&quot;No.&quot;</blockquote>Last words.<ul><li><a href=/a>More</a></li><li><a href=/b>stories</a></li></ul><a href=/c>Next page</a>'
+    want = f'Oslo, May 2.\n\nBare text in a row of words.\n\n{LONG}\n\n{LONG}\n\n{LONG}\n\n"No."\n\nLast words.'
+    for top in ("<h1>Head</h1>", "<h2>Head</h2>"):
+        assert main_text(f"<body><div class=page><div><span>Site</span></div><div class=content>{top}{beside.format(section)}</div><div>(c) 2024</div></div></body>") == f"Head\n\n{want}"
+    assert main_text(f"<body><div>Site</div><div class=content>{beside.format(section)}</div><div>(c)</div></body>") == want
+    inner = f"<div class=inner>{beside.format(section)}</div>"
+    assert main_text(f"<body><div class=content><h1>Head</h1>{inner}<p>End.</p></div><div>(c)</div></body>") == f"Head\n\n{want}\n\nEnd."
+
+
 def test_rows(spark):
     rows = [(1, None, None, "t"), (2, "u", "<p>" + "wörd " * 50_000 + "</p>", "t"), (2, "u", "<p>x</p>", None), (None, "u", "<p>x</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -228,7 +228,9 @@ def chosen(root: Node) -> list[Node]:
     """The nodes that hold the main text, in page order.
 
     The node whose children's densities sum highest is the core (or the article or main element around it). The least density on the path from the body to the
-    core is the threshold: beside the path, headings and nodes of that density with few links belong to the text as well.
+    core is the threshold. The lowest node around the core with a heading or a node of that density and few links beside the path is the content's container, or
+    the one with the title (h1) if that is further up and not the body; without any, the core's parent is, if it isn't the body and the core has no title of its own. Of the container all is kept that is not mostly links, bare text too. Beside
+    the path above it, headings and nodes of the threshold's density with few links belong to the text as well.
     """
     order = settled(root)
     core = max(order, key=lambda n: n.total)
@@ -237,18 +239,53 @@ def chosen(root: Node) -> list[Node]:
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    named = [n for n in path if n.tag in ("article", "main")]
+    named = [n for n in path if n.tag in MARKED]
     if named:
         return [named[-1]]
     threshold = min(n.density for n in path)
-    keep = [core]
-    for above, inner in zip(path[1:], path, strict=False):
+
+    def beside(c: Node | str) -> bool:
+        return isinstance(c, Node) and c.chars > 0 and c.link_chars * 3 <= c.chars and (c.density >= threshold or re.fullmatch("h[1-6]", c.tag) is not None)
+
+    around = [i for i in range(1, len(path)) if any(c is not path[i - 1] and beside(c) for c in path[i].children)]
+    titled = any(n.tag in ("h1", "h2") and n.chars for n in inside(core))
+    title = [i for i in around if path[i].tag not in ("body", "html") and any(isinstance(c, Node) and c.tag == "h1" and beside(c) for c in path[i].children)]
+    held = max(around[:1] + title[:1]) if around else int(len(path) > 1 and path[1].tag not in ("body", "html") and not titled)
+    whole = core
+    for i in range(1, held + 1):
+        whole = unlinked(path[i], path[i - 1], whole)
+    keep = [whole]
+    for above, inner in zip(path[held + 1 :], path[held:], strict=False):
         at = above.children.index(inner)
-        beside = lambda c: isinstance(c, Node) and c.chars and c.link_chars * 3 <= c.chars and (c.density >= threshold or re.fullmatch("h[1-6]", c.tag))  # noqa: B023, E731
         keep = [c for c in above.children[:at] if beside(c)] + keep + [c for c in above.children[at + 1 :] if beside(c)]
     return keep
 
 
+def unlinked(node: Node, child: Node, instead: Node) -> Node:
+    """A copy of a node without its blocks and runs of text that are mostly links, with another node instead of one child."""
+    out, run = Node(node.tag, None), []
+
+    def close() -> None:
+        chars = sum(len(c.strip()) if isinstance(c, str) else c.chars for c in run)
+        if sum(c.link_chars for c in run if isinstance(c, Node)) * 3 <= chars:
+            out.children += run
+        run.clear()
+
+    for c in node.children:
+        block = isinstance(c, Node) and (c.tag in BLOCKS or c is child)
+        if block:
+            close()
+        run.append(c)
+        if c is child:
+            run[:] = [instead]
+            out.children += run
+            run.clear()
+        elif block:
+            close()
+    close()
+    return out
+
+
 def blocks(node: Node) -> list[str]:
     """The texts of a node's blocks in page order, character references decoded, white space folded."""
     out, run = [], []
