@@ -33,6 +33,19 @@ def test_evidence_decides_where_text_is_short(spark):
     assert {x.doc_id for x in wanted} == {i for i in range(90) if rows[i][2] == "en"}
 
 
+def test_rare_languages_are_known_however_large_the_table(spark):
+    r = random.Random(2)
+    rows = [(i, text(r, "en", 12), "en", "a") for i in range(1500)] + [(2000 + i, text(r, "fr", 12), "fr", "a") for i in range(3)]
+    rows += [(None, text(r, "de", 12), "de", "a") for _ in range(400)] + [(3000 + i, "123", "it", "a") for i in range(100)] + [(4000, "perché così", "it", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = identify(docs, sample=30).collect()
+    assert len(got) == len(rows)
+    for lang in ("en", "fr", "de"):
+        own = [x for x in got if x.declared == lang]
+        assert sum(x.lang == lang for x in own) > 0.99 * len(own), lang
+    assert [x.lang for x in got if x.doc_id == 4000] == ["it"]
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = identify_pages(pages).collect()

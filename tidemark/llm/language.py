@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.mixing import row_hash
 from tidemark.llm.shared import cut_without_loss, packed, saved, small
 
-#: Rows that the text model is fitted on, in expectation; hashed byte trigrams; trigrams whose evidence counts in full; posterior below which a document is rejected.
+#: Rows of each language that the text model is fitted on, in expectation; hashed byte trigrams; trigrams whose evidence counts in full; posterior below which a document is rejected.
 SAMPLE, SIZE, EVIDENCE, THRESHOLD = 4000, 1 << 16, 200, 0.5
 #: Pseudo-counts: of a trigram, of a level of host priors, of a declared language or suffix that says what the text says.
 SMOOTH, LEVEL, TRUST = 0.2, 20.0, 10.0
 WINDOW = 1 << 20
+#: Values that sampling hashes take; texts with a trigram, which need one byte of a letter.
+HASHES, LETTER = 1 << 40, r"[A-Za-z]|[^\x00-\x7F]"
 
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[65:91] = LETTERS[97:123] = np.arange(97, 123)
@@ -65,8 +67,8 @@ def subtag(c: Column) -> Column:
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", url: str | None = None, host: str | None = "source", doc_id: str = "doc_id", label: str | None = "lang", wanted: list[str] | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row_hash, lang, posterior, declared, accepted) for each row.
 
-    The text model (hashed byte trigrams, whole texts) is fitted on the rows whose label (a language) is given and whose hash of doc_id falls below a
-    bound that lets `sample` rows through in expectation. All else is counted over all rows: how often each declared language, and each suffix of
+    The text model (hashed byte trigrams, whole texts) knows every language that labels a row with letters. It is fitted on the rows whose hash of doc_id
+    falls below their label's bound, which lets `sample` rows of each label through in expectation (all of a label with fewer, and never none). All else is counted over all rows: how often each declared language, and each suffix of
     the url's host, goes with a language by text; and priors of hosts, smoothed towards their site's (the host's last two names), and these
     towards that of all rows. The posterior is the product of the four, where a null declared language, url or host adds nothing. Text counts as at most
     EVIDENCE independent trigrams, so the rest matters for short texts.
@@ -79,9 +81,9 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     address = F.lower(F.regexp_extract(name(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     site = F.nullif(address, F.lit("")) if host is None else name(host)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs).alias("row_hash"), F.coalesce(name(text), F.lit("")).alias("text"), subtag(name(declared)).alias("declared"), F.nullif(F.regexp_extract(address, r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), site.alias("host"), subtag(name(label)).alias("label"))
-    labelled = rows.where("label is not null")
-    share = min(1.0, sample / max(1, labelled.count()))
-    names, table = fit(labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "label"))
+    labelled = rows.where("label is not null").where(F.col("text").rlike(LETTER)).withColumn("hash", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(HASHES)))
+    bounds = labelled.groupBy("label").agg(F.greatest(F.min("hash") + 1, F.ceil(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")) * HASHES)).alias("below"))
+    names, table = fit(labelled.join(small(saved(bounds)), "label").where("hash < below").select("text", "label"))
     if not names:
         return rows.select("doc_id", "row_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), "declared", F.lit(False).alias("accepted"))
 
