@@ -141,6 +141,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth document, the documents whose fingerprints are at least 0.8 like its own."""
+    from tidemark.llm.edit_embedding import only_prints, similar_pairs
+    from tidemark.llm.shared import saved
+
+    prints = saved(only_prints(table(spark, sf_dir, "documents")))
+    found = similar_pairs(prints, prints.where("doc_id % 20 = 0"))
+    return found.select("query_id", "doc_id", F.round("near", 6).alias("near"))
+
+
 @query
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
