@@ -1,6 +1,10 @@
 """Main text of pages."""
 
-from tidemark.llm.extraction import extract_pages, main_text
+import math
+import random
+
+from tests.llm.conftest import words
+from tidemark.llm.extraction import FLOOR, extract_pages, main_text, measure, parse
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header class="site-header">Site <a href=/>Home</a></header><div id="cookie-notice">We use cookies</div>
 <div class="wrap"><div class="sidebar"><ul><li><a href=x>One</a></li></ul></div><div class="content"><h1>Title &amp; more</h1><p>First para with <a href=x>a link</a> and text that goes on for some time.</p>
@@ -59,6 +63,63 @@ def test_all_of_the_content_container_stays_in_page_order():
     assert main_text(f"<body><div class=content><h1>Head</h1>{inner}<p>End.</p></div><div>(c)</div></body>") == f"Head\n\n{want}\n\nEnd."
 
 
+def test_forms_headers_and_marked_elements_are_weighed():
+    article = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head\n\n{LONG}\n\n{LONG}"
+    assert main_text(f'<body><form id="aspnetForm"><div class=content>{article}</div><select><option>x</select></form></body>') == want
+    assert main_text(f'<body><div id="page" class="site right-sidebar"><article>{article}</article></div></body>') == want
+    assert main_text(f'<body><div class="layout with-sidebar"><div class="post">{article}</div></div><div>Other small</div></body>') == want
+    assert main_text(f'<body><div class="post comments-open">{article}</div><div>Other small</div></body>') == want
+    assert main_text(f"<body><header><p>{LONG}</p></header><article><header><h1>Head</h1></header><p>{LONG}</p><form>Mail <input></form></article></body>") == f"Head\n\n{LONG}"
+    comment = f'<article class="comment-body"><p>{LONG} {LONG}</p></article>'
+    assert main_text(f"<body><main>{article}{comment}{comment}</main></body>") == want
+    assert main_text(f"<body><div><article><p>{LONG}</p></article><article><p>{LONG}</p></article></div></body>") == f"{LONG}\n\n{LONG}"
+    assert main_text(f"<body><main><article>{article}</article><div><a href=/a>One</a> <a href=/b>Two</a></div></main></body>") == want
+
+
+def test_unquoted_apostrophes_and_signs_in_values():
+    assert main_text(f"<body><p title=it's>First {LONG}</p><p title=\"a > b\" class='x>y'>Second {LONG}</p></body>") == f"First {LONG}\n\nSecond {LONG}"
+    assert main_text("<p title='open>text</p>") == "text"
+
+
+def plain_density(n, body) -> float:
+    """The composite density by its formula, counting over the subtree each time."""
+    def count(n, linked=False):
+        chars = tags = link_chars = link_tags = 0
+        for c in n.children:
+            if isinstance(c, str):
+                chars += len(c.strip())
+                link_chars += len(c.strip()) * linked
+            else:
+                inner = count(c, linked or c.tag == "a")
+                counts = c.tag != "cut"
+                chars, tags, link_chars, link_tags = chars + inner[0], tags + inner[1] + counts, link_chars + inner[2], link_tags + inner[3] + (counts and (linked or c.tag == "a"))
+        return chars, tags, link_chars, link_tags
+
+    c, t, lc, lt = count(n, n.tag == "a")
+    bc, _, blc, _ = count(body)
+    if not c:
+        return 0.0
+    base = max(math.log(math.log(c / max(c - lc, 1) * lc + blc / max(bc, 1) * c + math.e)), FLOOR)
+    return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1) + 1) / base
+
+
+def test_density_equals_the_formula_and_the_densest_is_found():
+    r = random.Random(4)
+
+    def grow(depth):
+        if depth == 0 or r.random() < 0.2:
+            return words(r, r.randint(0, 30))
+        tag = r.choice(["div", "section", "p", "a", "span", "ul"])
+        return f"<{tag}>" + "".join(grow(depth - 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(40):
+        root = parse("<body>" + "".join(grow(5) for _ in range(4)) + "</body>")
+        order = measure(root)
+        assert all(abs(n.density - plain_density(n, root)) <= 1e-9 * max(1, n.density) for n in order)
+        assert all(abs(n.total - sum(plain_density(c, root) for c in n.children if not isinstance(c, str))) <= 1e-6 * max(1, n.total) for n in order)
+
+
 def test_rows(spark):
     rows = [(1, None, None, "t"), (2, "u", "<p>" + "wörd " * 50_000 + "</p>", "t"), (2, "u", "<p>x</p>", None), (None, "u", "<p>x</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; elements that never belong to an article.
 RAW = frozenset("script style textarea title xmp noframes".split())
-NOISE = frozenset("head script style noscript template iframe object svg canvas audio video nav header footer aside menu form button select textarea input dialog".split())
+NOISE = frozenset("head script style noscript template iframe object svg canvas audio video nav footer aside menu button select textarea input dialog".split())
+#: Elements that are noise unless they hold the article or, of a header inside of one, its title.
+WEIGHED = frozenset({"form", "header"})
 #: Words of class or id, and roles, that mark what is no article.
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars rail widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs pagination pager header masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended recommendations outbrain taboola search login toolbar skip".split())
 #: Parts that may follow and go before a noise word in a class or id that is noise as a whole ("ad-box", "site-header").
@@ -24,12 +26,14 @@ MARKED, OUTWEIGHS, LEVELS = frozenset({"article", "main"}), 10, 8
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: The least logarithm of a density's base: ln(ln(e + e * e)), some ten characters of link text.
+FLOOR = math.log(math.log(math.e + math.e**2))
 #: Open elements that a start tag closes, up to the elements that hide them.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HIDES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"form", "header", "footer", "nav", "aside"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 RAW_END = {t: re.compile(rf"</{t}\s*(?:>|\Z)|\Z", re.I) for t in RAW}
 
@@ -56,9 +60,9 @@ def noisy(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element's kind, role or being hidden says that it is no article; whether its class or id does, which is weighed against what it holds."""
     if tag in NOISE:
         return True, False
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    suspect = False
+    suspect = tag in WEIGHED
+    if not attributes or tag in ("html", "body"):
+        return False, suspect
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
@@ -146,7 +150,9 @@ def parse(page: str) -> Node:
 def measure(root: Node) -> list[Node]:
     """All nodes from the root on, with characters, tags, the same in links, density and summed density of children.
 
-    Density is characters per tag times a logarithm that sinks with the share of links; its base grows with the share of link text in the body.
+    Density is the published composite one: characters per tag times the logarithm of characters per link character and tags per link tag, to a base that is the
+    logarithm of what grows with the node's link text and with the body's share of link text. Where neither has links that base is 1; its logarithm is therefore held at
+    FLOOR at least, and the argument is raised by one, so that a node that is all links has a density above zero.
     """
     order = [root]
     for n in order:
@@ -165,7 +171,7 @@ def measure(root: Node) -> list[Node]:
             n.density = 0.0
         else:
             tags, links = max(n.tags, 1), max(n.link_chars, 1)
-            log_base = math.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + base * n.chars + math.e)
+            log_base = max(math.log(math.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + base * n.chars + math.e)), FLOOR)
             n.density = n.chars / tags * math.log(max(n.chars / links * tags / max(n.link_tags, 1), 1.0) + 1) / log_base
         n.total = sum(c.density for c in n.children if isinstance(c, Node))
     return order
@@ -227,7 +233,8 @@ def settled(root: Node) -> list[Node]:
 def chosen(root: Node) -> list[Node]:
     """The nodes that hold the main text, in page order.
 
-    The node whose children's densities sum highest is the core (or the article or main element around it). The least density on the path from the body to the
+    The node whose children's densities sum highest is the core. If it lies in an article element, the outermost such is the text, with article elements beside it that have the
+    threshold's density and few links; else a main element around it is. The least density on the path from the body to the
     core is the threshold. The lowest node around the core with a heading or a node of that density and few links beside the path is the content's container, or
     the one with the title (h1) if that is further up and not the body; without any, the core's parent is, if it isn't the body and the core has no title of its own. Of the container all is kept that is not mostly links, bare text too. Beside
     the path above it, headings and nodes of the threshold's density with few links belong to the text as well.
@@ -239,10 +246,12 @@ def chosen(root: Node) -> list[Node]:
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    named = [n for n in path if n.tag in MARKED]
-    if named:
-        return [named[-1]]
     threshold = min(n.density for n in path)
+    named = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
+    if named:
+        top = named[-1]
+        alike = lambda c: isinstance(c, Node) and c.tag == "article" and c.chars > 0 and c.link_chars * 3 <= c.chars and c.density >= threshold
+        return [c for c in top.parent.children if c is top or alike(c)] if top.tag == "article" else [top]
 
     def beside(c: Node | str) -> bool:
         return isinstance(c, Node) and c.chars > 0 and c.link_chars * 3 <= c.chars and (c.density >= threshold or re.fullmatch("h[1-6]", c.tag) is not None)
