@@ -1,5 +1,6 @@
 """Shards of the hash tree."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,9 +27,39 @@ def test_weights_and_confined_movement(spark):
     rows = assign_shards(ids, [1, 1, 1, 1, 2, 1, 1, 1], grown=[1, 1, 1, 1, 2, 1, 1, 0]).collect()
     counts = Counter(r.shard for r in rows)
     assert abs(counts[4] / 20_000 - 2 / 9) < 0.01
-    # shard 7 goes: its rack and region change; rows of the first region only stay or stay there, none leaves for another shard of it
+    # shard 7 goes: its rows move to all others, no other row does
     assert not any(r.grown_shard == 7 for r in rows)
-    assert all(r.grown_shard == r.shard for r in rows if r.shard < 4)
+    assert all(r.grown_shard == r.shard for r in rows if r.shard != 7)
+
+
+def test_one_more_takes_rows_only_into_itself_for_any_count(spark):
+    ids = spark.range(4_000).withColumnRenamed("id", "doc_id")
+    for n in (1, 2, 3, 4, 5, 7, 9, 12):
+        rows = assign_shards(ids, [1.0] * n, grown=[1.0] * (n + 1)).collect()
+        moved = {r.grown_shard for r in rows if r.shard != r.grown_shard}
+        assert moved == {n} and abs(sum(r.shard != r.grown_shard for r in rows) / 4_000 - 1 / (n + 1)) < 0.03, n
+
+
+def test_equals_a_plain_descent_of_the_tree(spark):
+    """At each level the child whose subtree holds the least draw, draws being taken one by one."""
+    weights = [1.0, 2.0, 0.5, 1.0, 0.0, 3.0, 1.0, 1.0, 2.0]
+    paths = {i: f"/{i // 4}/{i // 2 % 2}/{i}" for i in range(len(weights))}
+    ids = spark.range(2_000).withColumnRenamed("id", "doc_id")
+    hashes = ids.select("doc_id", *[F.xxhash64(F.lit(p), "doc_id").alias(str(i)) for i, p in paths.items()]).collect()
+
+    def draw(row, i):
+        return -math.log((((row[str(i)] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)) / weights[i]
+
+    want = {}
+    for row in hashes:
+        below = [i for i in paths if weights[i] > 0]
+        for level in (2, 3, 4):
+            groups = {}
+            for i in below:
+                groups.setdefault(paths[i].split("/")[:level][-1], []).append(i)
+            below = min(groups.values(), key=lambda g: min(draw(row, i) for i in g))
+        want[row.doc_id] = below[0]
+    assert {r.doc_id: r.shard for r in assign_shards(ids, weights).collect()} == want
 
 
 def test_messy_rows(messy, empty):

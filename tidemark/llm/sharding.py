@@ -19,44 +19,33 @@ def tree(weights: list[float], rack: int = RACK, region: int = REGION) -> dict:
     return out
 
 
-def total(node: dict | float) -> float:
-    """The weight of a subtree."""
-    return sum(map(total, node.values())) if isinstance(node, dict) else node
+def least(key: Column, node: dict | float, name: int = 0, path: str = "") -> Column | None:
+    """(draw, shard) of the shard that a key reaches below a node; null for a subtree without weight.
 
-
-def descend(key: Column, node: dict | float, path: str = "") -> Column:
-    """The shard that a key reaches: at each node every child draws -ln(u) / weight from a hash of the key and the child's path;
-    the least draw wins. A child whose weight stays keeps its draw, so keys move only to or from children whose weight changed."""
-    children = {c: n for c, n in node.items() if total(n) > 0}
-
-    def draw(child: int) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(f"{path}/{child}"), key), 11).cast("double") + 0.5) / float(1 << 53)
-        return -F.log(u) / total(children[child])
-
-    if len(children) > 1:
-        won = F.array_min(F.array(*[F.struct(draw(c).alias("d"), F.lit(c).alias("c")) for c in children]))["c"]
-    else:
-        won = F.lit(next(iter(children)))
-    if not isinstance(next(iter(children.values())), dict):
-        return won
-    out = F.lit(None).cast("int")
-    for c, n in children.items():
-        out = F.when(won == c, descend(key, n, f"{path}/{c}")).otherwise(out)
-    return out
+    A shard draws -ln(u) / weight from a hash of the key and its path. A rack's draw is the least of its shards', a region's the least of its racks': the least of such draws
+    is one for the summed weight. So descending by the least draw at each level, every child wins in proportion to its weight, and a draw below it changes with a
+    weight only: keys move to or from the shards whose weight changed, and in no subtree else.
+    """
+    if not isinstance(node, dict):
+        if node <= 0:
+            return None
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(path), key), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.log(u) / node).alias("draw"), F.lit(name).alias("shard"))
+    below = [d for d in (least(key, n, c, f"{path}/{c}") for c, n in node.items()) if d is not None]
+    return F.least(*below) if len(below) > 1 else below[0] if below else None
 
 
 def assign_shards(df: DataFrame, weights: list[float], key: str = "doc_id", grown: list[float] | None = None, tie: Column | None = None) -> DataFrame:
     """df with shard (int), slot (long, gapless from 0 in its shard, by a hash of the key) and, if grown gives a later list of weights, grown_shard.
 
     The key and the weights alone decide the shard: equal keys share one, a null key counts as a key of its own. Where the list
-    of weights gets one more that opens a region of its own (as a ninth after eight does), keys move to that shard only; one that
-    joins a region moves keys inside that region, and into it in proportion to its weight. Repeated rows get slots of their own;
+    of weights gets one more, keys move to that shard only, whatever the count; one that goes gives its keys to all others by weight. At least one weight must be above zero. Repeated rows get slots of their own;
     tie orders rows of one key. shard, slot and grown_shard replace columns of these names.
 
     Slots take no sort of a whole shard: rows are counted by chunks of the hash, and each chunk is ordered by itself.
     """
     k = F.col(f"`{key}`")
-    rows = df.select(packed(df).alias("row"), descend(k, tree(weights)).cast("int").alias("shard"), (descend(k, tree(grown)) if grown else F.lit(None)).cast("int").alias("grown_shard"), F.xxhash64(F.lit("slot"), k).alias("h"), (F.lit(0) if tie is None else tie).alias("tie"))
+    rows = df.select(packed(df).alias("row"), least(k, tree(weights))["shard"].cast("int").alias("shard"), (least(k, tree(grown))["shard"] if grown else F.lit(None)).cast("int").alias("grown_shard"), F.xxhash64(F.lit("slot"), k).alias("h"), (F.lit(0) if tie is None else tie).alias("tie"))
     rows = saved(rows)
     chunks = chunks_for(rows.count())
     rows = rows.withColumn("chunk", F.shiftrightunsigned("h", 44) % chunks)
