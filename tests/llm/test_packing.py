@@ -1,12 +1,13 @@
 """Packing against the tokenizer itself."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import Encoder, pack, pack_documents
+from tidemark.llm.packing import LINEAR, QUADRATIC, Encoder, pack, pack_documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,5 +49,50 @@ def test_pack_takes_descending_documents_to_the_cheapest_sequence():
     assert next(q for i, _, _, q, _ in placed if i == 2) == 1  # the third goes to the cheaper one with room
 
 
+def plain_pack(lengths: list[int], room: int) -> list[list[tuple[int, int, int]]]:
+    """The rule, step by step: the costliest piece left goes to the cheapest sequence with room for it, else fills the cheapest with any."""
+    sequences = [[] for _ in range(sum(lengths) // room)]
+    used = lambda s: sum(size for _, _, size in s)
+    cost = lambda s: sum(LINEAR * size + QUADRATIC * size * size for _, _, size in s)
+    left = [(i, 0, size) for i, size in enumerate(lengths) if size]
+    while left:
+        left.sort(key=lambda p: (-p[2], p[0], p[1]))
+        i, start, size = left.pop(0)
+        fits = [s for s in sequences if room - used(s) >= size] or [s for s in sequences if used(s) < room]
+        if not fits:
+            continue
+        s = min(fits, key=cost)
+        take = min(size, room - used(s))
+        s.append((i, start, take))
+        if take < size:
+            left.append((i, start + take, size - take))
+    return sequences
+
+
+def test_pack_equals_the_plain_rule():
+    r = random.Random(1)
+    for _ in range(30):
+        lengths = [r.choice([r.randint(0, 63), r.randint(1, 8), 17]) for _ in range(r.randint(0, 60))]
+        placed, rest = pack(lengths, 64, False)
+        want = [(i, start, size, q) for q, s in enumerate(plain_pack(lengths, 64)) for i, start, size in s]
+        assert sorted(p[:4] for p in placed) == sorted(want)
+        assert sum(p[2] for p in placed) + sum(x[2] for x in rest) == sum(lengths) and sum(x[2] for x in rest) < 64
+
+
+def test_windows_close_by_tokens_and_long_texts_are_cut_once(spark, monkeypatch):
+    import tidemark.llm.packing as packing
+
+    monkeypatch.setattr(packing, "TOKENS", 500)
+    docs = [(i, "word " * (50 * i)) for i in range(12)] + [(99, "long text of many words " * 20_000)]
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), PATH, length=64).collect()
+    plain = Tokenizer.from_file(PATH)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    for d, text in docs:
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(by[d], key=lambda r: r.start)]).tolist()
+        assert ids == [*plain.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_empty(empty):
     assert pack_documents(empty, PATH).collect() == []

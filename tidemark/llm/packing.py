@@ -15,8 +15,8 @@ from tidemark.llm.shared import per_worker
 
 #: Tokens of a sequence, id that ends a document, attention cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LENGTH, END, LINEAR, QUADRATIC = 2048, 1, 1.0, 1.0 / 1024
-#: Documents packed together.
-WINDOW = 8192
+#: Documents packed together, and tokens at which a window closes before it has as many; pieces of a batch that goes out.
+WINDOW, TOKENS, PIECES = 8192, 1 << 22, 1024
 
 
 class Encoder:
@@ -98,7 +98,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
     A document's ids are the tokenizer's, without special tokens of its own, then `end`. Null text counts as empty; its only id is `end`.
     Documents with null or repeated ids are packed like any other; other columns are left out. An empty table gives an empty table.
 
-    Each task packs the rows that it scans, a window of documents at a time, so nothing is shuffled. Whole sequences are cut from long
+    Each task packs the rows that it scans, a window of documents (by number and tokens) at a time, so nothing is shuffled. Whole sequences are cut from long
     documents first. The remainders are packed by cost (see pack); what a window leaves over goes on to the next window, and
     at the end of a task into sequences of power-of-two lengths, so that no sequence needs padding. sequence_id holds the task's partition
     above 32 bits, so a task that runs again gives the same rows.
@@ -116,32 +116,35 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
             out: list[tuple] = []
             whole = []
             for key, ids, start, tokens in rows:
-                while len(ids) >= 4 * length:
-                    out.append((key, start, length, ids[: 4 * length], tokens, number, 0))
-                    ids, start, number = ids[4 * length :], start + length, number + 1
-                whole.append((key, ids, start, tokens))
+                full = len(ids) // (4 * length)
+                out += [(key, start + i * length, length, ids[4 * i * length : 4 * (i + 1) * length], tokens, number + i, 0) for i in range(full)]
+                number += full
+                whole.append((key, ids[4 * full * length :], start + full * length, tokens))
             placed, rest = pack([len(r[1]) // 4 for r in whole], length, last)
             for i, at, size, q, offset in placed:
                 key, ids, start, tokens = whole[i]
                 out.append((key, start + at, size, ids[4 * at : 4 * (at + size)], tokens, number + q, offset))
             number += 1 + max((p[3] for p in placed), default=-1)
             left = [(whole[i][0], whole[i][1][4 * at : 4 * (at + size)], whole[i][2] + at, whole[i][3]) for i, at, size in rest]
-            for i in range(0, len(out), WINDOW):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + WINDOW], strict=True), [key_type, *types], strict=True)], names)
+            for i in range(0, len(out), PIECES):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + PIECES], strict=True), [key_type, *types], strict=True)], names)
 
         key_type: pa.DataType | None = None
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         tail = np.asarray([end], "<u4").tobytes()
+        rows, held = [], 0
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for i in range(0, batch.num_rows, WINDOW):
-                part = batch.slice(i, WINDOW)
-                ids = [x + tail for x in map(coder.encode, [t or "" for t in part.column(1).to_pylist()])]
-                rows = [(k, x, 0, len(x) // 4) for k, x in zip(part.column(0).to_pylist(), ids, strict=True)]
-                yield from pieces(left + rows, False)
-        if left:
-            yield from pieces(left, True)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = coder.encode(text.as_py() or "") + tail
+                rows.append((key, ids, 0, len(ids) // 4))
+                held += len(ids) // 4
+                if len(rows) == WINDOW or held >= TOKENS:
+                    yield from pieces(left + rows, False)
+                    rows, held = [], 0
+        if left or rows:
+            yield from pieces(left + rows, True)
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
