@@ -1,10 +1,11 @@
 """Archives: parsing, round trip, revisits."""
 
+import gzip
 import hashlib
 
 import pytest
 
-from tidemark.llm.archives import FIELDS, archived, held_id, http_parts, inflated, parse_arc, parse_warc
+from tidemark.llm.archives import FIELDS, archived, files, held_id, http_parts, inflated, parse_arc, parse_warc, read_warc, write_warc
 
 
 def test_versions_of_arc():
@@ -39,3 +40,26 @@ def test_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("revisit", 9) if page in (1, 2) else ("response", None))
         assert r.payload == (None if page in (1, 2) else body)
     assert archived(pages.limit(0)).collect() == []
+
+
+def test_bytes_that_are_no_text_and_a_gzip_member_for_each_record(spark, tmp_path):
+    bodies = [bytes(range(256)) * 8, b"latin \xe9\xff\x00\r\n\r\nWARC/1.1\r\n" * 60, bytes(range(256)) * 8]
+    about = f"1 0 x\n{FIELDS[1]}\n".encode()
+    records = [b"filedesc://a.arc 0.0.0.0 19960923142103 text/plain %d\n" % len(about) + about + b"\n"]
+    for i, body in enumerate(bodies):
+        http = b"HTTP/1.0 200 OK\r\nX-Row-Id: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(body)) + body
+        records.append(b"http://a/%d 1.2.3.4 19990101120000 text/html %d\n" % (i, len(http)) + http + b"\n")
+    packed = b"".join(map(gzip.compress, records))
+    assert inflated(packed) == b"".join(records)
+    arcs = spark.createDataFrame([(packed,)], "content binary")
+    write_warc(arcs, str(tmp_path / "warc"))
+    got = {r.row_id: r for r in read_warc(files(str(tmp_path / "warc"), spark)).collect()}
+    assert {i: r.payload_digest for i, r in got.items()} == {i: hashlib.sha1(b).hexdigest() for i, b in enumerate(bodies)}
+    assert got[0].refers_to == 2 and got[2].payload == bodies[2] and got[1].payload == bodies[1]
+
+
+def test_repeated_ids_are_records_of_their_own(spark):
+    body = "x" * 2000
+    pages = spark.createDataFrame([(1, "u", body), (1, "u", body), (1, "v", "short"), (2, "w", body)], "page_id long, url string, html string")
+    got = sorted((r.row_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in archived(pages).collect())
+    assert got == [(1, "response", 0, 5), (1, "revisit", 2, 2000), (1, "revisit", 2, 2000), (2, "response", 0, 2000)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,13 +85,8 @@ def files(path: str, spark) -> DataFrame:
 
 
 def inflated(data: bytes) -> bytes:
-    """A gzipped file of one or more members, or a plain one."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join([*out, data])
+    """A gzipped file of one or more members, as archives with a member for each record are, or a plain one."""
+    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
 
 
 def convert(arcs: DataFrame, with_body: bool = True) -> DataFrame:
