@@ -96,9 +96,9 @@ def test_feed_list_and_robots(spark):
     got = sorted((r.url, r.published_at.isoformat()) for r in feeds.parse_news_list(listed, now()).collect())
     assert [u for u, _ in got] == ["https://n.example/news/view/1", "https://n.example/news/view/2"]
     assert feeds.discover_links(listed).first().next_page_url == "https://n.example/news/2"
-    robots = spark.createDataFrame([("https://n.example", 200, "User-agent: *\nDisallow: /\n\nUser-agent: SignalistResearchBot\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\nDisallow:"), ("https://down.example", 503, "")], "origin string, status int, text string")
+    robots = spark.createDataFrame([("https://n.example", 200, "User-agent: *\nDisallow: /\n\nUser-agent: ExampleBot\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\nDisallow:"), ("https://down.example", 503, "")], "origin string, status int, text string")
     u = spark.createDataFrame([(x,) for x in ("https://n.example/a", "https://n.example/private/x", "https://n.example/private/open/y", "https://n.example/a.pdf", "https://n.example/a.pdfx", "https://down.example/a", "https://other.example/a")], "url string")
-    got = {r.url.split("//")[1]: r.allowed for r in feeds.robots_filter(u, feeds.robots_rules(robots)).collect()}
+    got = {r.url.split("//")[1]: r.allowed for r in feeds.robots_filter(u, feeds.robots_rules(robots, "examplebot")).collect()}
     assert got == {"n.example/a": True, "n.example/private/x": False, "n.example/private/open/y": True, "n.example/a.pdf": False, "n.example/a.pdfx": True, "down.example/a": False, "other.example/a": True}
 
 

@@ -149,19 +149,16 @@ def counted(text: Column, positive: list[str] = POSITIVE, negative: list[str] =
 
 
 def strip_particle(token: Column) -> Column:
-    """A Korean token without the first particle of the list that it ends in, if more than one character stays."""
-    out = F.when(~token.rlike("[가-힣]$"), token)
-    for p in PARTICLES:
-        out = out.when(token.endswith(p) & (F.length(token) > len(p) + 1), F.substring(token, F.lit(1), F.length(token) - len(p)))
-    return out.otherwise(token)
-
-
-def keyword_tokens(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Tokens that can be keywords, as often as they occur."""
-    tokens = F.filter(F.split(c, "[^0-9A-Za-z가-힣%]+", -1), lambda t: F.length(t) >= 2)
-    tokens = F.transform(tokens, strip_particle)
-    fine = lambda t: F.length(t).between(2, 20) & ~F.lower(t).isin(stopwords) & ~t.rlike("^[0-9]+$") & ~t.rlike("^[A-Za-z]{1,3}$")
-    return F.filter(tokens, fine)
+    """A Korean token without the first particle of the list that it ends in, if more than one character stays.
+
+    In the list no particle stands before one that ends in it, so the first that fits is the longest: the leftmost match before the end.
+    """
+    return F.when(token.rlike("[가-힣]$"), F.regexp_replace(token, f"(?<=..)(?:{'|'.join(PARTICLES)})$", "")).otherwise(token)
+
+
+def keyword(token: Column, stopwords: list[str] = STOPWORDS) -> Column:
+    """Whether a token, rid of its particle, can be a keyword."""
+    return F.length(token).between(2, 20) & ~F.lower(token).isin(stopwords) & ~token.rlike("^[0-9]+$") & ~token.rlike("^[A-Za-z]{1,3}$")
 
 
 def content_hash(title: Column, excerpt: Column) -> Column:
