@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from tidemark.streaming import jobs
 
 T = datetime(2024, 1, 1)
@@ -22,8 +24,10 @@ def test_insert_and_insights(spark, tmp_path):
         jobs.insert_stream(items, store, str(tmp_path / f"state{n}")).awaitTermination()
     assert sorted(r.canonical_url for r in spark.read.parquet(store).collect()) == ["a", "b"]
     seen = []
-    jobs.insight_stream(items, lambda b: b.select("article_id"), lambda i, n: seen.extend(r.article_id for r in i.collect()), str(tmp_path / "s")).awaitTermination()
-    assert sorted(seen) == [1, 2, 3]
+    waiting = items.withColumns({"attempts": F.lit(2), "insight_status": F.lit("대기")})
+    lost = []
+    jobs.insight_stream(waiting, lambda b: b.where("article_id <> 2").select("article_id"), lambda i, n: seen.extend(r.article_id for r in i.collect()), lambda a, n: lost.extend((r.article_id, r.attempts, r.insight_status) for r in a.collect()), str(tmp_path / "s")).awaitTermination()
+    assert sorted(seen) == [1, 3] and lost == [(2, 3, "오류")]
 
 
 def test_reuse_within_ttl(spark, tmp_path):

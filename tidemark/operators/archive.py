@@ -117,6 +117,11 @@ def source_stats(sources: DataFrame, articles: DataFrame, runs: DataFrame) -> Da
     return out.select("source_id", "name", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
+def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Articles with source_name, the name of their source; sources are few beside articles, and Spark's size estimate decides whether they are broadcast."""
+    return articles.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+
+
 def recent_articles(articles: DataFrame, since: datetime, limit: int = 40) -> DataFrame:
     """The newest articles since a time."""
     return articles.where(F.col("published_at") >= F.lit(since).cast("timestamp")).orderBy(F.desc("published_at"), F.desc("article_id")).limit(limit)

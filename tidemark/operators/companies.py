@@ -39,42 +39,82 @@ def company_tickers(raw: DataFrame, least: int = 1000) -> DataFrame:
     """Companies (key, ticker, name, aliases) of ticker files (json: a map of rows): a key's first row represents it, its further tickers are aliases. Fewer rows than `least` are an error."""
     rows = raw.select(F.explode(F.from_json("json", "map<string,struct<cik_str:long,ticker:string,title:string>>")).alias("k", "r"))
     rows = rows.select(F.col("k").try_cast("int").alias("pos"), F.lpad(F.col("r.cik_str").cast("string"), 10, "0").alias("key"), normalize_ticker(F.col("r.ticker")).alias("ticker"), F.col("r.title").alias("name"))
-    one = rows.groupBy("key").agg(F.min_by("name", "pos").alias("name"), F.sort_array(F.collect_list(F.struct("pos", "ticker"))).alias("t"), F.count("*").alias("n"))
-    one = one.withColumn("rows", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    one = rows.groupBy("key").agg(F.min_by("name", "pos").alias("name"), F.sort_array(F.collect_list(F.struct("pos", "ticker"))).alias("t"))
+    one = one.crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows"))))  # one row
     fine = F.when(F.col("rows") < least, F.raise_error(F.lit("too few companies"))).otherwise(F.col("key"))
     return one.select(fine.alias("key"), F.col("t")[0]["ticker"].alias("ticker"), "name", F.transform(F.slice(F.col("t"), F.lit(2), F.size("t")), lambda x: x["ticker"]).alias("aliases"))
 
 
-def unzipped(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """(path, line) of zipped text files (path, content); the Java decoders lack some encodings."""
+def unzipped(files: DataFrame, encoding: str = "utf-8", member: str = "") -> DataFrame:
+    """(path, text) of zipped text files (path, content), of members with a name's ending; the Java decoders lack some encodings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        yield pd.DataFrame({"path": path, "line": z.read(name).decode(encoding, "replace").splitlines()})
+                    texts = [z.read(n).decode(encoding, "replace") for n in z.namelist() if n.lower().endswith(member)]
+                yield pd.DataFrame({"path": path, "text": texts})
 
-    return files.select("path", "content").mapInPandas(run, "path string, line string")
+    return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
 def corp_codes(files: DataFrame, least: int = 100) -> DataFrame:
     """Listed companies (key, ticker, name, name_en, as_of) of zipped XML lists (path, content); as_of is the latest change of any. Fewer than `least` are an error."""
-    text = unzipped(files).groupBy("path").agg(F.array_join(F.collect_list("line"), "\n").alias("xml"))
-    each = text.select(F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<list>(.*?)</list>"), F.lit(1))).alias("b"))
+    each = unzipped(files).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<list>(.*?)</list>"), F.lit(1))).alias("b"))
     part = lambda n: F.trim(F.regexp_extract("b", rf"(?s)<{n}>(.*?)</{n}>", 1))
     rows = each.select(part("corp_code").alias("key"), part("stock_code").alias("ticker"), part("corp_name").alias("name"), part("corp_eng_name").alias("name_en"), part("modify_date").alias("m")).where("ticker <> ''")
-    whole = Window.partitionBy(F.lit(0))
-    rows = rows.withColumns({"n": F.count("*").over(whole), "as_of": format_yyyymmdd(F.max("m").over(whole))})
+    whole = rows.agg(F.count("*").alias("n"), format_yyyymmdd(F.max("m")).alias("as_of"))
+    rows = rows.crossJoin(F.broadcast(whole))  # one row
     return rows.select(F.when(F.col("n") < least, F.raise_error(F.lit("too few companies"))).otherwise(F.col("key")).alias("key"), "ticker", "name", "name_en", "as_of")
 
 
-def stock_master(lines: DataFrame, tail: int) -> DataFrame:
-    """Listed stocks (code, isin, name, group_code) of fixed-width rows (line), whose layout counts from the right: the last `tail` characters hold the codes; only group ST."""
-    n = F.length("line")
-    head = F.substring("line", F.lit(1), n - tail)
-    rows = lines.where(n > tail + 21).select(F.trim(F.substring(head, 1, 9)).alias("code"), F.trim(F.substring(head, 10, 12)).alias("isin"), F.trim(F.substring(head, F.lit(22), n)).alias("name"), F.trim(F.substring("line", n - tail + 1, F.lit(2))).alias("group_code"))
-    return rows.where("group_code = 'ST'")
+# Of a market's rows the width of the block at the right end, and where in it (from 0) group, halt, kind of share and market value stand.
+MASTERS = {
+    "KOSPI": {"tail": 227, "group": (0, 2), "halted": (60, 61), "preferred": (158, 159), "market_cap": (212, 221)},
+    "KOSDAQ": {"tail": 221, "group": (0, 2), "halted": (55, 56), "preferred": (153, 154), "market_cap": (206, 215)},
+}
+SPAC, MASTER_ENCODING = "스팩|기업인수목적", "cp949"
+
+
+def stock_master(files: DataFrame, exchange: str) -> DataFrame:
+    """Stocks that trade (key, ticker, name, source, exchange, rank_hint, market_cap) of a market's zipped fixed-width rows (path, content), whose layout counts from the right end.
+
+    Only shares (group ST) that aren't halted; rank_hint puts common before preferred shares and these before shells for mergers; market_cap is 0 where it isn't a number.
+    """
+    at = MASTERS[exchange]
+    lines = unzipped(files, MASTER_ENCODING, ".mst").select(F.explode(F.split("text", r"\r?\n", -1)).alias("line")).where(F.length("line") > at["tail"] + 21)
+    rows = lines.select("line", F.substring("line", F.length("line") - at["tail"] + 1, F.lit(at["tail"])).alias("tail"))
+    part = lambda name: F.trim(F.substring("tail", at[name][0] + 1, at[name][1] - at[name][0]))
+    rows = rows.select(normalize_ticker(F.substring("line", 1, 9)).alias("key"), F.trim(F.substring("line", F.lit(22), F.length("line") - at["tail"] - 21)).alias("name"), *[part(n).alias(n) for n in ("group", "halted", "preferred", "market_cap")])
+    rows = rows.where("group = 'ST' and halted <> 'Y' and key <> '' and name <> ''")
+    hint = F.when(F.col("name").rlike(SPAC), 2).when(F.col("preferred").isin("", "0"), 0).otherwise(1)
+    cap = F.when(F.col("market_cap").rlike("^[0-9]+$"), F.col("market_cap").cast("double")).otherwise(0.0)
+    return rows.select("key", F.col("key").alias("ticker"), "name", F.lit(f"KIS 종목마스터({exchange})").alias("source"), F.lit(exchange).alias("exchange"), hint.alias("rank_hint"), cap.alias("market_cap"))
+
+
+def stock_masters(masters: list[DataFrame], least: int = 500) -> DataFrame:
+    """The markets' stocks in one table; fewer than `least` in all are an error."""
+    rows = masters[0]
+    for more in masters[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))  # one row
+    return rows.withColumn("key", F.when(F.col("_n") < least, F.raise_error(F.lit("too few stocks"))).otherwise(F.col("key"))).drop("_n")
+
+
+def holders(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(needle, name): the names that hold a needle, by equi-joins: a needle goes by the one of its grams that the fewest names hold, then what shares that is verified.
+
+    Grams have three characters, or as many as the needle if that is shorter.
+    """
+    needles = needles.select("needle").where("needle <> ''").distinct().withColumn("size", F.least(F.lit(3), F.length("needle")))
+    names = names.select("name").where("name <> ''").distinct()
+    grams = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substring(F.col(c), i, size)))
+    sizes = names.crossJoin(F.broadcast(names.sparkSession.range(1, 4).select(F.col("id").cast("int").alias("size"))))  # three rows
+    index = sizes.select("name", "size", F.explode(grams("name", F.col("size"))).alias("gram")).where(F.length("gram") == F.col("size"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = needles.select("needle", F.explode(grams("needle", F.col("size"))).alias("gram")).join(counts, "gram", "left")
+    rare = asked.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return rare.join(index, "gram").where(F.contains("name", F.col("needle"))).select("needle", "name")
 
 
 def name_map(companies: DataFrame) -> DataFrame:
@@ -107,7 +147,8 @@ def resolve_companies(queries: DataFrame, companies: DataFrame, aliases: DataFra
     found = F.coalesce("by_key", "by_ticker", F.when(F.size("by_name") == 1, F.col("by_name")[0]), F.when(F.size("by_name") > 1, F.lit("")), "by_alias")
     out = out.withColumn("found", found)
     open_q = out.where("found is null and nk <> ''").select("query", "nk")
-    parts = open_q.join(names, F.contains(F.col("name_key"), F.col("nk"))).select("query", F.explode("keys").alias("key")).groupBy("query").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
+    held = holders(open_q.select(F.col("nk").alias("needle")), names.select(F.col("name_key").alias("name"))).withColumnsRenamed({"needle": "nk", "name": "name_key"})
+    parts = open_q.join(held, "nk").join(names, "name_key").select("query", F.explode("keys").alias("key")).groupBy("query").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key"))
     out = out.join(parts.where("n = 1").select("query", F.col("key").alias("by_part")), "query", "left")
     key = F.when(F.col("found") != "", F.col("found")).when(F.col("found").isNull(), F.col("by_part"))
     method = F.when(F.col("by_key").isNotNull(), "key").when(F.col("by_ticker").isNotNull(), "ticker").when(F.size("by_name") == 1, "name").when(F.size("by_name") > 1, None).when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_part").isNotNull(), "part")
@@ -118,14 +159,18 @@ def resolve_companies(queries: DataFrame, companies: DataFrame, aliases: DataFra
 def autocomplete(queries: DataFrame, companies: DataFrame, limit: int = 10) -> DataFrame:
     """(query, rank, key, priority): tickers that equal or begin with a query, names that begin with or hold it; then common stock before others, large before small, short names first.
 
-    The comparison is with every company; queries are typed by people and few.
+    Tickers meet queries on each of their beginnings, names on grams (see holders), so neither side is compared with all of the other.
     """
     q = queries.select("query").distinct().withColumns({"code": normalize_ticker(F.col("query")), "needle": normalize_name(F.col("query"))}).where("trim(query) <> ''")
     c = companies.withColumn("n", normalize_name(F.col("name")))
     cap = F.coalesce("market_cap", F.lit(0.0)) if "market_cap" in companies.columns else F.lit(0.0)
     hint = F.col("rank_hint") if "rank_hint" in companies.columns else F.lit(0)
-    held = (F.col("code") != "") & F.startswith("ticker", F.col("code")) | (F.col("needle") != "") & F.contains(F.col("n"), F.col("needle"))
-    hits = c.select("key", "ticker", "name", "n", cap.alias("cap"), hint.alias("hint")).join(q, held)
+    c = c.select("key", "ticker", "name", "n", cap.alias("cap"), hint.alias("hint"))
+    starts = c.withColumn("code", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ticker"))), lambda i: F.substring("ticker", F.lit(1), i)))).where("code <> ''")
+    by_ticker = q.join(starts, "code")
+    held = holders(q.select("needle"), c.select(F.col("n").alias("name"))).withColumnRenamed("name", "n")
+    by_name = q.join(held, "needle").join(c, "n")
+    hits = by_ticker.unionByName(by_name).distinct()
     p = F.when(F.col("ticker") == F.col("code"), 0).when((F.col("code") != "") & F.startswith("ticker", F.col("code")), 1).when(F.startswith("n", F.col("needle")), 2).otherwise(3)
     order = Window.partitionBy("query").orderBy("priority", "hint", F.desc("cap"), F.length("name"), "key")
     return hits.withColumn("priority", p).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "rank", "key", "priority")

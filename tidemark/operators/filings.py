@@ -106,7 +106,7 @@ def submissions(raw: DataFrame) -> DataFrame:
     each = each.select("cik", F.posexplode(F.slice(F.arrays_zip(*[F.col("r")[n].alias(n) for n in names]), F.lit(1), F.col("k"))).alias("pos", "f"))
     plain = F.replace("f.accessionNumber", F.lit("-"), F.lit(""))
     tail = F.when(F.coalesce("f.primaryDocument", F.lit("")) != "", F.concat(F.lit("/"), "f.primaryDocument")).otherwise(F.lit(""))
-    url = F.when(F.col("f.accessionNumber") != "", F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace(F.col("cik").cast("string"), "^0+", ""), F.lit("/"), plain, tail)).otherwise(F.lit(""))
+    url = F.when(F.col("f.accessionNumber") != "", F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace(F.col("cik").cast("string"), "^0+(?=.)", ""), F.lit("/"), plain, tail)).otherwise(F.lit(""))
     return each.select("cik", "pos", "f.form", F.col("f.filingDate").alias("filed_at"), F.coalesce(F.nullif("f.reportDate", F.lit("")), "f.filingDate").alias("period_of_report"), F.col("f.accessionNumber").alias("accession"), url.alias("url"))
 
 

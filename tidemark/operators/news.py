@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clamp, half_up
-from tidemark.functions.text import MATERIAL, NEGATIVE, POSITIVE, STOPWORDS, analyze_news, counted, keyword_tokens
+from tidemark.functions.text import MATERIAL, NEGATIVE, POSITIVE, STOPWORDS, analyze_news, counted, keyword, strip_particle
 
 # What a model may say.
 SENTIMENTS = ["긍정", "부정", "중립"]
@@ -30,8 +30,10 @@ def analyzed(df: DataFrame, text: Column, symbol: Column | None = None, company:
 
 def keywords(articles: DataFrame, limit: int = 8, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """(article_id, keywords): tokens by weight (four in the title, one in the body, more than one in all), ties by token."""
-    words = F.concat(F.transform(keyword_tokens(F.col("title"), stopwords), lambda t: F.struct(t.alias("token"), F.lit(4).alias("w"))), F.transform(keyword_tokens(F.col("body"), stopwords), lambda t: F.struct(t.alias("token"), F.lit(1).alias("w"))))
-    each = articles.select("article_id", F.inline(words)).groupBy("article_id", "token").agg(F.sum("w").alias("w")).where("w > 1")
+    parts = articles.select("article_id", F.explode(F.array(F.struct(F.col("title").alias("text"), F.lit(4).alias("w")), F.struct(F.col("body").alias("text"), F.lit(1).alias("w")))).alias("p"))
+    tokens = parts.select("article_id", "p.w", F.explode(F.split("p.text", "[^0-9A-Za-z가-힣%]+", -1)).alias("t")).where(F.length("t") >= 2)
+    tokens = tokens.select("article_id", "w", strip_particle(F.col("t")).alias("token"))
+    each = tokens.where(keyword(F.col("token"), stopwords)).groupBy("article_id", "token").agg(F.sum("w").alias("w")).where("w > 1")
     n = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("w"), "token"))
     top = each.withColumn("n", n).where(F.col("n") <= limit).groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("k"))
     return articles.select("article_id").join(top.select("article_id", F.transform("k", lambda x: x["token"]).alias("keywords")), "article_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))

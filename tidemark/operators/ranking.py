@@ -125,18 +125,35 @@ def trade_plan(price: Column, atr: Column, aversion: Column) -> Column:
     return F.when((price > 0) & (atr > 0), F.struct((price - atr * 0.55).alias("entry_low"), (price - atr * 0.15).alias("entry_high"), stop.alias("stop"), target.alias("target")))
 
 
-def winsorized_z(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    """df with z_<name> for each name: values clipped at their 5 % order statistics within `by`, standardised by the population's deviation; 0 if it has none.
+def order_statistics(values: DataFrame, by: list[str], low: Column, high: Column, bins: int = 1024) -> DataFrame:
+    """(by, lo, hi): of the values (by, v) of each group those at two ranks from 1 on, given as expressions over its count n.
 
-    What is gathered per group is one number a symbol and factor.
+    Values are counted by ranges of equal width, which says in which range a rank lies, and only that range's distinct values are put in order: no group passes through one task.
     """
-    ordered = df.groupBy(*by).agg(F.count("*").alias("_n"), *[F.sort_array(F.collect_list(c)).alias(f"_{c}") for c in names])
-    low, high = F.greatest(F.lit(0), F.floor(F.col("_n") * 0.05) - 1) + 1, F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95)) + 1
-    ends = ordered.select(*by, *[F.element_at(f"_{c}", e.cast("int")).alias(f"_{k}_{c}") for c in names for k, e in (("lo", low), ("hi", high))])
-    clipped = df.join(ends, by).withColumns({f"_c_{c}": F.least(F.col(f"_hi_{c}"), F.greatest(F.col(f"_lo_{c}"), F.col(c))) for c in names})
-    w = Window.partitionBy(*by)
-    z = {f"z_{c}": F.when(F.stddev_pop(f"_c_{c}").over(w) > 0, (F.col(f"_c_{c}") - F.avg(f"_c_{c}").over(w)) / F.stddev_pop(f"_c_{c}").over(w)).otherwise(0.0) for c in names}
-    return clipped.withColumns(z).drop(*[f"_{k}_{c}" for c in names for k in ("lo", "hi", "c")])
+    counts = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
+    span = counts.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("c").alias("n"))
+    span = span.select(*by, "least", "most", low.alias("r_lo"), high.alias("r_hi"))
+    counts = counts.join(span, by).withColumn("bin", F.when(F.col("most") > F.col("least"), F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * bins)).otherwise(0))
+    per = counts.groupBy(*by, "bin").agg(F.sum("c").alias("m"), F.first("r_lo").alias("a"), F.first("r_hi").alias("b"))
+    ahead = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    inside = lambda rank: (F.col(rank) > F.col("ahead")) & (F.col(rank) <= F.col("ahead") + F.col("m"))
+    per = per.withColumn("ahead", ahead).where(inside("a") | inside("b")).select(*by, "bin", "ahead")
+    so_far = F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("ahead")
+    near = counts.join(per, [*by, "bin"]).withColumn("so_far", so_far)
+    return near.groupBy(*by).agg(*[F.min(F.when(F.col("so_far") >= F.col(f"r_{k}"), F.col("v"))).alias(k) for k in ("lo", "hi")])
+
+
+def winsorized_z(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """df with z_<name> for each name: values clipped at their 5 % order statistics within `by`, standardised by the population's deviation; 0 if it has none."""
+    low, high = F.greatest(F.lit(0), F.floor(F.col("n") * 0.05) - 1) + 1, F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)) + 1
+    values = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("v")) for c in names])))
+    ends = order_statistics(values, [*by, "_name"], low, high)
+    at = lambda c, k: F.max(F.when(F.col("_name") == c, F.col(k))).alias(f"_{k}_{c}")
+    clipped = df.join(ends.groupBy(*by).agg(*[at(c, k) for c in names for k in ("lo", "hi")]), by)
+    clipped = clipped.withColumns({f"_c_{c}": F.least(F.col(f"_hi_{c}"), F.greatest(F.col(f"_lo_{c}"), F.col(c))) for c in names})
+    moments = clipped.groupBy(*by).agg(*[f(f"_c_{c}").alias(f"_{k}_{c}") for c in names for k, f in (("avg", F.avg), ("sd", F.stddev_pop))])
+    z = {f"z_{c}": F.when(F.col(f"_sd_{c}") > 0, (F.col(f"_c_{c}") - F.col(f"_avg_{c}")) / F.col(f"_sd_{c}")).otherwise(0.0) for c in names}
+    return clipped.join(moments, by).withColumns(z).drop(*[f"_{k}_{c}" for c in names for k in ("lo", "hi", "c", "avg", "sd")])
 
 
 def rank(scores: DataFrame, regime: DataFrame, limit: int | None = 5, by: tuple[str, ...] = ("as_of",)) -> DataFrame:
@@ -146,10 +163,10 @@ def rank(scores: DataFrame, regime: DataFrame, limit: int | None = 5, by: tuple[
     after standardising. Scores are ranked as rounded to a tenth, ties by symbol.
     """
     by = list(by)
-    fit = eligible(scores)
+    fit = eligible(scores).persist()  # read once for each statistic
     z = winsorized_z(fit, list(WEIGHTS), by)
-    group = Window.partitionBy(*by)
-    z = z.withColumn("news_on", F.avg((F.col("news_observations") > 0).cast("double")).over(group) >= NEWS_COVERAGE)
+    covered = fit.groupBy(*by).agg((F.avg((F.col("news_observations") > 0).cast("double")) >= NEWS_COVERAGE).alias("news_on"))
+    z = z.join(covered, by)
     r = regime.select(*[c for c in by if c in regime.columns], risk_off(F.col("vix"), F.col("usdkrw_change_20d"), F.col("credit_spread_change_bp_20d")).alias("aversion"))
     keyed = [c for c in by if c in regime.columns]
     z = z.join(r, keyed) if keyed else z.crossJoin(F.broadcast(r))  # one row

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.news import retry_outcomes
+
 
 def unique_items(items: DataFrame, key: str = "canonical_url", window: str = "36 hours") -> DataFrame:
     """A stream's items without those that are too late, and without repeats of a key while its window lasts."""
@@ -36,28 +38,38 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def insert_stream(items: DataFrame, store: str, state: str):
-    """Appends a stream's items to a Parquet store unless it has their canonical_url already; each micro-batch is checked against the whole store."""
+def insert_stream(items: DataFrame, store: str, state: str, buckets: int = 256):
+    """Appends a stream's items to a Parquet store unless it has their canonical_url already.
+
+    The store is laid out by buckets of the URL's hash, and a micro-batch reads only the URLs of buckets that it has items for. The folder is made before the stream starts, so an empty store is no error.
+    """
+    spark = items.sparkSession
+    bucket = F.pmod(F.xxhash64("canonical_url"), F.lit(buckets)).cast("int")
+    schema = items.withColumns({"batch": F.lit(0).cast("long"), "bucket": bucket}).schema
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("bucket").parquet(store)
 
     def insert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["canonical_url"])
-        try:
-            new = new.join(spark.read.parquet(store).select("canonical_url"), "canonical_url", "left_anti")
-        except Exception as missing:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        new = batch.dropDuplicates(["canonical_url"]).withColumns({"batch": F.lit(number).cast("long"), "bucket": bucket})
+        held = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        known = batch.sparkSession.read.schema(schema).parquet(store).where(F.col("bucket").isin(held)).select("canonical_url", "bucket")
         # rows of a batch that runs again after a failure are in the store already, so they are left out
-        new.withColumn("batch", F.lit(number)).write.mode("append").parquet(store)
+        new.join(known, ["canonical_url", "bucket"], "left_anti").select(*schema.fieldNames()).write.mode("append").partitionBy("bucket").parquet(store)
 
     return items.writeStream.foreachBatch(insert).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def insight_stream(pending: DataFrame, analyse, sink, state: str):
-    """Analyses a stream of waiting articles in micro-batches: analyse(batch) gives insights, sink(insights, number) upserts them (see upsert_insights), so a batch that runs again changes nothing."""
+def insight_stream(pending: DataFrame, analyse, sink, failed, state: str):
+    """Analyses a stream of waiting articles in micro-batches: analyse(batch) gives insights, sink(insights, number) upserts them (see upsert_insights), and failed(articles, number) gets the
+    articles without one, whose attempts and states retry_outcomes() says. A batch that runs again changes nothing if both write by its number."""
 
     def step(batch: DataFrame, number: int) -> None:
-        sink(analyse(batch.dropDuplicates(["article_id"])), number)
+        batch = batch.dropDuplicates(["article_id"]).persist()
+        found = analyse(batch).persist()
+        sink(found, number)
+        lost = batch.join(found.select("article_id"), "article_id", "left_anti")
+        failed(retry_outcomes(batch, lost).join(lost.select("article_id"), "article_id", "left_semi"), number)
+        found.unpersist()
+        batch.unpersist()
 
     return pending.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
 
