@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import archive as ops
 from tidemark.plans.registry import query
 from tidemark.sources import bindings as b
-from tidemark.sources.bindings import ARTICLES, BRIDGE, INSIGHTS, MENTIONS, RUNS, SOURCES
+from tidemark.sources.bindings import ARTICLES, BRIDGE, INSIGHTS, MENTIONS, PUBLISHERS, RUNS, SOURCES
 
 NOW = datetime(2024, 1, 15, 12)
 
@@ -34,11 +34,11 @@ def f2_clamp_window(spark, d):
 
 @query(f"""WITH {ARTICLES}, {INSIGHTS}, {BRIDGE} SELECT a.article_id, title FROM articles a LEFT JOIN insights i USING (article_id)
 WHERE cast(coalesce(published_at, collected_at) + INTERVAL 9 HOUR AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-25' AND sentiment = '긍정'
-  AND (contains(lower(title), 'the') OR contains(lower(excerpt), 'the') OR contains(lower(coalesce(summary, '')), 'the'))
+  AND (contains(lower(title), 'the') OR contains(lower(body), 'the') OR contains(lower(coalesce(summary, '')), 'the'))
   AND article_id IN (SELECT article_id FROM bridge WHERE symbol = 'S62')""")
 def f3_archive_filter(spark, d):
     """All predicates of the archive at once."""
-    found = ops.archive_filter(b.articles(spark, d), b.insights(spark, d), b.bridge(spark, d), "2024-01-01", "2024-01-25", None, "긍정", "S62", "The")
+    found = ops.archive_filter(b.articles(spark, d).withColumn("excerpt", F.col("body")), b.insights(spark, d), b.bridge(spark, d), "2024-01-01", "2024-01-25", None, "긍정", "S62", "The")
     return found.select("article_id", "title")
 
 
@@ -49,10 +49,10 @@ def f4_has_keyword_any(spark, d):
     return ops.has_keyword(b.insights(spark, d).join(a, "article_id"), "the", "words").select("article_id", "engine")
 
 
-@query(f"WITH {SOURCES} SELECT source_id, name, epoch_ms(next_crawl_at) AS next_crawl_at FROM sources WHERE is_active AND next_crawl_at <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY next_crawl_at, source_id LIMIT 20")
+@query(f"WITH {ARTICLES}, {PUBLISHERS} SELECT source_id, name, epoch_ms(next_crawl_at) AS next_crawl_at FROM publishers WHERE is_active AND next_crawl_at <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY next_crawl_at, source_id LIMIT 20")
 def f5_due_sources(spark, d):
     """Sources that are due."""
-    return ops.due_sources(b.sources(spark, d), NOW).select("source_id", "name", millis("next_crawl_at"))
+    return ops.due_sources(b.publishers(spark, d), NOW).select("source_id", "name", millis("next_crawl_at"))
 
 
 @query(f"WITH {ARTICLES} SELECT article_id FROM articles WHERE insight_status = '대기' ORDER BY published_at DESC NULLS FIRST, collected_at DESC, article_id DESC LIMIT 50")
@@ -180,3 +180,16 @@ def io16_replace_symbols(spark, d):
 def st4_reap_stuck(spark, d):
     """ST4: runs that hang are failed."""
     return ops.reap_stuck_runs(b.runs(spark, d), datetime(1998, 1, 1)).select("run_id", "status")
+
+
+@query(f"WITH {ARTICLES}, {PUBLISHERS} SELECT article_id, title, p.name AS source_name FROM articles JOIN publishers p USING (source_id)")
+def j1_with_source(spark, d):
+    """Articles with their sources' names."""
+    return ops.with_source(b.articles(spark, d), b.publishers(spark, d)).select("article_id", "title", "source_name")
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id FROM articles WHERE published_at < TIMESTAMP '2024-01-10 03:00:00' OR published_at = TIMESTAMP '2024-01-10 03:00:00' AND article_id < 500
+ORDER BY published_at DESC NULLS FIRST, article_id DESC LIMIT 30""")
+def k1_archive_after(spark, d):
+    """K1: the page that follows an article, by filter."""
+    return ops.archive_after(b.articles(spark, d), datetime(2024, 1, 10, 3), 500).select("article_id")

@@ -13,7 +13,7 @@ from tidemark.plans.registry import query, rounded
 from tidemark.sources import bindings as b
 from tidemark.sources.bindings import ARTICLES, BRIDGE
 
-FACTS_SQL = """f AS (SELECT o_custkey AS cik, CASE o_orderkey % 3 WHEN 0 THEN 'revenue' WHEN 1 THEN 'income' ELSE 'equity' END AS item, year(o_orderdate)::VARCHAR AS period, o_totalprice AS val, strftime(o_orderdate, '%Y-%m-%d') AS filed, o_orderkey AS pos FROM orders WHERE o_orderstatus = 'F'),
+FACTS_SQL = """f AS (SELECT o_custkey AS cik, CASE o_orderkey % 3 WHEN 0 THEN 'revenue' WHEN 1 THEN 'income' ELSE 'equity' END AS item, year(o_orderdate)::VARCHAR AS period, o_totalprice AS val, strftime(o_orderdate, '%Y-%m-%d') AS filed, o_orderkey AS pos FROM orders),
 l AS (SELECT cik, item, period, max_by(val, (filed, -pos)) AS value FROM f GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY cik, item ORDER BY period DESC) AS nth FROM l),
 r AS (SELECT cik, period AS rp FROM a WHERE item = 'revenue' AND nth = 1),
 o AS (SELECT cik, coalesce(max(rp), '') AS period, max(value) FILTER (item = 'revenue' AND nth = 1) AS rev, max(value) FILTER (item = 'revenue' AND nth = 2) AS prev,
@@ -26,7 +26,7 @@ RATIOS = ["trailing_pe", "price_to_book", "profit_margin_pct", "revenue_growth_p
 def x19_sec_fundamentals(spark, d):
     """Ratios from annual facts."""
     k = F.col("o_orderkey") % 3
-    o = b.table(spark, d, "orders").where("o_orderstatus = 'F'")
+    o = b.table(spark, d, "orders")
     facts = o.select(F.col("o_custkey").alias("cik"), F.lit("us-gaap").alias("taxonomy"), F.when(k == 0, "Revenues").when(k == 1, "NetIncomeLoss").otherwise("StockholdersEquity").alias("concept"), F.lit("USD").alias("unit"), F.lit(0).alias("unit_pos"), F.col("o_orderkey").alias("pos"), F.lit("10-K").alias("form"), F.year("o_orderdate").cast("string").alias("end"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"), F.col("o_totalprice").alias("val"))
     caps = b.table(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_acctbal").alias("market_cap"))
     return rounded(ops.sec_fundamentals(facts, caps).select("cik", "period", *RATIOS), RATIOS)
@@ -43,8 +43,10 @@ def w18_select_accounts(spark, d):
 
 @query("""WITH f AS (SELECT o_custkey AS cik, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n, CASE o_orderkey % 5 WHEN 0 THEN '10-Q' WHEN 1 THEN '20-F' WHEN 2 THEN '6-K' ELSE '8-K' END AS form FROM orders),
 r AS (SELECT cik, CASE WHEN bool_or(pos < 3 AND form = '10-Q') THEN '미국 내국법인 양식(10-K·10-Q)' WHEN bool_or(pos < 3 AND form = '20-F') THEN '미국 기준 외국법인 양식(20-F)' WHEN bool_or(pos < 3 AND form = '6-K') THEN '미국 기준 외국법인 양식(6-K 중심)' ELSE '미상' END AS reporting_regime,
-  CASE WHEN bool_or(n - pos <= 3 AND form = '10-Q') THEN '미국 내국법인 양식(10-K·10-Q)' WHEN bool_or(n - pos <= 3 AND form = '20-F') THEN '미국 기준 외국법인 양식(20-F)' WHEN bool_or(n - pos <= 3 AND form = '6-K') THEN '미국 기준 외국법인 양식(6-K 중심)' ELSE '미상' END AS previous_regime FROM f GROUP BY cik)
-SELECT *, previous_regime <> '미상' AND previous_regime <> reporting_regime AS regime_changed FROM r""")
+  CASE WHEN bool_or(n - pos <= 3 AND form = '10-Q') THEN '미국 내국법인 양식(10-K·10-Q)' WHEN bool_or(n - pos <= 3 AND form = '20-F') THEN '미국 기준 외국법인 양식(20-F)' WHEN bool_or(n - pos <= 3 AND form = '6-K') THEN '미국 기준 외국법인 양식(6-K 중심)' ELSE '미상' END AS previous_regime FROM f GROUP BY cik),
+y AS (SELECT cik, min_by(form, pos) AS annual_form FROM f WHERE form = '20-F' GROUP BY cik),
+c AS (SELECT cik, string_agg(form || ':' || n, ',' ORDER BY n DESC, p) AS form_counts FROM (SELECT cik, form, count(*) AS n, min(pos) AS p FROM f GROUP BY 1, 2) GROUP BY cik)
+SELECT r.*, previous_regime <> '미상' AND previous_regime <> reporting_regime AS regime_changed, annual_form, form_counts FROM r LEFT JOIN y USING (cik) JOIN c USING (cik)""")
 def x20_filer_profiles(spark, d):
     """Reporting regimes by forms."""
     from pyspark.sql import Window
@@ -53,7 +55,8 @@ def x20_filer_profiles(spark, d):
     o = b.table(spark, d, "orders")
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")) - 1
     f = o.select(F.col("o_custkey").alias("cik"), pos.alias("pos"), F.when(k == 0, "10-Q").when(k == 1, "20-F").when(k == 2, "6-K").otherwise("8-K").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed_at"))
-    return ops.filer_profiles(f, 3).select("cik", "reporting_regime", "previous_regime", "regime_changed")
+    counts = F.array_join(F.transform(F.map_entries("form_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return ops.filer_profiles(f, 3).select("cik", "reporting_regime", "previous_regime", "regime_changed", "annual_form", counts.alias("form_counts"))
 
 
 @query("""WITH r AS (SELECT c_custkey::VARCHAR AS symbol, DATE '1997-06-30' + (c_custkey % 400)::INT AS as_of FROM customer WHERE c_custkey % 3 = 0),
@@ -128,14 +131,25 @@ def j8_stored_news(spark, d):
 
 
 @query("""WITH c AS (SELECT user_id::VARCHAR AS provider, ts::TIMESTAMP AS ts, event_id, CASE event_type WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 503 ELSE 400 END ELSE 200 END AS status FROM events),
-k AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, CASE status WHEN 200 THEN '정상' WHEN 429 THEN 'quota' WHEN 401 THEN 'auth' WHEN 503 THEN 'transient' ELSE 'request' END AS state FROM c)
-SELECT provider, max(day)::VARCHAR AS usage_date_kst, max_by(used, day) AS used_today, sum(good)::BIGINT AS success_count, sum(used - good)::BIGINT AS failure_count FROM (SELECT provider, day, count(*) AS used, count(*) FILTER (status = 200) AS good FROM k GROUP BY 1, 2) GROUP BY 1""")
+k AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, CASE status WHEN 200 THEN '정상' WHEN 429 THEN 'quota' WHEN 401 THEN 'auth' WHEN 503 THEN 'transient' ELSE 'request' END AS state FROM c),
+u AS (SELECT *, date_trunc('day', ts + INTERVAL 9 HOUR) + INTERVAL 15 HOUR AS midnight FROM k),
+z AS (SELECT *, CASE state WHEN 'quota' THEN CASE WHEN event_id % 8 = 0 THEN ts + INTERVAL 27 SECOND ELSE least(midnight, ts + INTERVAL 1 HOUR) END WHEN 'auth' THEN ts + INTERVAL 6 HOUR WHEN 'request' THEN ts + INTERVAL 30 MINUTE WHEN 'transient' THEN ts + INTERVAL 5 MINUTE END AS until FROM u),
+l AS (SELECT provider, max(struct_pack(ts := ts, state := state, until := until)) AS l FROM z GROUP BY 1)
+SELECT p.provider, max(day)::VARCHAR AS usage_date_kst, max_by(used, day) AS used_today, sum(good)::BIGINT AS success_count, sum(used - good)::BIGINT AS failure_count, any_value(l.state) AS last_status, floor(epoch(any_value(l.until)))::BIGINT AS cooldown_until FROM (SELECT provider, day, count(*) AS used, count(*) FILTER (status = 200) AS good FROM k GROUP BY 1, 2) p JOIN l ON p.provider = l.provider GROUP BY 1""")
 def a12_provider_ledger(spark, d):
     """The ledger of calls by provider."""
     e = F.col("event_id") % 4
     status = F.when(F.col("event_type") != "error", 200).when(e == 0, 429).when(e == 1, 401).when(e == 2, 503).otherwise(400)
-    calls = b.table(spark, d, "events").select(F.col("user_id").cast("string").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.lit("").alias("detail"))
-    return stock_news.provider_ledger(calls).select("provider", F.col("usage_date_kst").cast("string").alias("usage_date_kst"), "used_today", "success_count", "failure_count")
+    calls = b.table(spark, d, "events").select(F.col("user_id").cast("string").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.when(F.col("event_id") % 8 == 0, '429 {"retryDelay": "27s"}').otherwise("").alias("detail"))
+    return stock_news.provider_ledger(calls).select("provider", F.col("usage_date_kst").cast("string").alias("usage_date_kst"), "used_today", "success_count", "failure_count", "last_status", F.unix_seconds("cooldown_until").alias("cooldown_until"))
+
+
+def stock_items(spark, d):
+    """Events as news items of stocks, and what is asked for."""
+    e = F.col("event_id")
+    items = b.table(spark, d, "events").select(F.concat(F.lit("ARM"), (F.col("user_id") % 20).cast("string")).alias("symbol"), F.when(e % 3 == 0, "DB").when(e % 3 == 1, "Naver").otherwise("GDELT").alias("provider"), e.alias("seq"), F.concat(F.lit("news of ARM"), (F.col("user_id") % 20).cast("string")).alias("title"), F.lit("").alias("summary"), F.concat(F.lit("https://x.com/"), (e % 500).cast("string"), F.lit("?utm_source="), F.col("event_type")).alias("url"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(e % 2 == 0, F.col("value")).alias("score"))
+    q = items.select("symbol").distinct().withColumns({"terms": F.array("symbol"), "since": F.lit(datetime(2023, 1, 1)).cast("timestamp"), "until": F.lit(datetime(2025, 1, 1)).cast("timestamp")})
+    return items, q
 
 
 @query("""WITH i AS (SELECT event_id AS seq, 'ARM' || (user_id % 20) AS symbol, CASE event_id % 3 WHEN 0 THEN 'DB' WHEN 1 THEN 'Naver' ELSE 'GDELT' END AS provider, event_id % 500 AS u, ts::TIMESTAMP AS ts, CASE WHEN event_id % 2 = 0 THEN value END AS score FROM events),
@@ -143,8 +157,5 @@ f AS (SELECT *, first_value(provider) OVER w AS fp, bool_or(provider = 'DB' AND
 k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY symbol, u ORDER BY CASE WHEN fp <> 'DB' AND has THEN CASE WHEN provider = 'DB' AND score IS NOT NULL THEN 0 ELSE 1 END ELSE 0 END, seq) = 1),
 r AS (SELECT *, 'stock-news:' || substr(sha256('https://x.com/' || u), 1, 32) AS id, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, 'stock-news:' || substr(sha256('https://x.com/' || u), 1, 32))::INT AS rank FROM k) SELECT symbol, rank, id, provider FROM r WHERE rank <= 12""")
 def w16_select_stock_news(spark, d):
-    """News chosen for each stock."""
-    e = F.col("event_id")
-    items = b.table(spark, d, "events").select(F.concat(F.lit("ARM"), (F.col("user_id") % 20).cast("string")).alias("symbol"), F.when(e % 3 == 0, "DB").when(e % 3 == 1, "Naver").otherwise("GDELT").alias("provider"), e.alias("seq"), F.concat(F.lit("news of ARM"), (F.col("user_id") % 20).cast("string")).alias("title"), F.lit("").alias("summary"), F.concat(F.lit("https://x.com/"), (e % 500).cast("string"), F.lit("?utm_source="), F.col("event_type")).alias("url"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(e % 2 == 0, F.col("value")).alias("score"))
-    q = items.select("symbol").distinct().withColumns({"terms": F.array("symbol"), "since": F.lit(datetime(2023, 1, 1)).cast("timestamp"), "until": F.lit(datetime(2025, 1, 1)).cast("timestamp")})
-    return stock_news.select_stock_news(items, q)[0].select("symbol", "rank", "id", "provider")
+    """News chosen for each stock."""
+    return stock_news.select_stock_news(*stock_items(spark, d))[0].select("symbol", "rank", "id", "provider")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import market as ops
 from tidemark.plans.registry import query, rounded
 from tidemark.sources import bindings as b
-from tidemark.sources.bindings import BARS_SQL
+from tidemark.sources.bindings import BARS, BARS_SQL, YEAR_SQL
 
 SNAPSHOT_SQL = f"""{BARS_SQL},
 pos AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY symbol) AS n, lag(close) OVER w AS prev,
@@ -27,10 +27,10 @@ NUMBERS = ["price", "high_52w", "atr_20", "max_drawdown_1y_pct", "avg_volume_20d
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in NUMBERS)
 
 
-@query(f"WITH {SNAPSHOT_SQL} SELECT symbol, observed_at::VARCHAR AS observed_at, bars, {ROUNDED}, alignment, price_above_ma_20, price_above_ma_60, price_above_ma_100 FROM snapshot")
+@query(f"WITH {SNAPSHOT_SQL.replace(BARS_SQL, YEAR_SQL)} SELECT symbol, observed_at::VARCHAR AS observed_at, bars, {ROUNDED}, alignment, price_above_ma_20, price_above_ma_60, price_above_ma_100 FROM snapshot")
 def a9_market_snapshot(spark, d):
-    """The latest state of each symbol."""
-    return rounded(ops.market_snapshot(b.bars(spark, d)), NUMBERS).withColumn("observed_at", F.col("observed_at").cast("string"))
+    """The latest state of each symbol, by a year's bars."""
+    return rounded(ops.market_snapshot(b.bars(spark, d, BARS)), NUMBERS).withColumn("observed_at", F.col("observed_at").cast("string"))
 
 
 @query(f"""WITH {BARS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos, count(*) OVER (PARTITION BY symbol) AS n,

@@ -33,7 +33,7 @@ def rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
 
 def load() -> None:
     """Imports all modules that register queries."""
-    from tidemark.plans import archive, filings, markets, ranking, streams, texts  # noqa: F401
+    from tidemark.plans import archive, details, filings, markets, ranking, streams, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def events(spark, d):
 
 def folder(spark) -> str:
     """A new folder in the shared one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix="spark-")}/{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id::VARCHAR AS symbol, event_type, count(DISTINCT 1) AS n FROM events GROUP BY 1, 2")

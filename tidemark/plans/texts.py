@@ -25,7 +25,7 @@ def contains_sql(words: list[str]) -> str:
 
 
 COMPACT = r"trim(regexp_replace({}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
-ANALYSIS_SQL = f"""{ARTICLES}, c AS (SELECT article_id, {COMPACT.format("substr(title || '. ' || excerpt, 1, 6500)")} AS t FROM articles),
+ANALYSIS_SQL = f"""{ARTICLES}, c AS (SELECT article_id, {COMPACT.format("substr(title || '. ' || body, 1, 6500)")} AS t FROM articles),
 n AS (SELECT *, {contains_sql(GOOD)} AS pos, {contains_sql(BAD)} AS neg, {contains_sql(WEIGHTY)} AS imp FROM c),
 m AS (SELECT *, pos - neg AS raw, CASE WHEN imp >= 3 THEN '높음' WHEN imp >= 1 THEN '보통' ELSE '낮음' END AS materiality,
   CASE WHEN regexp_matches(lower(t), 'earnings|revenue|guidance|forecast') THEN '실적·가이던스' WHEN regexp_matches(lower(t), 'contract|order') THEN '수주·사업계약' WHEN regexp_matches(lower(t), 'regulation|lawsuit|probe') THEN '규제·법률' WHEN regexp_matches(lower(t), 'investment|partnership') THEN '투자·파트너십' ELSE '산업·시장동향' END AS event_type FROM n)"""
@@ -37,8 +37,8 @@ m AS (SELECT *, pos - neg AS raw, CASE WHEN imp >= 3 THEN '높음' WHEN imp >= 1
   round(least(100, 52 + least(length(t) / 45.0::DOUBLE, 18) + imp * 2), 6) AS confidence,
   floor(greatest(-8, least(8, raw * CASE materiality WHEN '높음' THEN 2.4::DOUBLE WHEN '보통' THEN 1.5 ELSE 0.7 END)) + 0.5)::INT AS score_adjustment FROM m""")
 def t4_analyze_news(spark, d):
-    """The rule-based reading of articles."""
-    a = b.articles(spark, d).select("article_id", F.substring(F.concat("title", F.lit(". "), "excerpt"), 1, 6500).alias("t"))
+    """The rule-based reading of articles (of 6500 characters, as the rules have it)."""
+    a = b.articles(spark, d).select("article_id", F.substring(F.concat("title", F.lit(". "), "body"), 1, 6500).alias("t"))
     out = news.analyzed(a, F.col("t"), positive=GOOD, negative=BAD, material=WEIGHTY)
     out = out.select("article_id", "sentiment", F.col("sentiment_score").cast("int").alias("sentiment_score"), F.col("relevance").cast("int").alias("relevance"), "materiality", "event_type", "impact_horizon", F.col("confidence").cast("double").alias("confidence"), "score_adjustment")
     return rounded(out, ["confidence"])
@@ -121,14 +121,21 @@ def x3_visible_dates(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), F.unix_millis(t).alias("t"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents)
-SELECT doc_id, substr(trim(regexp_replace(title, '\s+', ' ', 'g')), 1, 500) AS title, 'https://news.example.com/a/' || doc_id AS url, epoch_ms(TIMESTAMP '2024-01-01' + to_minutes(doc_id) - INTERVAL 9 HOUR) AS published_at FROM w WHERE trim(title) <> '' AND NOT contains(title, '&') AND NOT contains(title, '<')""")
+@query(r"""WITH w AS (SELECT doc_id, substr(trim(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 500) AS title FROM documents)
+SELECT doc_id, title, 'https://news.example.com/a/' || doc_id AS url, epoch_ms(TIMESTAMP '2024-01-01' + to_minutes(doc_id) - INTERVAL 9 HOUR) AS published_at FROM w WHERE title <> ''""")
 def io2_parse_feed(spark, d):
-    """IO2, IO3: documents written as one-item feeds, and read again."""
-    doc = b.table(spark, d, "documents").withColumn("title", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
-    doc = doc.where("trim(title) <> '' and not contains(title, '&') and not contains(title, '<')")
-    day = F.date_format(F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int")), "dd MMM yyyy HH:mm:ss")
-    body = F.concat(F.lit("<rss><channel><item><title><![CDATA["), "title", F.lit("]]></title><link>/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x&amp;section=y</link><pubDate>Mon, "), day, F.lit(" +0900</pubDate></item></channel></rss>"))
+    """IO2, IO3: documents written as feeds of twenty, RSS and Atom in turn, and read again; items without a title go."""
+    line = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    title = F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    at = F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    atom = F.col("page") % 2 == 1
+    id_ = F.col("doc_id").cast("string")
+    doc = b.table(spark, d, "documents").select("doc_id", title.alias("title"), at.alias("at"), F.floor(F.col("doc_id") / 20).alias("page"))
+    entry = F.concat(F.lit("<entry><title>"), "title", F.lit('</title><link rel="alternate" href="/a/'), id_, F.lit('?utm_source=x"/><updated>'), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00</updated></entry>"))
+    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>/a/"), id_, F.lit("?utm_source=x&amp;section=y</link><pubDate>Mon, "), F.date_format("at", "dd MMM yyyy HH:mm:ss"), F.lit(" +0900</pubDate></item>"))
+    doc = doc.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.when(atom, entry).otherwise(item).alias("x")))).alias("items"))  # twenty at most
+    inner = F.array_join(F.transform("items", lambda i: i["x"]), "\n")
+    body = F.when(atom, F.concat(F.lit("<?xml?><feed>"), inner, F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), inner, F.lit("</channel></rss>")))
     pages = doc.select(F.lit("https://news.example.com/rss").alias("url"), body.alias("body")).where(feeds.looks_like_feed(F.col("body")))
     items = feeds.parse_feed(pages, F.lit(datetime(2024, 6, 1)).cast("timestamp"))
     return items.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "title", "url", F.unix_millis("published_at").alias("published_at"))
@@ -148,7 +155,7 @@ def f12_robots(spark, d):
     """which pages robots files let through, if each forbids /fr/ but for other agents."""
     pages = b.table(spark, d, "pages").select("page_id", "url")
     robots = pages.select(F.lower(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)).alias("origin")).distinct().withColumns({"status": F.lit(200), "text": F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nAllow: /f\n")})
-    return feeds.robots_filter(pages, feeds.robots_rules(robots)).select("page_id", "allowed")
+    return feeds.robots_filter(pages, feeds.robots_rules(robots, "examplebot")).select("page_id", "allowed")
 
 
 @query()
@@ -158,7 +165,7 @@ def t5_match_symbols(spark, d):
     return news.article_symbols(news.match_symbols(b.articles(spark, d), entries, ["thst"]))
 
 
-@query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || excerpt, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")} SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score, materiality FROM m""")
+@query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || body, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")} SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score, materiality FROM m""")
 def t9_rule_insight(spark, d):
     """Insights by rules; replies without JSON leave them as they are."""
     a = news.match_symbols(b.articles(spark, d), [("AAA", "The Company", "US", "one", ["the"])])

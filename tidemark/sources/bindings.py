@@ -88,6 +88,16 @@ SOURCES = """sources AS (
     TIMESTAMP '2024-01-15' + to_hours(n_nationkey * 7 % 25) AS next_crawl_at FROM nation)"""
 
 
+def publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of documents, with when each is due: a few hours before or after its latest article."""
+    a = articles(spark, sf_dir).groupBy("source_id").agg(F.max("article_id").alias("k"), F.max("collected_at").alias("at"))
+    return a.select("source_id", F.concat(F.lit("Source "), "source_id").alias("name"), (F.col("k") % 6 != 5).alias("is_active"), (F.col("at") + F.make_dt_interval(hours=(F.col("k") % 25 - 12).cast("int"))).alias("next_crawl_at"))
+
+
+PUBLISHERS = """publishers AS (
+  SELECT source_id, 'Source ' || source_id AS name, max(article_id) % 6 <> 5 AS is_active, max(collected_at) + to_hours(max(article_id) % 25 - 12) AS next_crawl_at FROM articles GROUP BY 1)"""
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as crawl runs."""
     k = F.col("o_orderkey")
@@ -126,11 +136,11 @@ MENTIONS = """mentions AS (
     CASE WHEN event_type IN ('purchase', 'signup') THEN '긍정' WHEN event_type = 'error' THEN '부정' ELSE '중립' END AS sentiment,
     CASE WHEN event_type <> 'view' THEN least(100.0, value) END AS score FROM events)"""
 
-#: Bars looked back on; what a bar's volume stands for (the tables' turnover is far below any curve of liquidity).
+#: Bars of a year, to which a9 alone is cut; what a bar's volume stands for (the tables' turnover is far below any curve of liquidity).
 BARS, VOLUME = 252, 1000.0
 
 
-def bars(spark: SparkSession, sf_dir: str, limit: int | None = BARS, volume_scale: float = VOLUME) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, limit: int | None = None, volume_scale: float = VOLUME) -> DataFrame:
     """lineitem as daily bars of suppliers: the price of a line is its price by its quantity; the latest `limit` bars of each (null: all)."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("nth"))
     out = line.groupBy("symbol", "date").agg(F.min_by("p", "nth").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "nth").alias("close"), (F.sum("l_quantity") * volume_scale).alias("volume"))
@@ -144,4 +154,5 @@ BARS_SQL = f"""all_bars AS (
   SELECT l_suppkey::VARCHAR AS symbol, l_shipdate::DATE AS date, min_by(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS open,
     max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, max_by(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS close,
     sum(l_quantity) * {VOLUME} AS volume FROM lineitem GROUP BY 1, 2),
-bars AS (SELECT * FROM all_bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= {BARS})"""
+bars AS (SELECT * FROM all_bars)"""
+YEAR_SQL = BARS_SQL.replace("(SELECT * FROM all_bars)", f"(SELECT * FROM all_bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= {BARS})")
