@@ -69,7 +69,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, spans) of the mix.
 
-    rows: a row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), row_hash, start (of its words in its source's stream).
+    rows: a row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), slots (in how many slots of the mix words of it stand, repeats counted), first_slot (the first, null if none), row_hash,
+    start (of its words in its source's stream).
     spans: the mix itself: slot, source, doc_id, row_hash, start, pass_no, from_word, to_word (of the document's words; the end is exclusive).
 
     Each source's documents, shuffled by a hash of their ids, form a stream of words that is read at most cap times and cut into
@@ -92,14 +93,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     begin, over = F.greatest("at", F.col("block") * block) - F.col("at"), F.least("end", (F.col("block") + 1) * block) - F.col("at")
     pieces = pieces.select("key", "block", "source", "id", "row_hash", "start", "size", "pass_no", begin.alias("from_word"), over.alias("to_word"))
     spans = saved(schedule(sources, block).join(pieces, ["key", "block"]))
-    taken = spans.groupBy("key", "start", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    rows = placed.join(taken, ["key", "start", "size"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken", "row_hash", "start"), spans.select("slot", "source", F.col("id").alias("doc_id"), "row_hash", "start", "pass_no", "from_word", "to_word")
+    taken = spans.groupBy("key", "start", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
+    rows = placed.join(taken, ["key", "start", "size"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("taken", "slots")})
+    return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken", "slots", "first_slot", "row_hash", "start"), spans.select("slot", "source", F.col("id").alias("doc_id"), "row_hash", "start", "pass_no", "from_word", "to_word")
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    """A hash of all columns of a row; what holds a map is hashed as JSON, since Spark hashes no maps."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
@@ -108,12 +109,13 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) ->
     A document that is read twice comes twice; one that isn't read goes.
     """
     _, spans = mix(docs, text=text, doc_id=doc_id, **how)
-    reads = spans.groupBy("doc_id", "row_hash", "source", "start", "pass_no").agg(F.max("to_word").alias("words"))
-    reads = reads.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.struct("source", "start", "pass_no", "words").alias("_read"))
+    reads = spans.groupBy("doc_id", "row_hash", "source", "start", "pass_no").agg(F.max("to_word").alias("words"), F.min_by("slot", "from_word").alias("slot"))
+    reads = reads.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.struct("slot", "source", "start", "pass_no", "words").alias("_read"))
     rows = docs.select(packed(docs).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), row_hash(docs).alias("_hash"), word_count(F.col(f"`{text}`")).alias("_size"))
     found = reads.join(rows.dropDuplicates(["_id", "_hash"]), ["_hash"]).where(reads["_id"].eqNullSafe(rows["_id"]))
     whole = F.col("_row").getField(text)
     words = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     short = F.array_join(F.slice(words, F.lit(1), F.col("_read.words").cast("int")), "")
     kept = F.when(F.col("_read.words") >= F.col("_size"), whole).otherwise(short)
+    found = found.sortWithinPartitions("_read")
     return found.select(*[(kept if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -35,11 +35,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each document gives to the mix."""
+    """What each document gives to the mix, and in which slots of its schedule."""
     from tidemark.llm.mixing import mix
 
     rows, _ = mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 ORACLE["op2_mixing"] = r"""
@@ -57,11 +57,24 @@ level AS (SELECT min_by(struct_pack(nth := nth, rest := rest, over_w := over_w),
 targets AS (
   SELECT source, source_size, CASE WHEN l IS NULL OR nth < l.nth THEN (2 * source_size)::DOUBLE ELSE l.rest * w / l.over_w END AS target FROM sums, level),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS take,
+  SELECT s.doc_id, s.size, s.source, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS take,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+parts AS (
+  SELECT *, sum(blocks) OVER (ORDER BY key)::BIGINT AS hi, sum(blocks) OVER ()::BIGINT AS total
+  FROM (SELECT coalesce('=' || source, '~') AS key, ceil(floor(target + 0.5) / 1024)::BIGINT AS blocks FROM targets) WHERE blocks > 0),
+points AS (SELECT i AS slot, i * 1327217885 % 2147483648 AS p FROM (SELECT unnest(range(0, (SELECT max(total) FROM parts))) AS i)),
+drawn AS (
+  SELECT slot, key, blocks, total, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS block FROM points JOIN parts
+  ON p >= floor((hi - blocks)::DOUBLE / total::DOUBLE * 2147483648) AND p < floor(hi::DOUBLE / total::DOUBLE * 2147483648)),
+slots AS (
+  SELECT slot, key, block FROM drawn WHERE block < blocks UNION ALL
+  SELECT total + block, key, block FROM (SELECT *, unnest(range((SELECT count(*) FROM drawn d WHERE d.key = parts.key), blocks)) AS block FROM parts)),
+passes AS (SELECT doc_id, source, start + n * source_size AS begun, least(start + n * source_size + size, take) AS till FROM placed, range(2) r(n) WHERE size > 0 AND start + n * source_size < take),
+pieces AS (SELECT *, unnest(range(begun // 1024, (till - 1) // 1024 + 1)) AS block FROM passes),
+stood AS (SELECT doc_id, count(*) AS slots, min(slot) AS first_slot FROM pieces p JOIN slots s ON s.key = coalesce('=' || p.source, '~') AND s.block = p.block GROUP BY doc_id)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, take) - start) + greatest(0, least(source_size + start + size, take) - source_size - start))::BIGINT AS taken FROM placed"""
+  (greatest(0, least(start + size, take) - start) + greatest(0, least(source_size + start + size, take) - source_size - start))::BIGINT AS taken, coalesce(slots, 0) AS slots, first_slot FROM placed LEFT JOIN stood USING (doc_id)"""
 
 
 @query
