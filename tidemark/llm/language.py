@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -133,10 +134,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
 
 
 def identify_pages(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", **how) -> DataFrame:
-    """As identify(), for pages: markup is cut from the text, the declared language is the html element's, suffix and host are the url's."""
+    """As identify(), for pages: markup is cut from the text and character references are decoded, the declared language is the html element's, suffix and host are the url's."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(unescape, na_action="ignore")
+
     plain = F.regexp_replace(F.regexp_replace(F.col(f"`{html}`"), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
     said = F.regexp_extract(F.col(f"`{html}`"), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z-]+)", 1)
-    rows = pages.select(F.col(f"`{page_id}`").alias("doc_id"), F.col(f"`{url}`").alias("url"), plain.alias("text"), said.alias("lang"))
+    rows = pages.select(F.col(f"`{page_id}`").alias("doc_id"), F.col(f"`{url}`").alias("url"), decoded(plain).alias("text"), said.alias("lang"))
     return identify(rows, url="url", host=None, **how).withColumnRenamed("doc_id", "page_id")
 
 
