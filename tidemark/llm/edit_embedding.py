@@ -19,6 +19,8 @@ SAMPLES, DRAWN, SEED = 32, 256, 20240607
 BAND, BANDS, LAST = 7, 16, 4
 #: Code of a text's end; its hexadecimal digit. Characters have codes below and digits 0 to e.
 STOP, PAD = 64, 15
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 1 << 27
 
 
 def sampled_steps(octave: int) -> np.ndarray:
@@ -96,12 +98,13 @@ def digits(rows: np.ndarray) -> list[str]:
 def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(chunk, ahead, id, text) in partitions by chunk of descending ids: each chunk's last row, marked ahead, is the first of the chunk that follows (after the last: the first).
 
-    Ids are cut at quantiles into as many chunks as the session has shuffle partitions; the driver gets a number for each chunk, no rows. Null ids come last.
+    Ids, which are integers, are cut at quantiles into chunks of some CHUNK_BYTES of text, at least as many as the session has shuffle partitions; the driver gets a number for each chunk, no rows. Null ids come last.
     """
     spark = docs.sparkSession
     order = F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).cast("long")
     rows = docs.select(order.alias("o"), F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
     cuts = sorted({int(c) for c in rows.stat.approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     edges = np.asarray(cuts, np.int64)
 
