@@ -15,8 +15,9 @@ from tidemark.operators import filings, indicators, news, stock_news
 from tidemark.plans import filings as filing_plans
 from tidemark.plans import ranking as ranking_plans
 from tidemark.plans.registry import query, rounded
+from tidemark.plans.streams import folder
 from tidemark.sources import bindings as b
-from tidemark.sources import feeds
+from tidemark.sources import feeds, tables
 from tidemark.sources.bindings import ARTICLES, BRIDGE
 from tidemark.streaming import jobs
 
@@ -331,3 +332,12 @@ def x21_profile_evidence(spark, d):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     f = b.table(spark, d, "orders").select(F.col("o_custkey").alias("cik"), pos.alias("pos"), F.when(k % 3 == 0, "10-K").when(k % 3 == 1, "8-K").otherwise("6-K").alias("form"), day.alias("filed_at"), F.concat(F.lit("A-"), k.cast("string")).alias("accession"), F.concat(F.lit("u"), k.cast("string")).alias("url"))
     return filings.profile_evidence(filings.filer_profiles(f, 100), f)
+
+
+@query(f"""WITH {ARTICLES} SELECT strftime(coalesce(published_at, collected_at) + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(*) AS n, count(published_at) AS dated, sum(sentiment_score)::BIGINT AS score, min(title) AS first_title, count(*) AS without_symbol_url FROM articles GROUP BY 1""")
+def io1_typed_tables(spark, d):
+    """IO1, IO17: articles written in folders by day and read again by the stored table's types; columns that they lack are null."""
+    path = folder(spark)
+    tables.write_articles(b.articles(spark, d).drop("body", "source_id"), path)
+    rows = tables.read(spark, "articles", path).withColumn("day", F.date_format(F.coalesce("published_at", "collected_at") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd"))
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.count("published_at").alias("dated"), F.sum("sentiment_score").alias("score"), F.min("title").alias("first_title"), F.count_if(F.col("canonical_url").isNull()).alias("without_symbol_url"))

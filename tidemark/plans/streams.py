@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,8 +20,11 @@ def events(spark, d):
 
 
 def folder(spark) -> str:
-    """A new folder in the shared one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix="spark-")}/{uuid.uuid4().hex}"
+    """A new folder in the one that the session names; a temporary one only for a session within one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id::VARCHAR AS symbol, event_type, count(DISTINCT 1) AS n FROM events GROUP BY 1, 2")
