@@ -1,9 +1,13 @@
 """The pipeline, stage by stage, over a small table."""
 
+import re
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_mixing import targets
+from tests.llm.test_near_dedup import brute, frequencies
 from tidemark.llm.shared import saved
 
 
@@ -22,7 +26,12 @@ def test_stages(spark, sf_dir):
     for r in seen[2].collect():
         assert all(len(x) < 10 or first[x.strip(" \t\r\x0b\x0c").lower()] == r.doc_id for x in r.text.split("\n"))
         assert r.n_chars == len(r.text)
-    assert len(ids[3]) == seen[3].count() and ids[3] <= ids[2]
+    texts = {r.doc_id: r.text for r in seen[2].collect()}
+    root, _ = brute(texts, frequencies(texts))
+    assert len(ids[3]) == seen[3].count() and ids[3] == {k for k, r in root.items() if k == r}
+    size = lambda d: {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in d.collect() if r.source == s) for s in {r.source for r in d.select("source").collect()}}
+    mixed = size(seen[4])
+    assert all(abs(mixed.get(s, 0) - target) <= 1 for s, target in targets(size(seen[3])).items())
     words = lambda d: sum(len(r.text.split()) for r in d.select("text").collect())
     assert abs(words(seen[4]) / words(seen[3]) - 1.5) < 0.02
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -6,88 +6,96 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BLANKS, components, cut_without_loss, packed, saved, small
+from tidemark.llm.mixing import row_hash
+from tidemark.llm.shared import components, cut_without_loss, packed, per_worker, saved, small
+from tidemark.llm.shingles import MIX1, MIX2, PRIME, scrambled, shingled
 
-#: Words of a shingle, similarity from which documents are near duplicates, bands and samples in a band.
-WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 3
+#: Similarity from which documents are near duplicates, bands and samples in a band.
+SIMILAR, BANDS, ROWS = 0.8, 12, 3
 #: Share of documents from which on a shingle's document frequency is counted; below it all shingles weigh alike, the most. It bounds the table of
 #: counted shingles: at most (mean shingles of a document) / COMMON have that frequency.
 COMMON = 1 / 1000
-#: What idf adds to a shingle's weight of one, at most. It is kept small: within a large group of copies the shared shingles are the common ones.
-IDF = 0.1
-#: Documents of a window in the search for common shingles.
-WINDOW = 5000
-PRIME, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: What idf adds to a shingle's weight of one, at most. Within a large group of copies the shared shingles are the common ones, so more would part the group.
+IDF = 0.5
+#: Shingles of a window in the search for common ones.
+WINDOW = 500_000
+#: Nodes of a list that meet all others of it before pairs are spelled out.
+FIRSTS = 4
+#: Pairs of one leader that a task verifies, about.
+SHARE = 1000
 
 
-def word_hashes(text: Column) -> Column:
-    """Hashes of the words (between ASCII white space) of a lower-cased text; a text without words has one, the empty word."""
-    words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS)), r"[\x20\x09-\x0D]+", -1)
-    return F.transform(words, lambda w: F.xxhash64(w))
+def lowered(text: Column) -> Column:
+    """A lower-cased text; null is empty."""
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * MIX1
-    x = (x ^ (x >> np.uint64(27))) * MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes in order, how often each) of a document's word hashes; of fewer than WORDS words, they are one shingle."""
-    w = words.view(np.uint64)
-    n = max(1, len(w) - WORDS + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(min(WORDS, len(w))):
-        h = h * PRIME + w[i : i + n]
-    return np.unique(mixed(h), return_counts=True)
-
-
-def word_lists(column: pa.Array) -> Iterator[np.ndarray]:
-    """The arrays of a list column."""
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        yield values[a:b]
+class Frequent:
+    """Counts of shingles that may be held by a share of documents: lossy counting, by windows of so many shingles.
 
+    Whatever at least that share of the documents so far hold is kept, counted short by half of that share of them at most. Of a window only that is kept for which this can be so.
+    """
 
-def common_shingles(docs: DataFrame, text: Column, common: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, share: float, window: int):
+        self.lost, self.window, self.docs, self.before, self.room = share / 2, window, 0, 0, window
+        self.held: list[np.ndarray] = []
+        self.h, self.n, self.short = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        """Takes a document's distinct shingles."""
+        self.held.append(h)
+        self.docs += 1
+        self.room -= len(h)
+        if self.room <= 0:
+            self.close()
+
+    def close(self) -> None:
+        """Merges the window's counts and drops what can't be frequent."""
+        new, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held]), return_counts=True)
+        self.held, self.room = [], self.window
+        h, at = np.unique(np.concatenate([self.h, new]), return_inverse=True)
+        n, short = np.bincount(at, np.concatenate([self.n, count]), len(h)).astype(np.int64), np.full(len(h), int(self.lost * self.before))
+        short[at[: len(self.h)]] = self.short
+        keep = n + short > self.lost * self.docs
+        self.h, self.n, self.short, self.before = h[keep], n[keep], short[keep], self.docs
+
+
+def common_shingles(docs: DataFrame, text: Column, common: float = COMMON, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, idf from 0 to 1) of the shingles that at least that share of documents hold; all others have idf 1.
 
-    A shingle that a share of documents holds is held by that share in some window, so windows of documents first name what half the share of theirs hold,
-    and what is named for half the share of all is then counted exactly, over all documents. No table of all shingles is made.
+    Each task names what may be as frequent among its documents (see Frequent), counted short by half the share of them at most; so what all tasks together name for less than half the share isn't wanted, and the rest, a
+    table of bounded size, is then counted exactly, over all documents. No table of all shingles is made.
     """
-    words = docs.select(word_hashes(text).alias("words"))
+    texts = docs.select(lowered(text).alias("text"))
     n = docs.count()
-    parts = words.coalesce(max(1, n // WINDOW))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        found = Frequent(common, window)
+        for batch in batches:
+            for h, _ in shingled(batch.column(0)):
+                found.add(h)
+        found.close()
+        yield pa.RecordBatch.from_arrays([pa.array(found.h.view(np.int64)), pa.array(found.n)], ["h", "n"])
 
-        def named() -> pa.RecordBatch:
-            h, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= common / 2 * len(held)
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(count[keep])], ["h", "n"])
+    def packed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate([np.zeros(0, np.int64), *parts]) for parts in zip(*([c.to_numpy() for c in batch.columns] for batch in batches), strict=True)] or [np.zeros(0, np.int64)] * 2
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["k", "n"])
 
-        for batch in batches:
-            for w in word_lists(batch.column(0)):
-                held.append(shingles(w)[0])
-                if len(held) == WINDOW:
-                    yield named()
-                    held = []
-        if held:
-            yield named()
+    def at_once(df: DataFrame) -> list[np.ndarray]:
+        """Two columns of a bounded table."""
+        row = df.coalesce(1).mapInArrow(packed_up, "k binary, n binary").first()
+        return [np.frombuffer(c, np.int64) for c in row or (b"", b"")]  # an empty table may have no task
 
-    found = parts.mapInArrow(name, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n)
-    wanted = np.sort(np.array([r[0] for r in found.select("h").collect()], np.int64).view(np.uint64))
+    found = texts.mapInArrow(name, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n)
+    wanted = np.sort(at_once(found)[0].view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted) + 1, np.int64)
         for batch in batches:
-            for w in word_lists(batch.column(0)):
-                h = shingles(w)[0]
+            for h, _ in shingled(batch.column(0)):
                 at = np.searchsorted(wanted, h)
                 total[at[wanted[np.minimum(at, len(wanted) - 1)] == h]] += 1
         at = np.flatnonzero(total)
@@ -96,15 +104,15 @@ def common_shingles(docs: DataFrame, text: Column, common: float = COMMON) -> tu
     if not len(wanted):
         return wanted, np.zeros(0)
     df = np.zeros(len(wanted))
-    for r in words.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        df[r["i"]] = r["n"]
+    at, counts = at_once(texts.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")))
+    df[at] = counts
     keep = df >= common * n
     return wanted[keep], np.log(n / df[keep]) / np.log(1 / common)
 
 
-def weigh(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, weights) of a document: how often a shingle occurs times one plus a share of its idf: 1 for one in all documents, 1 + IDF for a rare one."""
-    h, tf = shingles(words)
+def weigh(doc: tuple[np.ndarray, np.ndarray], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, weights) of a document's shingles: how often one occurs times one plus a share of its idf: 1 for one in all documents, 1 + IDF for a rare one."""
+    h, tf = doc
     weight = tf * (1 + IDF)
     if len(table[0]):
         at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
@@ -132,7 +140,7 @@ class Sampler:
     """
 
     def __init__(self, samples: int = BANDS * ROWS):
-        self.seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * PRIME)[:, None]
+        self.seeds = scrambled(np.arange(1, samples + 1, dtype=np.uint64) * PRIME)[:, None]
         order = np.random.default_rng(20240607).permutation(1 << 16)
         self.r, self.beta = gamma_table(), (order + 0.5) / (1 << 16)
         self.log_c, self.least = np.log(gamma_table()).astype(np.float32), (self.r * (1 - self.beta)).astype(np.float32)
@@ -166,71 +174,113 @@ class Sampler:
             picked = np.where(value < least, pick, picked)
             least = np.minimum(value, least)
         bands = picked.reshape(-1, ROWS)
-        key = mixed(np.arange(len(bands), dtype=np.uint64))
+        key = scrambled(np.arange(len(bands), dtype=np.uint64))
         for i in range(ROWS):
-            key = mixed(key * PRIME + bands[:, i])
+            key = scrambled(key * PRIME + bands[:, i])
         return key.view(np.int64)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
-    """(sum of the lesser weights of two documents, indices of b's shingles that weigh more there than in a)."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(sum of the lesser weights of two documents, indices of b's shingles that weigh more there than in a, by how much)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     more = b[1].copy()
     more[j] -= a[1][i]
-    return float(np.minimum(a[1][i], b[1][j]).sum()), np.flatnonzero(more > 1e-9)
+    at = np.flatnonzero(more > 1e-9)
+    return float(np.minimum(a[1][i], b[1][j]).sum()), at, more[at]
 
 
-def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], common: float, at: np.ndarray, table: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
-    """Of the shingles that b has over a, as few as any document similar to b must share one of, unless what b has in common with a is enough.
+def narrowed(posts: DataFrame, want: Callable) -> DataFrame:
+    """posts without what can't decide a pair, by two sums over lists and nodes: no list is gathered, nothing is paired.
 
-    A similar document overlaps b by `similar` of b's weight; what exceeds the overlap of b and a must come from shingles over a. In one order for all documents,
-    common shingles last, those at the end that weigh less than this together can go.
+    A list (a, s) counts only if it holds nodes of two classes, one of them away from the leader. What a node can have in common with another over the leader is
+    what it has in such lists; a node stays in a list only if that, with the list's other bounds, can be enough.
     """
-    h, w = b[0][at], b[1][at]
-    heavy = np.zeros(len(h), bool)
-    if len(table[0]):
-        heavy = table[0][np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)] == h
-    order = np.lexsort((h, heavy))
-    need = similar * b[1].sum() - common
-    rest = np.cumsum(w[order][::-1])[::-1]
-    return h[order][rest >= need - 1e-9].view(np.int64)
+    lists = posts.groupBy("a", "s").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("away").alias("any"), F.min("size").alias("lo"), F.max("common").alias("top")).where("c1 <> c2 and any").drop("c1", "c2", "any")
+    posts = posts.join(saved(lists), ["a", "s"])
+    over = F.sum("w").over(Window.partitionBy("a", "b"))
+    posts = posts.withColumn("over", over)
+    return posts.where(F.least("common", "top") + F.col("over") >= want(F.col("size"), F.col("lo"))).drop("lo", "top")
 
 
 def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
     """(node, root) for nodes that are linked to others: root is the smallest node of the class.
 
-    buckets: (key, node), a saved table; nodes that share a key are candidates. meet gives for pairs (a, b) their similarity `sim`, the weights `size` (b's) and `common` (the overlap's), and the shingles `added` (see added). Each bucket's smallest node meets all others of its bucket, then its leader does, the member that most
-    are similar to: linear in its size, this settles groups of copies. A link is left only between nodes of one leader in different classes, of which one at least isn't similar to the leader; such a pair is
-    similar only if the lesser of their overlaps with the leader is enough by itself, or if both share an added shingle and that overlap with the lesser of what they
-    have over the leader is enough. Pairs of either kind are found by joins on the leader and on (leader, shingle) with these conditions, and are verified: no link between candidates is lost, and no pairs of a bucket are spelled out but these.
+    buckets: (key, node), a saved table; nodes that share a key are candidates. meet gives for pairs (a, b) their similarity `sim`, b's weight `size`, the overlap's weight `common`,
+    and `added`, b's shingles s over a and by how much w. Each bucket's smallest node meets all others of its bucket. Then the bucket gets a leader, the hub of its
+    best linked member, and all its nodes meet that: linear in its size, this settles groups of copies.
+
+    A link is left only between nodes of one leader in different classes, one of which at least is away from the leader (in another class than it). Such a pair is
+    similar only if the lesser of their overlaps with the leader is enough by itself, or if both hold the same shingle over the leader and that overlap with the lesser of what they
+    share with others over the leader is enough. Nodes and lists that can't meet these bounds go by sums (see narrowed), in each list left some of the nodes that are away meet the others,
+    which merges classes, and only the pairs that are then open are spelled out and verified. No link between candidates is lost.
     """
-    lead = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    tried = buckets.join(saved(lead.select("key", "a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    want = lambda x, y: similar / (1 + similar) * (x + y) - 1e-9  # noqa: E731  the overlap of two similar documents
+    lead = saved(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
+    tried = buckets.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     met = saved(meet(saved(tried)))
-    # a leader by chance tells little about its bucket: the member that most others are similar to meets the rest, too
-    held = met.where(F.col("sim") >= similar).groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "node")
-    best = buckets.join(saved(lead.select("key")), "key").join(saved(held), "node", "left").groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("n", F.lit(0)), -F.col("node"))).alias("a"))
-    led = saved(buckets.join(saved(best), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    # a leader by chance tells little about its bucket: a node's hub is the leader similar to it that most others are similar to
+    links = met.where(F.col("sim") >= similar).select("a", "b")
+    held = links.groupBy("a").agg(F.count("*").alias("n"))
+    near = links.join(held, "a").select(F.col("b").alias("node"), "a", "n").unionByName(held.select(F.col("a").alias("node"), "a", "n"))
+    hubs = saved(near.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("rank"), F.col("a").alias("hub"))).alias("h")))
+    best = buckets.join(lead.select("key"), "key").join(hubs, "node", "left")
+    best = best.groupBy("key").agg(F.min(F.struct(F.coalesce("h.rank", F.lit(0)).alias("rank"), F.coalesce("h.hub", "node").alias("hub"))).alias("h")).select("key", F.col("h.hub").alias("a"))
+    led = saved(buckets.join(best, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     again = saved(led.join(met.select("a", "b"), ["a", "b"], "left_anti"))
-    met = saved(met.unionByName(meet(again)))
-    links = saved(met.where(F.col("sim") >= similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    met = saved(met.join(led, ["a", "b"], "left_semi").unionByName(meet(again)))
+
+    def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """roots with the classes that links join, as far as one step goes: each class takes the smallest root that it has a link to."""
+        ends = more.select(F.col("a").alias("node")).union(more.select("b"))
+        roots = saved(roots.unionByName(ends.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))
+        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        across = more.join(name("a"), "a").join(name("b"), "b")
+        low = across.select(F.col("ra").alias("root"), F.col("rb").alias("to")).union(across.select("rb", "ra")).groupBy("root").agg(F.min("to").alias("to"))
+        return saved(roots.join(low, "root", "left").select("node", F.least("root", F.coalesce("to", "root")).alias("root")))
+
+    def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows (a, b) with b's class c, and whether that isn't its leader's."""
+        rows = rows.join(roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b", "left").join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left")
+        return rows.withColumns({"c": F.coalesce("rb", "b"), "away": F.coalesce("rb", "b") != F.coalesce("ra", "a")}).drop("ra", "rb")
+
+    def left(rows: DataFrame, posts: DataFrame, firsts: bool) -> DataFrame:
+        """Pairs that may be similar; firsts: only those of FIRSTS nodes a list with others, of the nodes away from the leader the closest to it by parts."""
+        whole = F.struct("b", "c", "size", "common", "over", "away")
+        near = rows.where(F.col("common") >= similar * F.col("size") - 1e-9).withColumn("over", F.lit(0.0))
+        # what lies within the leader is listed by size, so that the first node of a size meets those of that size and the next
+        near = near.withColumn("s", F.explode(F.array(F.floor(F.log("size") * 8), F.floor(F.log("size") * 8) + 1)) if firsts else F.lit(0))
+
+        def paired(lists: DataFrame) -> DataFrame:
+            x = lists.where("away").groupBy("a", "s", F.pmod(F.xxhash64("b"), F.lit(FIRSTS))).agg(F.max_by(whole, F.struct("common", "b")).alias("x")) if firsts else lists.where("away").select("a", "s", whole.alias("x"))
+            both = x.join(lists.select("a", "s", whole.alias("y")), ["a", "s"]).where("x.c <> y.c")
+            return both.where(F.least("x.common", "y.common") + F.least("x.over", "y.over") >= want(F.col("x.size"), F.col("y.size"))).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+
+        pairs = paired(posts).unionByName(paired(near)).distinct()
+        return saved(pairs.join(seen, ["a", "b"], "left_anti"))
+
+    links = links.unionByName(met.where(F.col("sim") >= similar).select("a", "b"))
     roots = saved(components(links))
-    rows = met.join(led, ["a", "b"], "left_semi").join(roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b", "left")
-    rows = saved(rows.select("a", "b", "size", "common", "added", F.coalesce("rb", "b").alias("c")))
-    leaders = saved(rows.select("a").distinct().join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left").select("a", F.coalesce("ra", "a").alias("ca")))
-    away = saved(rows.join(leaders, "a").where("c <> ca").drop("ca"))
-    open_rows = saved(rows.join(small(saved(away.select("a").distinct())), "a", "left_semi"))
-    numbers = lambda df, c, *more: df.select("a", F.col("b").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("c", "size", "common")], *more)
-    want = similar / (1 + similar) * (F.col("size_x") + F.col("size_y")) - 1e-9
-    both, over = F.least("common_x", "common_y"), F.least(F.col("size_x") - F.col("common_x"), F.col("size_y") - F.col("common_y"))
-    apart = F.col("c_x") != F.col("c_y")
-    shingle = F.explode("added").alias("s")
-    shared = numbers(away, "x", shingle).join(numbers(open_rows, "y", shingle), ["a", "s"]).where(apart & (both + over >= want)).select("x", "y")
-    near = numbers(away, "x").join(numbers(open_rows, "y"), "a").where(apart & (both >= want)).select("x", "y")
-    pairs = shared.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = saved(pairs.join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = saved(meet(pairs).where(F.col("sim") >= similar).select("a", "b"))
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    extra = []
+    seen = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = saved(labelled(met, roots))
+    # of leaders from whose class a node is away, all rows
+    rows = rows.join(small(saved(rows.where("away").select("a").distinct())), "a", "left_semi")
+    posts = rows.select("a", "b", "size", "common", "c", "away", F.explode("added").alias("p")).select("*", "p.s", "p.w").drop("p")
+    for firsts in (True, False):
+        posts = saved(narrowed(posts, want))
+        pairs = left(rows, posts, firsts)
+        if pairs.isEmpty():
+            continue
+        more = saved(meet(pairs).where(F.col("sim") >= similar).select("a", "b"))
+        extra.append(more)
+        if firsts:
+            seen = seen.unionByName(pairs)
+            classed = merged(roots, more)
+            rows, posts = (labelled(df.drop("c", "away"), classed) for df in (rows, posts.drop("over")))
+    whole = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for more in extra:
+        whole = whole.unionByName(more)
+    return saved(components(whole)) if extra else roots
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -240,7 +290,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     5000 is missed; candidate pairs are verified on whole texts (see classes).
 
     A null text counts as empty; empty texts are equal. Rows of one doc_id are one document. A row without doc_id has class null and links nothing.
-    An empty table gives an empty one; other columns are left out.
+    An empty table gives an empty one; other columns are left out. Ids may be of any type that can be ordered.
 
     Equal texts are one node from the start. Weights need counts of common shingles only, a table of bounded size that goes to all tasks.
     """
@@ -249,39 +299,52 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = common_shingles(known, body)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler = per_worker(("sampler",), Sampler)
         for batch in batches:
-            keys = [sampler.keys(*weigh(w, table)) for w in word_lists(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.list_(pa.int64()))], ["id", "t1", "t2", "keys"])
+            keys = np.concatenate([np.zeros(0, np.int64), *[sampler.keys(*weigh(doc, table)) for doc in shingled(batch.column(3))]])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["id", "t1", "t2", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = F.coalesce(body, F.lit(""))
-    rows = known.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("second"), whole).alias("t2"), word_hashes(body).alias("words"))
+    rows = known.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("second"), whole).alias("t2"), lowered(body).alias("text"))
     signed = saved(rows.mapInArrow(sign, f"id {kind}, t1 long, t2 long, keys array<long>"))
     nodes = saved(signed.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
     buckets = saved(nodes.select(F.explode("keys").alias("key"), "node"))
 
     def meet(pairs: DataFrame) -> DataFrame:
+        """Verifies a saved table of pairs on their texts. A leader's pairs are dealt out to as many tasks as they need, its text going to each."""
+
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, x = None, None
             for batch in batches:
-                out = []
-                for x, y in zip(word_lists(batch.column(2)), word_lists(batch.column(3)), strict=True):
-                    x, y = weigh(x, table), weigh(y, table)
-                    common, at = overlap(x, y)
+                numbers, lengths, s, w = [], [0], [np.zeros(0, np.uint64)], [np.zeros(0)]
+                for a, one, doc in zip(batch.column(0), batch.column(2), shingled(batch.column(3)), strict=True):
+                    if last is None or not last.equals(a):
+                        last, x = a, weigh(next(shingled(pa.array([one.as_py()]))), table)
+                    y = weigh(doc, table)
+                    common, at, more = overlap(x, y)
                     size = float(y[1].sum())
-                    out.append((common / (float(x[1].sum()) + size - common), size, common, added(x, y, common, at, table, similar)))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(columns, [pa.float64()] * 3 + [pa.list_(pa.int64())], strict=True)]], ["a", "b", "sim", "size", "common", "added"])
+                    numbers.append((common / (float(x[1].sum()) + size - common), size, common))
+                    lengths.append(len(at))
+                    s.append(y[0][at])
+                    w.append(more)
+                added = pa.StructArray.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.concatenate(w))], ["s", "w"])
+                added = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), added)
+                columns = np.array(numbers, float).reshape(-1, 3).T
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, columns), added], ["a", "b", "sim", "size", "common", "added"])
 
         need = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        texts = known.select(F.col(f"`{doc_id}`").alias("id"), whole.alias("text")).join(small(need), "id", "left_semi")
-        texts = saved(texts.dropDuplicates(["id"]))
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        both = both.select("a", "b", word_hashes(F.col("x")).alias("x"), word_hashes(F.col("y")).alias("y"))
-        return both.mapInArrow(check, f"a {kind}, b {kind}, sim double, size double, common double, added array<long>")
+        texts = known.select(F.col(f"`{doc_id}`").alias("id"), lowered(body).alias("text")).join(small(need), "id", "left_semi")
+        texts = saved(texts.groupBy("id").agg(F.min("text").alias("text")))
+        hot = small(saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1")))
+        leaders = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).join(hot, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)))
+        dealt = pairs.join(hot, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1)).cast("long")))
+        both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").drop("shares").join(leaders.drop("shares"), ["a", "share"])
+        return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}, sim double, size double, common double, added array<struct<s: long, w: double>>")
 
     roots = classes(buckets, meet, similar)
-    found = signed.select("id", "t1", "t2").join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(saved(roots), "node", "left")
+    found = signed.select("id", "t1", "t2").join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(roots, "node", "left")
     found = found.select(F.col("id").alias("doc_id"), F.coalesce("root", "node").alias("class_id"))
     without = docs.where(F.col(f"`{doc_id}`").isNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_id}`").alias("class_id"))
     return found.unionByName(without)
@@ -290,10 +353,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with the one document of each class whose doc_id is smallest; of rows with one doc_id the first by text stays. Rows without doc_id all stay."""
     found = saved(near_duplicates(docs, doc_id, text, **how))
-    rows = docs.select(packed(docs).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"))
+    rows = docs.select(packed(docs).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs).alias("hash"))
     kept = cut_without_loss(rows, saved(found.where("doc_id <> class_id").select("doc_id")), ["doc_id"])
     n, ids, null = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if n > ids + null:  # repeated ids
-        one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row").getField(text), F.xxhash64("row"))).alias("row"))
+        one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row").getField(text), "hash")).alias("row"))
         kept = one.select("row").unionByName(kept.where("doc_id is null").select("row"))
     return kept.select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -22,9 +23,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, which the session names; a temporary one only for a session within one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = UNSET.get(app) or UNSET.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")
@@ -69,26 +72,26 @@ def running_totals(df: DataFrame, keys: list[str], chunk: str, order: list, valu
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps, each a shuffle on a node, until no edge changes.
+    Alternates the large-star and small-star steps, each a shuffle on a node, until all edges are stars: every node has one smaller neighbour or is one.
     A node's neighbours are never gathered: only their minimum is, which Spark combines before the shuffle.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+
+    def done(df: DataFrame) -> bool:
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(df.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+    while not done(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # each larger neighbour of a node is tied to the smallest node around it
         large = now.join(low.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
         mid = saved(large.where("a <> b").distinct())
-        low = saved(mid.groupBy("a").agg(F.min("b").alias("m")))
+        low = mid.groupBy("a").agg(F.min("b").alias("m"))
         # each smaller neighbour of a node, and the node, are tied to the smallest of them
         star = mid.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = star.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = saved(star)
-        if after.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(after, ["a", "b"], "left_anti").isEmpty():
-            break
-        now = after
-    roots = after.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        now = saved(star.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def per_worker(key: tuple, make: Callable):
