@@ -216,6 +216,8 @@ def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar:
     """
     want = lambda x, y: similar / (1 + similar) * (x + y) - 1e-9  # noqa: E731  the overlap of two similar documents
     lead = saved(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
+    if lead.isEmpty():  # no candidates
+        return lead.select(F.col("a").alias("node"), F.col("a").alias("root"))
     tried = buckets.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     met = saved(meet(saved(tried)))
     # a leader by chance tells little about its bucket: a node's hub is the leader similar to it that most others are similar to
