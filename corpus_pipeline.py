@@ -27,28 +27,28 @@ def counted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure enough; those without letters go."""
+    """Documents whose language is sure enough; those without letters (null and empty texts too) go. Null ids and repeated rows are rows like any other; other columns, whatever their names, are kept."""
     return only_accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; those left without text go."""
+    """Documents without lines that an earlier document holds; those left without text go, those that had none stay. Of rows with one id each keeps its lines."""
     kept = drop_common_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
     return counted(kept, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that with the smallest id; rows without id all stay, of rows with one id the first by text. Texts are compared whole, however long."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents as often as it reads them."""
+    """The mixture: documents as often as it reads them, in the order of its schedule; those without words go. A null source is a source of its own; ties and repeated rows are told apart by a hash of the row."""
     return counted(mixed(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences."""
+    """Pieces of token ids in sequences; null ids, repeated rows and very long texts are packed like any other."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
