@@ -16,7 +16,7 @@ from tidemark.llm.shared import per_worker
 #: Tokens of a sequence, id that ends a document, attention cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LENGTH, END, LINEAR, QUADRATIC = 2048, 1, 1.0, 1.0 / 1024
 #: Documents packed together, and tokens at which a window closes before it has as many; pieces of a batch that goes out.
-WINDOW, TOKENS, PIECES = 8192, 1 << 22, 1024
+WINDOW, TOKENS, PIECES = 8192, 1 << 20, 1024
 
 
 class Encoder:
