@@ -157,6 +157,37 @@ def test_messy(messy, empty):
     assert nd.near_duplicates(empty).collect() == [] and nd.one_of_each(empty).collect() == []
 
 
+def test_a_repeated_id_loses_no_text(spark):
+    r = random.Random(21)
+    x, y, z = (words(r, 80) for _ in range(3))
+    df = spark.createDataFrame([(3, y), (5, x), (5, y), (8, z)], "doc_id long, text string")
+    assert sorted((a.doc_id, a.class_id) for a in nd.near_duplicates(df).collect()) == [(3, 3), (5, 3), (5, 5), (8, 8)]
+    assert sorted((a.doc_id, a.text) for a in nd.one_of_each(df).collect()) == sorted([(3, y), (5, x), (8, z)])
+
+
+def test_repeated_ids_against_all_pairs(spark):
+    """Many texts under few ids: every class of texts keeps one, links between texts are those of all pairs."""
+    r = random.Random(22)
+    rows = []
+    for _ in range(25):
+        base = words(r, 80).split()
+        for _ in range(r.randint(1, 6)):
+            t = list(base)
+            for _ in range(r.randint(0, 2)):
+                t[r.randrange(len(t))] = f"new{r.random()}"
+            rows += [(r.randint(1, 30), " ".join(t))] * r.randint(1, 2)
+    texts = sorted({t for _, t in rows}, key=lambda t: min(i for i, u in rows if u == t))
+    numbered = dict(enumerate(texts))
+    want, _ = brute(numbered, frequencies({i: t for i, (_, t) in enumerate(rows)}))
+    root = {texts[k]: v for k, v in want.items()}
+    first = {v: min(i for i, t in rows if root[t] == v) for v in root.values()}
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string").repartition(4)
+    found = Counter((a.doc_id, a.class_id) for a in nd.near_duplicates(df).collect())
+    assert found == Counter((i, first[root[t]]) for i, t in rows)
+    kept = [(a.doc_id, a.text) for a in nd.one_of_each(df).collect()]
+    assert len(kept) == len(first) and {(root[t], i) for i, t in kept} == set(first.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (105, 101), (105, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -285,16 +285,16 @@ def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar:
     return saved(components(whole)) if extra else roots
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id) for each row: class_id is the smallest doc_id among the documents that equal texts and links of near duplicates connect.
+def hashed(text: Column) -> list[Column]:
+    """128 bits that stand for a whole text; null is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("second"), whole).alias("t2")]
 
-    Shingles of five lower-cased words are weighed by TF-IDF (see weigh); a candidate pair shares a band of ROWS samples, so of pairs at similarity 0.8 one in some
-    5000 is missed; candidate pairs are verified on whole texts (see classes).
 
-    A null text counts as empty; empty texts are equal. Rows of one doc_id are one document. A row without doc_id has class null and links nothing.
-    An empty table gives an empty one; other columns are left out. Ids may be of any type that can be ordered.
+def classified(docs: DataFrame, doc_id: str, text: str, similar: float) -> DataFrame:
+    """(id, t1, t2, node, root, class_id) of each row that has an id, a saved table: node is its text's number, root the least of its class, class_id the smallest id of that text.
 
-    Equal texts are one node from the start. Weights need counts of common shingles only, a table of bounded size that goes to all tasks.
+    Texts are numbered in the order of their smallest ids, so the least number of a class has the smallest id of it.
     """
     body = F.col(f"`{text}`")
     known = docs.where(F.col(f"`{doc_id}`").isNotNull())
@@ -308,10 +308,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["id", "t1", "t2", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    whole = F.coalesce(body, F.lit(""))
-    rows = known.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("second"), whole).alias("t2"), lowered(body).alias("text"))
+    rows = known.select(F.col(f"`{doc_id}`").alias("id"), *hashed(body), lowered(body).alias("text"))
     signed = saved(rows.mapInArrow(sign, f"id {kind}, t1 long, t2 long, keys array<long>"))
-    nodes = saved(signed.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
+    nodes = signed.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    nodes = saved(nodes.orderBy("first", "t1", "t2").withColumn("node", F.monotonically_increasing_id()))
     buckets = saved(nodes.select(F.explode("keys").alias("key"), "node"))
 
     def meet(pairs: DataFrame) -> DataFrame:
@@ -336,29 +336,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 columns = np.array(numbers, float).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, columns), added], ["a", "b", "sim", "size", "common", "added"])
 
-        need = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        texts = known.select(F.col(f"`{doc_id}`").alias("id"), lowered(body).alias("text")).join(small(need), "id", "left_semi")
-        texts = saved(texts.groupBy("id").agg(F.min("text").alias("text")))
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        need = saved(nodes.select("node", F.col("first").alias("id"), "t1", "t2").join(small(saved(need)), "node", "left_semi"))
+        texts = known.select(F.col(f"`{doc_id}`").alias("id"), *hashed(body), lowered(body).alias("text")).join(small(need), ["id", "t1", "t2"])
+        texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")))
         hot = small(saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1")))
-        leaders = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).join(hot, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)))
+        leaders = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(hot, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)))
         dealt = pairs.join(hot, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1)).cast("long")))
-        both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").drop("shares").join(leaders.drop("shares"), ["a", "share"])
-        return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}, sim double, size double, common double, added array<struct<s: long, w: double>>")
+        both = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").drop("shares").join(leaders.drop("shares"), ["a", "share"])
+        return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, sim double, size double, common double, added array<struct<s: long, w: double>>")
 
     roots = classes(buckets, meet, similar)
-    found = signed.select("id", "t1", "t2").join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(roots, "node", "left")
-    found = found.select(F.col("id").alias("doc_id"), F.coalesce("root", "node").alias("class_id"))
+    roots = roots.join(nodes.select(F.col("node").alias("root"), F.col("first").alias("class_id")), "root")
+    found = nodes.select("t1", "t2", "node", "first").join(roots, "node", "left")
+    found = found.select("t1", "t2", "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first").alias("class_id"))
+    return saved(signed.select("id", "t1", "t2").join(found, ["t1", "t2"]))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, class_id) for each row: class_id is the smallest doc_id among the texts that equal texts and links of near duplicates connect.
+
+    Shingles of five lower-cased words are weighed by TF-IDF (see weigh); a candidate pair shares a band of ROWS samples, so of pairs at similarity 0.8 one in some
+    5000 is missed; candidate pairs are verified on whole texts (see classes).
+
+    A null text counts as empty; empty texts are equal. What is compared is texts: rows of one doc_id with different texts have a class each, and a repeated id links nothing.
+    A row without doc_id has class null and links nothing. An empty table gives an empty one; other columns are left out. Ids may be of any type that can be ordered.
+
+    Equal texts are one node from the start. Weights need counts of common shingles only, a table of bounded size that goes to all tasks.
+    """
+    found = classified(docs, doc_id, text, similar)
     without = docs.where(F.col(f"`{doc_id}`").isNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_id}`").alias("class_id"))
-    return found.unionByName(without)
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with the one document of each class whose doc_id is smallest; of rows with one doc_id the first by text stays. Rows without doc_id all stay."""
-    found = saved(near_duplicates(docs, doc_id, text, **how))
-    rows = docs.select(packed(docs).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs).alias("hash"))
-    kept = cut_without_loss(rows, saved(found.where("doc_id <> class_id").select("doc_id")), ["doc_id"])
-    n, ids, null = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    if n > ids + null:  # repeated ids
-        one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row").getField(text), "hash")).alias("row"))
-        kept = one.select("row").unionByName(kept.where("doc_id is null").select("row"))
-    return kept.select("row.*")
+    return found.select(F.col("id").alias("doc_id"), "class_id").unionByName(without)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each class: of its texts that with the smallest doc_id (of several texts of this id, one), and of that text the row of this id; of rows equal in both, the first by hash.
+
+    A text that resembles no other stays, whatever other texts its id has. Rows without doc_id all stay.
+    """
+    found = classified(docs, doc_id, text, similar)
+    id, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    rows = docs.select(packed(docs).alias("row"), id.alias("id"), *[F.when(id.isNotNull(), t).alias(name) for t, name in zip(hashed(body), ("t1", "t2"))], row_hash(docs).alias("hash"))
+    kept = cut_without_loss(rows, saved(found.where("node <> root or id <> class_id").select("id", "t1", "t2")), ["id", "t1", "t2"])
+    stays = found.where("node = root and id = class_id")
+    if stays.groupBy("id", "t1", "t2").count().where("count > 1").isEmpty():
+        return kept.select("row.*")
+    one = kept.where("id is not null").groupBy("id", "t1", "t2").agg(F.min_by("row", "hash").alias("row"))
+    return one.select("row").unionByName(kept.where("id is null").select("row")).select("row.*")
