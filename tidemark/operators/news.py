@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.aliases import Entry, Matcher
 from tidemark.functions.numbers import clamp, half_up
+from tidemark.functions.symbols import NOISE, companies
 from tidemark.functions.text import MATERIAL, NEGATIVE, POSITIVE, STOPWORDS, analyze_news, counted, keyword, strip_particle
 
 # What a model may say.
@@ -39,40 +41,22 @@ def keywords(articles: DataFrame, limit: int = 8, stopwords: list[str] = STOPWOR
     return articles.select("article_id").join(top.select("article_id", F.transform("k", lambda x: x["token"]).alias("keywords")), "article_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
-def match_symbols(articles: DataFrame, dictionary: list[tuple[str, str, str, str, list[str]]], noise: list[str] = (), limit: int = 8) -> DataFrame:
+def match_symbols(articles: DataFrame, dictionary: Iterable[tuple] | None = None, noise: Iterable[str] | None = None, limit: int = 8) -> DataFrame:
     """articles with matches: the symbols that title and body mention, best first.
 
-    dictionary: (symbol, name, market, sector, aliases), of bounded size. Aliases are tried from the longest on, and what one has matched is blank for the
-    next; so a bank's name isn't its parent's. Only articles that hold an alias at all (one pattern) go to the Python helper.
+    dictionary: (symbol, name, market, sector, aliases), of bounded size; without one, the default dictionary and its noise. An automaton of all aliases is built once a task; it
+    reads each text once, however many aliases there are (see Matcher). Null texts are empty.
     """
-    pairs = sorted(((alias, e) for e in dictionary for alias in e[4]), key=lambda p: -len(p[0]))
-    compiled = [(alias, re.compile(rf"(?<![A-Za-z0-9]){re.escape(alias)}(?![A-Za-z0-9])", re.I) if alias.isascii() else None, e) for alias, e in pairs]
-    noise = list(noise)
-
-    def matches(title: str | None, body: str | None) -> list[dict]:
-        parts = [title or "", body or ""]
-        for term in noise:
-            parts = [p.replace(term, " ") for p in parts]
-        found: dict[str, dict] = {}
-        for alias, pattern, (symbol, name, market, sector, _) in compiled:
-            counts = [len(pattern.findall(p)) if pattern else p.count(alias) for p in parts]
-            if not any(counts):
-                continue
-            parts = [p.replace(alias, " ") if n else p for p, n in zip(parts, counts, strict=True)]
-            mentions = sum(counts)
-            relevance = min(100, (72 if counts[0] else 40) + min(6 * mentions, 28))
-            had = found.setdefault(symbol, {"symbol": symbol, "company": name, "market": market, "sector": sector, "mentions": 0, "relevance": 0})
-            had["mentions"] += mentions
-            had["relevance"] = max(had["relevance"], relevance)
-        return sorted(found.values(), key=lambda m: (-m["relevance"], -m["mentions"]))[:limit]
+    noise = list(noise if noise is not None else NOISE if dictionary is None else ())
+    dictionary = [Entry(*e[:4], tuple(e[4])) for e in (companies() if dictionary is None else dictionary)]
 
     @F.pandas_udf(MATCH)
-    def run(titles: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([[] if t is None and b is None else matches(t, b) for t, b in zip(titles, bodies, strict=True)], dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        matcher = Matcher(dictionary, noise)
+        for titles, bodies in batches:
+            yield pd.Series([matcher.matches(t or "", b or "", limit) for t, b in zip(titles, bodies, strict=True)], dtype=object)
 
-    any_alias = "(?i)" + "|".join(re.escape(a) for a, _ in pairs) if pairs else "(?!)"
-    hit = F.col("title").rlike(any_alias) | F.col("body").rlike(any_alias)
-    return articles.withColumn("matches", run(F.when(hit, F.coalesce("title", F.lit(""))), F.when(hit, F.coalesce("body", F.lit("")))))
+    return articles.withColumn("matches", run("title", "body"))
 
 
 def article_symbols(matched: DataFrame) -> DataFrame:
@@ -80,6 +64,12 @@ def article_symbols(matched: DataFrame) -> DataFrame:
     return matched.select("article_id", F.inline("matches"))
 
 
+def symbol_table(spark: SparkSession, dictionary: Iterable[tuple] | None = None) -> DataFrame:
+    """The dictionary (the default one, if none is given) as a table, pos being the order of its lines."""
+    rows = [(i, *e[:4], list(e[4])) for i, e in enumerate(companies() if dictionary is None else dictionary)]
+    return spark.createDataFrame(rows, "pos int, symbol string, name string, market string, sector string, aliases array<string>")
+
+
 def lookup_symbol(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(query, symbol): the first entry (by pos) whose symbol, name or alias a query is, without case."""
     names = dictionary.select("pos", "symbol", F.explode(F.concat(F.array("symbol", "name"), "aliases")).alias("n"))

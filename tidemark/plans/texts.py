@@ -6,6 +6,7 @@ The invented text holds none of the default words, so lexicons are drawn from it
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -158,11 +159,28 @@ def f12_robots(spark, d):
     return feeds.robots_filter(pages, feeds.robots_rules(robots, "examplebot")).select("page_id", "allowed")
 
 
-@query()
+ENTRIES = [("AAA", "The Company", "US", "one", ["the", "thethe"]), ("BBB", "Der", "KR", "two", ["der", "schen"]), ("CCC", "Que", "US", "one", ["que", "les"]), ("DDD", "Ción", "KR", "three", ["ción", "für"]), ("AAA", "The Company", "US", "one", ["of the"]), ("EEE", "Tion", "US", "two", ["the"])]
+
+
+def matches_sql(entries: list[tuple], noise: list[str]) -> str:
+    """Counts of all aliases, from the longest on, each taking out what it has matched."""
+    steps = [", s0 AS (SELECT article_id, " + ", ".join(f"{reduce(lambda t, n: f'replace({t}, {n!r}, chr(32))', noise, c)} AS {c[0]}" for c in ("title", "body")) + " FROM articles)"]
+    pairs = sorted(((a, e) for e in entries for a in e[4]), key=lambda p: -len(p[0]))
+    for i, (alias, e) in enumerate(pairs):
+        count = r"len(regexp_extract_all(lower(' ' || regexp_replace({c}, '([^A-Za-z0-9])', '\1\1', 'g') || ' '), '[^a-z0-9]{a}[^a-z0-9]'))" if alias.isascii() else "(length({c}) - length(replace({c}, '{a}', ''))) // length('{a}')"
+        n = [count.format(c=c, a=alias.replace(" ", "  ")) for c in "tb"]
+        steps.append(f", c{i} AS (SELECT article_id, t, b, {n[0]} AS nt, {n[1]} AS nb FROM s{i}), s{i + 1} AS (SELECT article_id, CASE WHEN nt > 0 THEN replace(t, '{alias}', ' ') ELSE t END AS t, CASE WHEN nb > 0 THEN replace(b, '{alias}', ' ') ELSE b END AS b FROM c{i})")
+    found = " UNION ALL ".join(f"SELECT article_id, {i} AS pos, '{e[0]}' AS symbol, '{e[1]}' AS company, '{e[2]}' AS market, '{e[3]}' AS sector, nt, nb FROM c{i} WHERE nt + nb > 0" for i, (_, e) in enumerate(pairs))
+    return "".join(steps) + f""", found AS ({found}),
+per AS (SELECT article_id, symbol, min(pos) AS pos, arg_min(company, pos) AS company, arg_min(market, pos) AS market, arg_min(sector, pos) AS sector, sum(nt + nb)::INT AS mentions,
+  max(least(100, CASE WHEN nt > 0 THEN 72 ELSE 40 END + least(6 * (nt + nb), 28)))::INT AS relevance FROM found GROUP BY ALL)
+SELECT article_id, symbol, company, market, sector, mentions, relevance FROM per QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY relevance DESC, mentions DESC, pos) <= 8"""
+
+
+@query(f"""WITH {ARTICLES}{matches_sql(ENTRIES, ["thst"])}""")
 def t5_match_symbols(spark, d):
     """Symbols mentioned, from a dictionary drawn from the text."""
-    entries = [("AAA", "The Company", "US", "one", ["the", "thethe"]), ("BBB", "Der", "KR", "two", ["der", "schen"]), ("CCC", "Que", "US", "one", ["que", "les"])]
-    return news.article_symbols(news.match_symbols(b.articles(spark, d), entries, ["thst"]))
+    return news.article_symbols(news.match_symbols(b.articles(spark, d), ENTRIES, ["thst"]))
 
 
 @query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || body, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")} SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score, materiality FROM m""")
