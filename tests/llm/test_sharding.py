@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tidemark.llm.queries import QUERIES
-from tidemark.llm.sharding import assign_shards
+from tidemark.llm.sharding import assign_shards, tree
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
@@ -24,42 +24,60 @@ def test_one_more_shard_takes_rows_only_into_itself(spark):
 
 def test_weights_and_confined_movement(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    rows = assign_shards(ids, [1, 1, 1, 1, 2, 1, 1, 1], grown=[1, 1, 1, 1, 2, 1, 1, 0]).collect()
+    rows = assign_shards(ids, [1, 1, 1, 1, 2, 1, 1, 1, 1], grown=[1, 1, 1, 1, 2, 1, 1, 1, 0]).collect()
     counts = Counter(r.shard for r in rows)
-    assert abs(counts[4] / 20_000 - 2 / 9) < 0.01
-    # shard 7 goes: its rows move to all others, no other row does
-    assert not any(r.grown_shard == 7 for r in rows)
-    assert all(r.grown_shard == r.shard for r in rows if r.shard != 7)
+    assert abs(counts[4] / 20_000 - 2 / 10) < 0.01 and all(abs(counts[i] / 20_000 - 1 / 10) < 0.01 for i in range(9) if i != 4)
+    # shard 8, a region of its own, goes: its keys move to all others, no other key does
+    assert not any(r.grown_shard == 8 for r in rows)
+    assert all(r.grown_shard == r.shard for r in rows if r.shard != 8)
+    # shard 5 (region 1, rack 0) gains weight: keys enter region 1; within it only its rack gains; no key passes between the other regions or the racks that stay
+    rows = assign_shards(ids, [1.0] * 10, grown=[1.0] * 5 + [3.0] + [1.0] * 4).collect()
+    place = {i: (r, k) for r, racks in enumerate(tree([1.0] * 10)) for k, rack in enumerate(racks) for i in rack}
+    for r in rows:
+        old, new = place[r.shard], place[r.grown_shard]
+        if r.shard != r.grown_shard:
+            assert new[0] == 1 and (old[0] != 1 or new == (1, 0))
+    assert abs(Counter(r.grown_shard for r in rows)[5] / 20_000 - 3 / 12) < 0.015
 
 
 def test_one_more_takes_rows_only_into_itself_for_any_count(spark):
     ids = spark.range(4_000).withColumnRenamed("id", "doc_id")
-    for n in (1, 2, 3, 4, 5, 7, 9, 12):
+    for n in (8, 9, 10, 11, 12, 17):
         rows = assign_shards(ids, [1.0] * n, grown=[1.0] * (n + 1)).collect()
         moved = {r.grown_shard for r in rows if r.shard != r.grown_shard}
         assert moved == {n} and abs(sum(r.shard != r.grown_shard for r in rows) / 4_000 - 1 / (n + 1)) < 0.03, n
+    for n in (1, 2, 3):
+        rows = assign_shards(ids, [1.0] * n, grown=[1.0] * (n + 1), founded=1).collect()
+        assert {r.grown_shard for r in rows if r.shard != r.grown_shard} == {n}
 
 
-def test_equals_a_plain_descent_of_the_tree(spark):
-    """At each level the child whose subtree holds the least draw, draws being taken one by one."""
+def test_equals_a_plain_descent_of_the_tree_and_no_flat_draw(spark):
+    """Region, rack and shard drawn for one by one; a draw over all shards at once would give others."""
     weights = [1.0, 2.0, 0.5, 1.0, 0.0, 3.0, 1.0, 1.0, 2.0]
-    paths = {i: f"/{i // 4}/{i // 2 % 2}/{i}" for i in range(len(weights))}
+    regions = tree(weights)
+    assert regions == [[[0, 1], [2, 3]], [[4, 5], [6, 7]], [[8]]]
+    paths = [f"/{r}" for r in range(3)] + [f"/{r}/{k}" for r in range(3) for k in range(2)] + [f"/{r}/{k}/{s}" for r in range(3) for k in range(2) for s in range(2)]
     ids = spark.range(2_000).withColumnRenamed("id", "doc_id")
-    hashes = ids.select("doc_id", *[F.xxhash64(F.lit(p), "doc_id").alias(str(i)) for i, p in paths.items()]).collect()
+    hashes = ids.select("doc_id", *[F.xxhash64(F.lit(p), "doc_id").alias(p) for p in paths]).collect()
+
+    def total(node):
+        return weights[node] if isinstance(node, int) else sum(map(total, node))
 
-    def draw(row, i):
-        return -math.log((((row[str(i)] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)) / weights[i]
+    def draw(row, path, weight):
+        return -math.log((((row[path] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)) / weight if weight else math.inf
 
-    want = {}
+    want, flat = {}, {}
     for row in hashes:
-        below = [i for i in paths if weights[i] > 0]
-        for level in (2, 3, 4):
-            groups = {}
-            for i in below:
-                groups.setdefault(paths[i].split("/")[:level][-1], []).append(i)
-            below = min(groups.values(), key=lambda g: min(draw(row, i) for i in g))
-        want[row.doc_id] = below[0]
-    assert {r.doc_id: r.shard for r in assign_shards(ids, weights).collect()} == want
+        path, node = "", regions
+        while not isinstance(node, int):
+            i = min(range(len(node)), key=lambda i: draw(row, f"{path}/{i}", total(node[i])))
+            path, node = f"{path}/{i}", node[i]
+        want[row.doc_id] = node, *(int(x) for x in path.split("/")[1:3])
+        leaves = {i: f"/{r}/{k}/{s}" for r, racks in enumerate(regions) for k, rack in enumerate(racks) for s, i in enumerate(rack)}
+        flat[row.doc_id] = min(leaves, key=lambda i: draw(row, leaves[i], weights[i]))
+    got = {r.doc_id: (r.shard, r.region, r["rack"]) for r in assign_shards(ids, weights).collect()}
+    assert got == want
+    assert sum(flat[k] != v[0] for k, v in got.items()) > 1_000
 
 
 def test_messy_rows(messy, empty):

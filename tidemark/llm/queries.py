@@ -87,7 +87,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = assign_shards(rows.withColumn("law", F.lit("key")), [1.0] * 8, "doc_id", [1.0] * 9, F.struct("size", "text_crc32"))
-    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 
 @query
