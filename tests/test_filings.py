@@ -1,12 +1,13 @@
 """Filings, companies, valuation, stock news and providers with known values."""
 
 import json
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import companies, filings, stock_news, valuation
+from tidemark.operators import companies, filings, news, stock_news, valuation
 
 
 def facts(revenue, income, equity):
@@ -91,3 +92,37 @@ def test_cooldowns(spark):
     kind = stock_news.classify_failure(F.col("status"), F.col("detail"))
     got = [str(r.u) for r in df.select(F.date_format(stock_news.cooldown_until(kind, F.col("detail"), F.col("ts")), "MM-dd HH:mm:ss").alias("u")).collect()]
     assert got == ["01-01 03:00:27", "01-01 03:01:00", "01-01 15:00:00", "01-01 15:00:00", "01-01 09:00:00", "01-01 03:05:00", "01-01 03:30:00"]
+
+
+def test_relevance_of_terms(spark):
+    rows = [(1, "X", "S-Oil up", ""), (2, "X", "a.S-OIL.b", ""), (3, "X", "XS-Oil", "S-Oils"), (4, "X", "", "보고서: 에쓰오일은"), (5, "X", "Johnson & Johnson", ""), (6, "X", "Johnson&Johnson JYP Ent.", ""), (7, "X", "JYP Ent.x", "x"), (8, "X", None, None), (9, "ON", "on the day", "$ON rises"), (10, "ON", "turn on", "NYSE: ON2"), (11, "ON", "NASDAQ:on", ""), (12, "ON", "$ON한", "on"), (13, "none", "x", "x")]
+    items = spark.createDataFrame(rows, "id int, symbol string, title string, summary string")
+    q = spark.createDataFrame([("X", ["S-Oil", "에쓰오일", "Johnson & Johnson", "JYP Ent."]), ("ON", ["ON"])], "symbol string, terms array<string>")
+    got = {x.id: x.relevance for x in stock_news.news_relevance(items, q).collect()}
+    assert got == {1: 2, 2: 2, 3: 0, 4: 1, 5: 2, 6: 2, 7: 0, 8: 0, 9: 2, 10: 0, 11: 2, 12: 0}
+
+
+def test_another_companys_name_is_not_relevant(spark):
+    now = datetime(2026, 8, 2)
+    q = stock_news.stock_queries(spark.createDataFrame([("035720.KS", "카카오", now), ("arm", "Arm plc", now)], "symbol string, company string, now timestamp"))
+    terms = {x.symbol: x.terms for x in q.collect()}
+    assert terms == {"035720": ["카카오", "035720"], "ARM": ["Arm plc", "Arm Holdings", "ARM홀딩스", "ARM"]}
+    items = spark.createDataFrame([(1, "035720", "카카오뱅크 실적", ""), (2, "035720", "카카오와 카카오뱅크", ""), (3, "ARM", "Arm Holdings", "")], "article_id int, symbol string, title string, summary string")
+    matched = news.match_symbols(items.withColumnRenamed("summary", "body")).withColumnRenamed("body", "summary")
+    assert {x.article_id: x.relevance for x in stock_news.news_relevance(matched, q).collect()} == {1: 0, 2: 2, 3: 2}
+
+
+def test_evidence_as_of_against_loops(spark, capsys):
+    r = random.Random(8)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    e = [(r.choice("ABC"), r.choice(["x", "y", None]), day(r.randint(0, 40)), day(r.randint(0, 40)) if r.random() < 0.95 else None, i) for i in range(300)]
+    runs = [(r.choice("ABCD"), day(r.randint(-3, 45))) for _ in range(60)] + [("A", None), ("B", day(10)), ("B", day(10))]
+    found = filings.evidence_as_of(spark.createDataFrame(e, "symbol string, kind string, observed_at timestamp, available_at timestamp, id long"), spark.createDataFrame(runs, "symbol string, as_of timestamp"))
+    want = {}
+    for s, t in runs:
+        for symbol, kind, seen, at, i in e:
+            if t is not None and at is not None and symbol == s and at <= t:
+                want[s, t, kind] = max(want.get((s, t, kind), (datetime(1970, 1, 1), at, -1)), (seen, at, i))
+    assert {(x.symbol, x.as_of, x.kind): x.id for x in found.collect()} == {k: v[2] for k, v in want.items()}
+    found.explain()
+    assert "Join" not in capsys.readouterr().out

@@ -1,8 +1,10 @@
 """Bars, technicals, scores and ranking with known values."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import market, ranking
 
@@ -50,6 +52,58 @@ def test_volume_ratio_and_invalid_values(spark):
     assert r.rsi_14 is not None
 
 
+def folded(prices, volumes=None):
+    """RSI, MACD and its signal by recursion over a list."""
+
+    def mean(values, n):
+        out = [sum(values[:n]) / n]
+        for x in values[n:]:
+            out.append(2 / (n + 1) * x + (1 - 2 / (n + 1)) * out[-1])
+        return out
+
+    rsi = macd = signal = None
+    if len(prices) >= 15:
+        changes = [b - a for a, b in zip(prices, prices[1:])]
+        gain, loss = (sum(max(s * c, 0) for c in changes[:14]) / 14 for s in (1, -1))
+        for c in changes[14:]:
+            gain, loss = gain * 13 / 14 + max(c, 0) / 14, loss * 13 / 14 + max(-c, 0) / 14
+        rsi = 50.0 if gain == loss == 0 else 100 * gain / (gain + loss)
+    if len(prices) >= 26:
+        series = [f - s for f, s in zip(mean(prices, 12)[14:], mean(prices, 26))]
+        macd = series[-1]
+        signal = mean(series, 9)[-1] if len(series) >= 9 else None
+    return rsi, macd, signal
+
+
+def test_weighted_sums_equal_the_recursion(spark):
+    r = random.Random(3)
+    lengths = [*range(12, 45), 60, 100, 252, 1000, 4000]
+    prices = {f"S{n}": [round(50 + 10 * r.random() + (i % 90) / 9, 4) for i in range(n)] for n in lengths}
+    rows = [(s, date(2000, 1, 1) + timedelta(days=i), c, c, c, c, 1.0) for s, p in prices.items() for i, c in enumerate(p)]
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
+    got = {x.symbol: x for x in market.technical_metrics(df).collect()}
+    for s, p in prices.items():
+        assert (got[s].rsi_14, got[s].macd, got[s].macd_signal) == pytest.approx(folded(p), abs=1e-9), s
+
+
+def test_no_history_is_a_list(spark, capsys):
+    market.technical_metrics(bars(spark, PRICES)).explain()
+    assert "collect_" not in capsys.readouterr().out
+
+
+def test_order_statistics_under_outliers_and_ties(spark):
+    r = random.Random(4)
+    groups = {"plain": [r.gauss(0, 1) for _ in range(5000)], "outlier": [r.random() for _ in range(4999)] + [1e12], "ties": [float(r.randint(0, 3)) for _ in range(3000)], "two": [2.0, 1.0], "one": [7.0], "same": [1.0] * 500, "low": [-1e300] * 30 + [float(i) for i in range(70)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("plain", None)], "g string, v double")
+    n = F.col("n")
+    for share in (0.05, 0.5, 0.95):
+        low, high = F.greatest(F.lit(0), F.floor(n * share) - 1) + 1, F.least(n - 1, F.floor(n * share)) + 1
+        got = {x.g: (x.lo, x.hi) for x in ranking.order_statistics(df, ["g"], low, high).collect()}
+        for g, vs in groups.items():
+            s = sorted(vs)
+            assert got[g] == (s[max(0, int(len(s) * share) - 1)], s[min(len(s) - 1, int(len(s) * share))]), (g, share)
+
+
 def test_averages(spark):
     r = one(market.market_snapshot(bars(spark, [float(i) for i in range(1, 121)])))
     assert (r.ma_20, r.ma_60, r.ma_100, r.alignment) == (110.5, 90.5, 70.5, "정배열") and r.price_above_ma_100

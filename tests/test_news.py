@@ -1,6 +1,6 @@
 """Text, URLs, dates, feeds and insights with known values."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +113,21 @@ def test_insert_counts_once(spark):
 def test_window_hours(spark, hours, want):
     df = spark.createDataFrame([(hours,)], "h double")
     assert df.select(archive.clamp_window_hours(F.col("h")).alias("x")).first().x == want
+
+
+def test_pages_by_index_equal_pages_by_offset(spark):
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i * 37 % 400) if i % 5 else None) for i in range(1000)]
+    a = spark.createDataFrame(rows, "article_id long, published_at timestamp").repartition(7)
+    index = archive.archive_index(a, 64)
+    assert index.count() == 16
+    ids = lambda df: [r.article_id for r in df.collect()]
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or datetime(1970, 1, 1)).timestamp(), -r[0]))]
+    for page in (1, 2, 7, 8, 20, 34, 35):
+        assert ids(archive.indexed_page(a, index, page, 30, 64)) == order[(page - 1) * 30 : page * 30]
+    at, read = None, []
+    first = archive.archive_page(a, 1, 90).collect()
+    while first:
+        read += [r.article_id for r in first]
+        at = first[-1]
+        first = archive.archive_after(a, at.published_at, at.article_id, 90).collect()
+    assert read == order

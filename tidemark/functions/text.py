@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ EVENTS = [
     ("투자·파트너십", ["투자", "협력"], "investment|partnership"),
 ]
 OTHER_EVENT = "산업·시장동향"
+# What a reading says of a direction, of its best and worst case, and what to watch.
+DIRECTIONS = ["이익 기대 또는 사업 가시성에 우호적", "실적 또는 밸류에이션의 하방 위험을 높일 수 있는", "방향성이 확정되지 않은"]
+SUMMARY = [" 관련 ", " 뉴스입니다. ", " 신호로 분류했습니다."]
+BULL = ["보도 내용이 실제 매출·이익 추정치 상향으로 연결되면 주가 재평가의 근거가 됩니다.", "추가 공시에서 정량적 성과가 확인되면 중립 판단이 개선될 수 있습니다."]
+BEAR = ["부정 요인이 장기화되거나 비용으로 현실화되면 현재 기대치를 낮춰야 합니다.", "기사에 계약 금액·이익 기여 시점이 없으면 기대감만 선반영됐을 가능성이 있습니다."]
+WATCH = ["회사 공시 또는 공식 발표로 사실 확인", "다음 실적 추정치 변화", "동일 사건의 후속 보도와 가격·거래량 반응"]
 # Particles in the order in which they are tried, and words that are no keywords.
 PARTICLES = ["으로써", "에서는", "으로는", "이라고", "라고는", "에게서", "으로", "에서", "에는", "과는", "와는", "이나", "까지", "부터", "보다", "처럼", "만큼", "라고", "이라", "에도", "에게", "한테", "이다", "하다", "했다", "된다", "됐다", "이라는", "라는", "은", "는", "이", "가", "을", "를", "의", "에", "도", "만", "과", "와", "로", "야", "요"]
 STOPWORDS = [
@@ -103,26 +111,18 @@ def sentences(compact: Column) -> Column:
 
 
 def analyze_news(text: Column, symbol: Column, company: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, material: list[str] = MATERIAL) -> dict[str, Column]:
-    """The rule-based reading of a text as named columns over compact, pos, neg and important (see counted); numbers run from 0 to 100.
-
-    compact: the text with white space folded; the caller puts these four in place first, so each is computed once.
-    """
-    compact, pos, neg, important = (F.col(f"_{c}") for c in ("compact", "pos", "neg", "important"))
-    raw, low = pos - neg, F.lower(compact)
+    """The rule-based reading of a text as named columns over those of counted(), which the caller puts in place first, so each is computed once; numbers run from 0 to 100."""
+    compact, low, pos, neg, important = (F.col(f"_{c}") for c in ("compact", "low", "pos", "neg", "important"))
+    raw = pos - neg
     explicit = F.contains(low, F.lower(symbol)) | F.contains(compact, company)
     sentiment = F.when(raw > 0, "긍정").when(raw < 0, "부정").otherwise("중립")
     materiality = F.when(important >= 3, "높음").when(important >= 1, "보통").otherwise("낮음")
-    event = F.lit(OTHER_EVENT)
-    for name, words, pattern in reversed(EVENTS):
-        held = low.rlike(pattern)
-        for w in words:
-            held = held | F.contains(compact, F.lit(w))
-        event = F.when(held, name).otherwise(event)
+    event = F.col("_event")
     horizon = F.when(event == EVENTS[0][0], "중기(1~2분기)").when(event == EVENTS[1][0], "장기(1년+)").when(materiality == "낮음", "당일").otherwise("단기(1~4주)")
     factor = F.when(materiality == "높음", 2.4).when(materiality == "보통", 1.5).otherwise(0.7)
     long = F.filter(sentences(compact), lambda s: F.length(s) > 18)
     evidence = F.transform(F.slice(F.when(F.size(long) > 0, long).otherwise(F.array(compact)), 1, 3), lambda s: F.substring(s, 1, 150))
-    direction = F.when(raw > 0, "이익 기대 또는 사업 가시성에 우호적").when(raw < 0, "실적 또는 밸류에이션의 하방 위험을 높일 수 있는").otherwise("방향성이 확정되지 않은")
+    direction = F.when(raw > 0, DIRECTIONS[0]).when(raw < 0, DIRECTIONS[1]).otherwise(DIRECTIONS[2])
     return {
         "sentiment": sentiment,
         "sentiment_score": clamp(50 + raw * 11, 0, 100),
@@ -132,19 +132,24 @@ def analyze_news(text: Column, symbol: Column, company: Column, positive: list[s
         "impact_horizon": horizon,
         "confidence": clamp(52 + F.when(explicit, 15).otherwise(0) + F.least(F.length(compact) / 45, F.lit(18.0)) + important * 2, 0, 100),
         "score_adjustment": half_up(clamp(raw * factor, -8, 8)).cast("int"),
-        "analysis_summary": F.concat(company, F.lit(" 관련 "), event, F.lit(" 뉴스입니다. "), direction, F.lit(" 신호로 분류했습니다.")),
+        "analysis_summary": F.concat(company, F.lit(SUMMARY[0]), event, F.lit(SUMMARY[1]), direction, F.lit(SUMMARY[2])),
         "evidence": evidence,
-        "bull_case": F.when(pos > 0, "보도 내용이 실제 매출·이익 추정치 상향으로 연결되면 주가 재평가의 근거가 됩니다.").otherwise("추가 공시에서 정량적 성과가 확인되면 중립 판단이 개선될 수 있습니다."),
-        "bear_case": F.when(neg > 0, "부정 요인이 장기화되거나 비용으로 현실화되면 현재 기대치를 낮춰야 합니다.").otherwise("기사에 계약 금액·이익 기여 시점이 없으면 기대감만 선반영됐을 가능성이 있습니다."),
+        "bull_case": F.when(pos > 0, BULL[0]).otherwise(BULL[1]),
+        "bear_case": F.when(neg > 0, BEAR[0]).otherwise(BEAR[1]),
+        "watch_items": F.array(*map(F.lit, WATCH)),
     }
 
 
 def counted(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, material: list[str] = MATERIAL) -> list[dict[str, Column]]:
-    """Two layers of columns that analyze_news() reads: the folded text, then its counts."""
-    compact = F.col("_compact")
+    """Layers of columns that analyze_news() reads: the folded text, the same without case, then the counts of words in it and the kind of event."""
+    held = lambda words: sum((F.contains("_low", F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+    event = F.lit(OTHER_EVENT)
+    for name, korean, pattern in reversed(EVENTS):
+        event = F.when(reduce(lambda a, b: a | b, [F.contains("_low", F.lit(w)) for w in [*korean, *pattern.split("|")]]), name).otherwise(event)
     return [
         {"_compact": F.trim(F.regexp_replace(text, f"{SPACE}+", " "))},
-        {"_pos": lexicon_count(compact, positive), "_neg": lexicon_count(compact, negative), "_important": lexicon_count(compact, material)},
+        {"_low": F.lower("_compact")},
+        {"_pos": held(positive), "_neg": held(negative), "_important": held(material), "_event": event},
     ]
 
 
@@ -153,7 +158,7 @@ def strip_particle(token: Column) -> Column:
 
     In the list no particle stands before one that ends in it, so the first that fits is the longest: the leftmost match before the end.
     """
-    return F.when(token.rlike("[가-힣]$"), F.regexp_replace(token, f"(?<=..)(?:{'|'.join(PARTICLES)})$", "")).otherwise(token)
+    return F.when(F.right(token, F.lit(1)).between("가", "힣"), F.regexp_replace(token, f"(?<=..)(?:{'|'.join(PARTICLES)})$", "")).otherwise(token)
 
 
 def keyword(token: Column, stopwords: list[str] = STOPWORDS) -> Column:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import kept
+
 #: Recency window in hours (default, least, most), hours a time may lie ahead.
 WINDOW_HOURS, LEAST_HOURS, MOST_HOURS, AHEAD_HOURS = 36, 6, 168, 2
 
@@ -74,16 +76,60 @@ def archive_summary(articles: DataFrame) -> DataFrame:
     return articles.agg(F.count("*").alias("total"), F.count_if(F.col("sentiment") == "긍정").alias("positive"), F.count_if(F.col("sentiment") == "부정").alias("negative"), F.count_if(F.col("insight_status") == "대기").alias("pending"))
 
 
+def newest() -> list[Column]:
+    """The archive's order."""
+    return [F.desc_nulls_first("published_at"), F.desc("article_id")]
+
+
 def archive_page(articles: DataFrame, page: int = 1, size: int = 30) -> DataFrame:
-    """A page of articles by time, newest first, those without time before all."""
-    return articles.orderBy(F.desc_nulls_first("published_at"), F.desc("article_id")).offset((max(1, page) - 1) * size).limit(size)
+    """A page of articles by time, newest first, those without time before all. Pages far back go by archive_index and indexed_page."""
+    return articles.orderBy(*newest()).offset((max(1, page) - 1) * size).limit(size)
 
 
-def archive_after(articles: DataFrame, published_at: datetime, article_id: int, size: int = 30) -> DataFrame:
-    """The page that follows a given article, by filter instead of offset."""
+def not_before(published_at: datetime | None, article_id: int, itself: bool) -> Column:
+    """Whether an article stands after a given one in the archive's order (or is it); one without time stands among those without time."""
+    ids = F.col("article_id") <= article_id if itself else F.col("article_id") < article_id
+    undated = F.col("published_at").isNull()
+    if published_at is None:
+        return (undated & ids) | ~undated
     t = F.lit(published_at).cast("timestamp")
-    later = (F.col("published_at") < t) | ((F.col("published_at") == t) & (F.col("article_id") < article_id))
-    return articles.where(later).orderBy(F.desc("published_at"), F.desc("article_id")).limit(size)
+    return ~undated & ((F.col("published_at") < t) | ((F.col("published_at") == t) & ids))
+
+
+def archive_after(articles: DataFrame, published_at: datetime | None, article_id: int, size: int = 30) -> DataFrame:
+    """The page that follows a given article, by filter instead of offset; published_at is null for an article without time."""
+    return articles.where(not_before(published_at, article_id, False)).orderBy(*newest()).limit(size)
+
+
+def archive_index(articles: DataFrame, every: int = 3000) -> DataFrame:
+    """(nth, published_at, article_id): the article at every so many places of the archive's order, the first being nth 0; to be stored beside the archive.
+
+    Articles' keys are ranged over tasks and counted by range, so a place follows from the ranges before its own and its row within: no task sorts them all.
+    """
+    keys = articles.select("published_at", "article_id").repartitionByRange(*newest()).sortWithinPartitions(*newest())
+    keys = keys.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id() % (1 << 33)})
+    keys = kept(keys)
+    sizes = keys.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sizes.select("part", before.alias("before"))
+    nth = F.col("before") + F.col("row")
+    return keys.join(starts, "part").where(nth % every == 0).select(F.floor(nth / every).alias("nth"), "published_at", "article_id")
+
+
+def indexed_page(articles: DataFrame, index: DataFrame, page: int, size: int = 30, every: int = 3000) -> DataFrame:
+    """The page of the same number by an index over the same articles: a filter on the key, so the scan reads the range that holds the page.
+
+    The driver reads up to three rows of the index: those that bound the page.
+    """
+    start = (max(1, page) - 1) * size
+    first, last = start // every, (start + size - 1) // every + 1
+    keys = {r.nth: r for r in index.where(F.col("nth").isin(first, last)).collect()}
+    if first not in keys:
+        return articles.limit(0)
+    rows = articles.where(not_before(keys[first].published_at, keys[first].article_id, True))
+    if last in keys:
+        rows = rows.where(~not_before(keys[last].published_at, keys[last].article_id, True))
+    return rows.orderBy(*newest()).offset(start - first * every).limit(size)
 
 
 def latest(df: DataFrame, order: list, limit: int) -> DataFrame:

@@ -131,15 +131,83 @@ def non_us(state: Column) -> Column:
     return (s != "") & ~s.isin(STATES)
 
 
-def profile_evidence(profiles: DataFrame, filings: DataFrame, limit: int = 5) -> DataFrame:
-    """Evidence rows (cik, id, kind, title, observed_at, url) of a profile and its latest filings."""
-    p = profiles.select("cik", F.concat(F.lit("sec:profile:"), F.col("cik").cast("string")).alias("id"), F.lit("profile").alias("kind"), F.col("reporting_regime").alias("title"), F.col("annual_filed_at").alias("observed_at"), F.lit("").alias("url"))
-    f = filings.where(F.col("pos") < limit).select("cik", F.concat(F.lit("sec:"), "accession").alias("id"), F.lit("filing").alias("kind"), "form", "filed_at", "url")
-    return p.unionByName(f.withColumnsRenamed({"form": "title", "filed_at": "observed_at"}))
+# What evidence says of a filer, and the names of statements and of the accounts that are shown.
+UNKNOWN, ABROAD, NONE = "미상", "(미국 밖)", "없음"
+NO_QUARTERS = " 이 양식은 분기 실적 공시 의무가 없어 10-Q 가 존재하지 않는다."
+CHANGED = (" 과거에는 ", " 으로 보고했다. 보고 체계가 바뀐 구간은 회계기준(IFRS/US-GAAP)도 함께 바뀌었을 수 있다.")
+ABROAD_DOMESTIC = " 미국 밖에서 설립된 법인이지만 미국 내국법인 양식으로 보고한다."
+REPORTS = {"11011": "사업보고서", "11012": "반기보고서", "11013": "1분기보고서", "11014": "3분기보고서"}
+SHOWN_ACCOUNTS = ["매출액", "영업이익", "당기순이익", "자산총계", "부채총계", "자본총계"]
+RATIO_NAMES = {"revenue_growth_pct": ("매출성장률 ", "%"), "profit_margin_pct": ("순이익률 ", "%"), "trailing_pe": ("PER ", ""), "price_to_book": ("PBR ", "")}
+EVIDENCE = ["id", "kind", "title", "source", "observed_at", "available_at", "summary", "url"]
+
+
+def filer_identities(raw: DataFrame) -> DataFrame:
+    """(cik, entity_name, exchanges, sic_description, state, fiscal_year_end, is_non_us) of submission files (cik, json)."""
+    r = F.from_json("json", "name string, exchanges array<string>, sicDescription string, stateOfIncorporation string, fiscalYearEnd string")
+    known = lambda c: F.coalesce(c, F.lit(""))
+    one = raw.select("cik", r.alias("r"))
+    return one.select("cik", known(F.col("r.name")).alias("entity_name"), F.array_compact(F.coalesce("r.exchanges", F.array().cast("array<string>"))).alias("exchanges"), known(F.col("r.sicDescription")).alias("sic_description"), F.upper(F.trim(known(F.col("r.stateOfIncorporation")))).alias("state"), known(F.col("r.fiscalYearEnd")).alias("fiscal_year_end"), non_us(F.col("r.stateOfIncorporation")).alias("is_non_us"))
+
+
+def profile_evidence(profiles: DataFrame, filings: DataFrame, identities: DataFrame, available_at: str, limit: int = 5) -> DataFrame:
+    """Evidence rows (cik and EVIDENCE) of filers (see filer_profiles, filer_identities): who reports and how, the mix of forms, and the latest filings.
+
+    Profile and mix are dated by the report period of the latest annual filing, else of the latest filing, else by when they were looked up.
+    """
+    dated = filings.groupBy("cik").agg(F.min_by("period_of_report", F.when(F.col("form").isin(ANNUAL), F.col("pos"))).alias("annual"), F.min_by("period_of_report", "pos").alias("newest"))
+    p = profiles.join(identities, "cik").join(dated, "cik", "left")
+    name = F.col("entity_name")
+    titled = lambda tail: F.concat(F.coalesce(F.nullif(name, F.lit("")), F.col("cik").cast("string")), F.lit(tail))
+    or_unknown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(UNKNOWN))
+    foreign = F.col("reporting_regime").isin(REGIMES[1:3])
+    text = F.concat(
+        F.lit("CIK "), F.col("cik").cast("string"), F.lit("; 사명 "), name, F.lit("; 거래소 "), or_unknown(F.array_join("exchanges", ", ")), F.lit("; 업종 "), or_unknown(F.col("sic_description")), F.lit("; 설립지 "), or_unknown(F.col("state")),
+        F.when(F.col("is_non_us"), ABROAD).otherwise(""), F.lit("; 결산월 "), or_unknown(F.col("fiscal_year_end")), F.lit("; 보고 양식 "), F.col("reporting_regime"), F.lit("."), F.when(foreign, NO_QUARTERS).otherwise(""),
+        F.when(F.col("regime_changed"), F.concat(F.lit(CHANGED[0]), F.col("previous_regime"), F.lit(CHANGED[1]))).otherwise(""), F.when(F.col("is_non_us") & ~foreign, ABROAD_DOMESTIC).otherwise(""),
+    )
+    mix = F.array_join(F.transform(F.slice(F.map_entries("form_counts"), 1, 8), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string"), F.lit("건"))), ", ")
+    at, now, filer = F.coalesce("annual", "newest", F.lit(available_at)), F.lit(available_at), F.lit("SEC EDGAR")
+    row = lambda id, title, summary: F.struct(F.lit(id).alias("id"), F.lit("filing").alias("kind"), title.alias("title"), filer.alias("source"), at.alias("observed_at"), now.alias("available_at"), summary.alias("summary"), F.lit("").alias("url"))
+    both = F.array(row("sec:profile", titled(" SEC 발행사 프로필"), text), row("sec:filings-mix", titled(" 최근 공시 구성"), F.concat(F.lit("최근 공시 폼 분포: "), F.coalesce(F.nullif(mix, F.lit("")), F.lit(NONE)), F.lit("."))))
+    said = F.concat("entity_name", F.lit(" 가 "), "filed_at", F.lit(" 에 제출한 "), "form", F.lit("."))
+    each = filings.where(F.col("pos") < limit).join(identities.select("cik", "entity_name"), "cik")
+    each = each.select("cik", F.concat(F.lit("sec:filing:"), "accession").alias("id"), F.lit("filing").alias("kind"), F.concat("form", F.lit(" ("), "period_of_report", F.lit(" 기준)")).alias("title"), filer.alias("source"), F.col("period_of_report").alias("observed_at"), F.col("filed_at").alias("available_at"), said.alias("summary"), "url")
+    return p.select("cik", F.inline(both)).unionByName(each)
+
+
+def financial_evidence(fundamentals: DataFrame, available_at: str, key: str = "cik") -> DataFrame:
+    """An evidence row for each row of fundamentals: the ratios that are there, in words."""
+    parts = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(name), F.format_string("%.1f", c), F.lit(unit))) for c, (name, unit) in RATIO_NAMES.items()]))
+    return fundamentals.select(key, F.concat(F.lit("sec:annual-financials:"), "period").alias("id"), F.lit("financial").alias("kind"), F.concat(F.lit("SEC EDGAR "), "period", F.lit(" 연차 재무 팩터")).alias("title"), F.lit("SEC EDGAR").alias("source"), F.col("period").alias("observed_at"), F.lit(available_at).alias("available_at"), F.array_join(parts, "; ").alias("summary"), F.lit("").alias("url"))
+
+
+def account_evidence(accounts: DataFrame, names: DataFrame, year: str, report: str, available_at: str) -> DataFrame:
+    """An evidence row for each company (names: company, name) that has accounts: the main ones of a year's statement, in the order in which they are shown."""
+    s = select_accounts(accounts)
+    place = F.array_position(F.array(*map(F.lit, SHOWN_ACCOUNTS)), F.col("account_name"))
+    shown = F.when((place > 0) & F.col("current").isNotNull(), F.struct(place.alias("n"), F.concat("account_name", F.lit("="), F.format_number("current", 0), F.lit("원")).alias("t")))
+    one = s.groupBy("company").agg(F.sort_array(F.collect_list(shown)).alias("p"))  # as many as SHOWN_ACCOUNTS
+    summary = F.coalesce(F.nullif(F.array_join(F.transform("p", lambda x: x["t"]), "; "), F.lit("")), F.lit("주요계정 값을 읽지 못함"))
+    title = F.concat("name", F.lit(f" {year} {REPORTS.get(report, report)} 주요계정"))
+    id = F.concat(F.lit("dart:accounts:"), F.col("company").cast("string"), F.lit(f":{year}:{report}"))
+    return one.join(names, "company").select("company", id.alias("id"), F.lit("financial").alias("kind"), title.alias("title"), F.lit("DART").alias("source"), F.lit(f"{year}-12-31").alias("observed_at"), F.lit(available_at).alias("available_at"), summary.alias("summary"), F.lit("").alias("url"))
 
 
 def evidence_as_of(evidence: DataFrame, runs: DataFrame, by: tuple[str, ...] = ("symbol", "kind")) -> DataFrame:
-    """For each run (symbol, as_of) the latest observed evidence of each kind among what was available then."""
-    rows = runs.join(evidence, "symbol").where(F.col("available_at") <= F.col("as_of"))
-    best = F.max_by(F.struct("id", "observed_at"), F.struct("observed_at", "available_at", "id"))
-    return rows.groupBy("as_of", *by).agg(best.alias("b")).select("as_of", *by, "b.id", "b.observed_at")
+    """For each run (symbol, as_of) the latest observed evidence of each kind among what was available then.
+
+    Evidence and runs stand in one table, in order of time within the symbol and kind; what a run sees is the running maximum so far. So each row is sorted once, and no run meets the evidence
+    of its symbol one by one. A run stands once for each kind that its symbol has evidence of; ties of time come before the run.
+    """
+    symbol, *kinds = by
+    seen = evidence.select(*by, F.col("available_at").alias("_at"), F.struct("observed_at", "available_at", "id").alias("_e"), F.lit(None).cast(runs.schema["as_of"].dataType).alias("as_of"))
+    asked = runs.select(symbol, "as_of").where("as_of is not null").distinct().select(symbol, *[F.lit(None).cast(evidence.schema[k].dataType).alias(k) for k in kinds], F.col("as_of").cast(evidence.schema["available_at"].dataType).alias("_at"), F.lit(None).cast(seen.schema["_e"].dataType).alias("_e"), "as_of")
+    rows = seen.where("_at is not null").unionByName(asked)
+    some = F.struct(*kinds) if kinds else F.struct(F.lit(0).alias("_all"))
+    rows = rows.withColumn("_kinds", F.collect_set(F.when(F.col("_e").isNotNull(), some)).over(Window.partitionBy(symbol)))  # as many as there are kinds
+    rows = rows.withColumn("_kind", F.explode(F.when(F.col("_e").isNull(), F.col("_kinds")).otherwise(F.array(some)))).drop("_kinds", *kinds)
+    order = [F.col("_at"), F.col("_e").isNull()]
+    best = F.max("_e").over(Window.partitionBy(symbol, "_kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_best", best).where(F.col("as_of").isNotNull() & F.col("_best").isNotNull())
+    return rows.select("as_of", symbol, *[F.col(f"_kind.{k}").alias(k) for k in kinds], F.col("_best.id").alias("id"), F.col("_best.observed_at").alias("observed_at"))

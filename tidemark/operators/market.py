@@ -72,53 +72,62 @@ def chart_points(bars: DataFrame, limit: int = 120) -> DataFrame:
     return p.where(F.col("back") < limit).select("symbol", "date", "open", "high", "low", "close", "ma_20", "ma_60", "ma_100")
 
 
-def fold_mean(values: Column, n: int) -> Column:
-    """The mean of the first n values, summed in order."""
-    return F.aggregate(F.slice(values, 1, n), F.lit(0.0), lambda a, x: a + x / n)
+def mean_weight(n: Column, i: Column, period: int, decay: float, share: float) -> Column:
+    """The weight of the i-th of n values in a recursive mean begun by a plain mean of `period` values, in which each later value counts `share` and what was there `decay`."""
+    return F.pow(F.lit(decay), n - F.greatest(i, F.lit(period))) * F.when(i <= period, 1 / period).otherwise(share)
 
 
-def rsi(prices: Column, n: int = 14) -> Column:
-    """Wilder's relative strength of a list of prices: 50 if flat, null for fewer than n + 1."""
-    changes = F.transform(F.sequence(F.lit(2), F.size(prices)), lambda i: F.element_at(prices, i) - F.element_at(prices, i - 1))
-    up, down = F.transform(changes, lambda c: F.greatest(c, F.lit(0.0))), F.transform(changes, lambda c: F.greatest(-c, F.lit(0.0)))
-    decay = lambda parts: F.aggregate(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), fold_mean(parts, n), lambda a, x: a * ((n - 1) / n) + x / n)
-    gain, loss = decay(up), decay(down)
-    scale = F.greatest(gain, loss)
-    value = F.when(scale == 0, F.lit(50.0)).otherwise(100 * (gain / scale) / (gain / scale + loss / scale))
-    return F.when(F.size(prices) > n, value)
+def signal_weight(n: Column, i: Column, period: int, begin: int, smooth: int) -> Column:
+    """The weight of the i-th of n values in a smoothed exponential mean: the mean over `period` from the value `begin` on, itself a series, smoothed over `smooth`.
 
-
-def macd(prices: Column, fast: int = 12, slow: int = 26, smooth: int = 9) -> Column:
-    """struct(macd, macd_signal): difference of two exponential means, each begun by a plain mean, and its own exponential mean; null while too short."""
-    af, as_, ag = 2 / (fast + 1), 2 / (slow + 1), 2 / (smooth + 1)
-    begin = F.aggregate(F.slice(prices, fast + 1, slow - fast), fold_mean(prices, fast), lambda a, x: af * x + (1 - af) * a)
-    one = begin - fold_mean(prices, slow)
-    start = F.struct(begin.alias("f"), fold_mean(prices, slow).alias("s"), F.lit(1).alias("k"), (one / smooth).alias("g"))
-
-    def step(acc: Column, x: Column) -> Column:
-        f, s = af * x + (1 - af) * acc["f"], as_ * x + (1 - as_) * acc["s"]
-        g = F.when(acc["k"] < smooth, acc["g"] + (f - s) / smooth).otherwise(ag * (f - s) + (1 - ag) * acc["g"])
-        return F.struct(f.alias("f"), s.alias("s"), (acc["k"] + 1).alias("k"), g.alias("g"))
-
-    end = F.aggregate(F.slice(prices, slow + 1, F.greatest(F.size(prices) - slow, F.lit(0))), start, step)
-    return F.struct(F.when(F.size(prices) >= slow, end["f"] - end["s"]).alias("macd"), F.when(F.size(prices) >= slow + smooth - 1, end["g"]).alias("macd_signal"))
+    It is the sum over all steps t of the series of t's weight in the smoothing times the value's weight at t, two geometric sums in closed form: one over the plain mean of the first
+    `smooth` steps, one over the rest.
+    """
+    a, c = 2 / (period + 1), 2 / (smooth + 1)
+    q, r = 1 - a, 1 - c
+    first = begin + smooth  # the first step after the plain mean
+    power = lambda base, exponent: F.pow(F.lit(base), exponent)
+    origin, step = F.greatest(i, F.lit(period)), F.greatest(i, F.lit(begin))
+    plain = F.when(step < first, power(r, n - first + 1) / smooth * (power(q, step - origin) - power(q, first - origin)) / (1 - q)).otherwise(0.0)
+    later = F.greatest(step, F.lit(first))
+    m = F.greatest(n - later + 1, F.lit(0))
+    rest = c * power(q, later - origin) * (power(r, m) - power(q, m)) / (r - q)
+    return (plain + rest) * F.when(i <= period, 1 / period).otherwise(a)
+
+
+def price_metrics(bars: DataFrame, strength: int = 14, fast: int = 12, slow: int = 26, smooth: int = 9, band: int = 20) -> DataFrame:
+    """Per symbol rsi, macd, macd_signal and Bollinger bands at its latest bar.
+
+    Wilder's averages and exponential means are linear in the prices, so each is a sum of prices times weights that follow from a bar's place alone: one aggregation, whatever the length of
+    a history, and no list of it. Sums agree with the recursion to rounding.
+    """
+    p = positions(bars)
+    n, i, x = F.col("n"), F.col("pos"), F.col("close").cast("double")
+    wilder = mean_weight(n - 1, i - 1, strength, (strength - 1) / strength, 1 / strength)
+    change = x - F.col("prev")
+    mean = lambda period: mean_weight(n, i, period, 1 - 2 / (period + 1), 2 / (period + 1))
+    near = F.when(F.col("back") < band, x)
+    one = p.groupBy("symbol").agg(
+        F.max("n").alias("n"),
+        F.sum(F.when(i > 1, F.greatest(change, F.lit(0.0)) * wilder)).alias("gain"),
+        F.sum(F.when(i > 1, F.greatest(-change, F.lit(0.0)) * wilder)).alias("loss"),
+        F.sum(F.when(n >= slow, x * (mean(fast) - mean(slow)))).alias("macd"),
+        F.sum(F.when(n >= slow + smooth - 1, x * (signal_weight(n, i, fast, slow, smooth) - signal_weight(n, i, slow, slow, smooth)))).alias("macd_signal"),
+        F.when(F.count(near) >= band, F.avg(near)).alias("bollinger_middle"),
+        F.when(F.count(near) >= band, 2 * F.stddev_pop(near)).alias("spread"),
+    )
+    scale = F.greatest("gain", "loss")
+    value = F.when(scale == 0, F.lit(50.0)).otherwise(100 * (F.col("gain") / scale) / (F.col("gain") / scale + F.col("loss") / scale))
+    return one.select(
+        "symbol", F.when(n > strength, value).alias("rsi_14"), "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_histogram"),
+        "bollinger_middle", (F.col("bollinger_middle") + F.col("spread")).alias("bollinger_upper"), (F.col("bollinger_middle") - F.col("spread")).alias("bollinger_lower"),
+    )
 
 
 def technical_metrics(bars: DataFrame) -> DataFrame:
-    """Per symbol rsi_14, macd with signal and histogram, Bollinger bands of 20 and volume ratio, each over the bars after the last invalid price or volume.
-
-    Bars are folded per symbol in order of date; the caller bounds the history (a year is some 252 bars).
-    """
+    """Per symbol rsi_14, macd with signal and histogram, Bollinger bands of 20 and volume ratio, each over the bars after the last invalid price or volume, however many they are."""
     symbols = bars.select("symbol").distinct()
-    price = valid_suffix(bars, "close").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("p"))
-    price = price.select("symbol", F.transform("p", lambda x: x["close"].cast("double")).alias("p"))
-    price = price.withColumns({"m": macd(F.col("p")), "rsi_14": rsi(F.col("p"))})
-    last = F.slice("p", -20, 20)
-    mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x / 20)
-    price = price.withColumn("bollinger_middle", F.when(F.size("p") >= 20, F.when(F.size("p") >= 20, mean)))
-    spread = 2 * F.sqrt(F.aggregate(last, F.lit(0.0), lambda a, x: a + (x - F.col("bollinger_middle")) * (x - F.col("bollinger_middle")) / 20))
-    spread = F.when(F.size("p") >= 20, spread)
-    price = price.select("symbol", "rsi_14", "m.macd", "m.macd_signal", (F.col("m.macd") - F.col("m.macd_signal")).alias("macd_histogram"), "bollinger_middle", (F.col("bollinger_middle") + spread).alias("bollinger_upper"), (F.col("bollinger_middle") - spread).alias("bollinger_lower"))
+    price = price_metrics(valid_suffix(bars, "close"))
     v = positions(valid_suffix(bars, "volume", positive=False))
     v = v.groupBy("symbol").agg(F.max("n").alias("n"), F.max(F.when(F.col("back") == 0, F.col("volume"))).alias("latest"), F.avg(F.when(F.col("back").between(1, 20), F.col("volume"))).alias("base"))
     v = v.select("symbol", F.when((F.col("n") >= 21) & (F.col("base") > 0), F.col("latest") / F.col("base")).alias("volume_ratio"))

@@ -30,14 +30,25 @@ def analyzed(df: DataFrame, text: Column, symbol: Column | None = None, company:
     return df.select(*[c for c in keep if c not in found], *[c.alias(n) for n, c in found.items()])
 
 
+def tokens(text: Column) -> Column:
+    """Tokens of a text of two characters or more, without particles."""
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "[^0-9A-Za-z가-힣%]+", -1), lambda t: F.length(t) >= 2), lambda t: strip_particle(t))
+
+
 def keywords(articles: DataFrame, limit: int = 8, stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """(article_id, keywords): tokens by weight (four in the title, one in the body, more than one in all), ties by token."""
-    parts = articles.select("article_id", F.explode(F.array(F.struct(F.col("title").alias("text"), F.lit(4).alias("w")), F.struct(F.col("body").alias("text"), F.lit(1).alias("w")))).alias("p"))
-    tokens = parts.select("article_id", "p.w", F.explode(F.split("p.text", "[^0-9A-Za-z가-힣%]+", -1)).alias("t")).where(F.length("t") >= 2)
-    tokens = tokens.select("article_id", "w", strip_particle(F.col("t")).alias("token"))
-    each = tokens.where(keyword(F.col("token"), stopwords)).groupBy("article_id", "token").agg(F.sum("w").alias("w")).where("w > 1")
-    n = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("w"), "token"))
-    top = each.withColumn("n", n).where(F.col("n") <= limit).groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("k"))
+    """(article_id, keywords): tokens by weight (four in the title, one in the body, more than one in all), ties by token.
+
+    A token that stands once in the body and not in the title can't be one, so of a text's tokens in order only repeats and those of the title leave their row; what a keyword may be is asked of
+    each token of an article once.
+    """
+    rows = articles.select("article_id", tokens(F.col("title")).alias("named"), F.sort_array(tokens(F.col("body"))).alias("told"))
+    near = lambda i: F.get("told", i)
+    told = F.filter("told", lambda t, i: F.coalesce(near(i - 1) == t, F.lit(False)) | F.coalesce(near(i + 1) == t, F.lit(False)) | F.array_contains("named", t))
+    weighed = lambda xs, w: F.transform(xs, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+    each = rows.select("article_id", F.inline(F.concat(weighed(F.col("named"), 4), weighed(told, 1)))).groupBy("article_id", "token").agg(F.sum("w").alias("w"))
+    each = each.where(F.col("w") > 1).where(keyword(F.col("token"), stopwords))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("m"), "token"))), 1, limit)
+    top = each.groupBy("article_id").agg(best.alias("k"))
     return articles.select("article_id").join(top.select("article_id", F.transform("k", lambda x: x["token"]).alias("keywords")), "article_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
@@ -79,7 +90,7 @@ def lookup_symbol(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def rule_insight(matched: DataFrame, words: DataFrame, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, material: list[str] = MATERIAL) -> DataFrame:
     """An insight for each article (with matches): summary of its first long lines, keywords, sectors, evidence and the rule-based reading of its first 8000 characters."""
-    long = F.slice(F.filter(F.transform(F.split("body", "\n"), F.trim), lambda x: F.length(x) > 30), 1, 2)
+    long = F.slice(F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 30), 1, 2)
     sectors = F.slice(F.array_distinct(F.transform("matches", lambda m: m["sector"])), 1, 4)
     base = matched.join(words, "article_id", "left")
     text = F.substring(F.concat("title", F.lit(". "), "body"), 1, 8000)

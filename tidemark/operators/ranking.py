@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import finite, interpolate, mean_of
+from tidemark.sources.tables import kept
 
 # Fixed values: (input, score) points of each factor's inputs.
 MOMENTUM = {
@@ -125,22 +126,30 @@ def trade_plan(price: Column, atr: Column, aversion: Column) -> Column:
     return F.when((price > 0) & (atr > 0), F.struct((price - atr * 0.55).alias("entry_low"), (price - atr * 0.15).alias("entry_high"), stop.alias("stop"), target.alias("target")))
 
 
-def order_statistics(values: DataFrame, by: list[str], low: Column, high: Column, bins: int = 1024) -> DataFrame:
+#: Parts of equal count into which a group is cut, and how exactly the sketch knows where they end (a tenth of a part at worst).
+PARTS, EXACTNESS = 1000, 20_000
+
+
+def order_statistics(values: DataFrame, by: list[str], low: Column, high: Column) -> DataFrame:
     """(by, lo, hi): of the values (by, v) of each group those at two ranks from 1 on, given as expressions over its count n.
 
-    Values are counted by ranges of equal width, which says in which range a rank lies, and only that range's distinct values are put in order: no group passes through one task.
+    A sketch of quantiles says between which values a rank lies, however they are spread; only values in there, some three in PARTS and repeats of them, are put in order, those below are counted.
     """
-    counts = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    span = counts.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("c").alias("n"))
-    span = span.select(*by, "least", "most", low.alias("r_lo"), high.alias("r_hi"))
-    counts = counts.join(span, by).withColumn("bin", F.when(F.col("most") > F.col("least"), F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * bins)).otherwise(0))
-    per = counts.groupBy(*by, "bin").agg(F.sum("c").alias("m"), F.first("r_lo").alias("a"), F.first("r_hi").alias("b"))
-    ahead = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
-    inside = lambda rank: (F.col(rank) > F.col("ahead")) & (F.col(rank) <= F.col("ahead") + F.col("m"))
-    per = per.withColumn("ahead", ahead).where(inside("a") | inside("b")).select(*by, "bin", "ahead")
-    so_far = F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("ahead")
-    near = counts.join(per, [*by, "bin"]).withColumn("so_far", so_far)
-    return near.groupBy(*by).agg(*[F.min(F.when(F.col("so_far") >= F.col(f"r_{k}"), F.col("v"))).alias(k) for k in ("lo", "hi")])
+    rows = values.where("v is not null")
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", [i / PARTS for i in range(PARTS + 1)], EXACTNESS).alias("q"))
+    at = lambda rank, more: F.floor(F.col(rank) / F.col("n") * PARTS).cast("int") + 1 + more
+    least, most = F.lit(float("-inf")), F.lit(float("inf"))
+    begin = lambda rank: F.when(at(rank, -1) > 1, F.element_at("q", F.greatest(F.lit(1), at(rank, -1)))).otherwise(least)
+    end = lambda rank: F.when(at(rank, 2) <= PARTS, F.element_at("q", F.least(F.lit(PARTS + 1), at(rank, 2)))).otherwise(most)
+    ranks = sketch.withColumns({"r_lo": low, "r_hi": high})
+    ranks = ranks.select(*by, "r_lo", "r_hi", *[f(f"r_{k}").alias(f"{name}_{k}") for k in ("lo", "hi") for name, f in (("a", begin), ("b", end))])
+    counts = rows.groupBy(*by, "v").agg(F.count("*").alias("c")).join(ranks, by)
+    below = counts.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("v") < F.col(f"a_{k}"), F.col("c"))), F.lit(0)).alias(f"under_{k}") for k in ("lo", "hi")])
+    near = counts.select(*by, "v", "c", F.explode(F.array(*[F.when(F.col("v").between(F.col(f"a_{k}"), F.col(f"b_{k}")), F.struct(F.lit(k).alias("k"), F.col(f"r_{k}").alias("r"))) for k in ("lo", "hi")])).alias("w")).where("w is not null")
+    so_far = F.sum("c").over(Window.partitionBy(*by, "w.k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("so_far", so_far).join(below, by)
+    reached = lambda k: (F.col("w.k") == k) & (F.col("so_far") + F.col(f"under_{k}") >= F.col("w.r"))
+    return near.groupBy(*by).agg(*[F.min(F.when(reached(k), F.col("v"))).alias(k) for k in ("lo", "hi")])
 
 
 def winsorized_z(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
@@ -163,7 +172,7 @@ def rank(scores: DataFrame, regime: DataFrame, limit: int | None = 5, by: tuple[
     after standardising. Scores are ranked as rounded to a tenth, ties by symbol.
     """
     by = list(by)
-    fit = eligible(scores).persist()  # read once for each statistic
+    fit = kept(eligible(scores))  # read once for each statistic
     z = winsorized_z(fit, list(WEIGHTS), by)
     covered = fit.groupBy(*by).agg((F.avg((F.col("news_observations") > 0).cast("double")) >= NEWS_COVERAGE).alias("news_on"))
     z = z.join(covered, by)

@@ -193,3 +193,16 @@ ORDER BY published_at DESC NULLS FIRST, article_id DESC LIMIT 30""")
 def k1_archive_after(spark, d):
     """K1: the page that follows an article, by filter."""
     return ops.archive_after(b.articles(spark, d), datetime(2024, 1, 10, 3), 500).select("article_id")
+
+
+@query(f"WITH {ARTICLES} SELECT article_id, epoch_ms(published_at) AS published_at FROM articles ORDER BY articles.published_at DESC NULLS FIRST, article_id DESC LIMIT 30 OFFSET 570")
+def k1_indexed_page(spark, d):
+    """K1: the archive's twentieth page by a boundary index."""
+    a = b.articles(spark, d)
+    return ops.indexed_page(a, ops.archive_index(a, 100), 20, 30, 100).select("article_id", millis("published_at"))
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id FROM articles WHERE published_at IS NULL AND article_id < 500 OR published_at IS NOT NULL ORDER BY published_at DESC NULLS FIRST, article_id DESC LIMIT 30""")
+def k1_after_undated(spark, d):
+    """K1: the page that follows an article without time."""
+    return ops.archive_after(b.articles(spark, d), None, 500).select("article_id")

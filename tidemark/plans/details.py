@@ -319,21 +319,6 @@ def j11_names(spark, d):
     return comp.resolve_companies(b.table(spark, d, "customer").select(q.alias("query")), c, aliases)
 
 
-@query("""WITH f AS (SELECT o_custkey AS cik, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS pos, o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
-p AS (SELECT cik, min_by(day, pos) FILTER (k % 3 = 0) AS seen, CASE WHEN bool_or(k % 3 = 0) THEN '미국 내국법인 양식(10-K·10-Q)' WHEN bool_or(k % 3 = 2) THEN '미국 기준 외국법인 양식(6-K 중심)' ELSE '미상' END AS regime FROM f WHERE pos < 100 GROUP BY 1)
-SELECT cik, 'sec:profile:' || cik AS id, 'profile' AS kind, regime AS title, seen AS observed_at, '' AS url FROM p UNION ALL
-SELECT cik, 'sec:A-' || k, 'filing', CASE k % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '8-K' ELSE '6-K' END, day, 'u' || k FROM f WHERE pos < 5""")
-def x21_profile_evidence(spark, d):
-    """Evidence rows of profiles and their latest filings."""
-    from pyspark.sql import Window
-
-    k = F.col("o_orderkey")
-    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))) - 1
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    f = b.table(spark, d, "orders").select(F.col("o_custkey").alias("cik"), pos.alias("pos"), F.when(k % 3 == 0, "10-K").when(k % 3 == 1, "8-K").otherwise("6-K").alias("form"), day.alias("filed_at"), F.concat(F.lit("A-"), k.cast("string")).alias("accession"), F.concat(F.lit("u"), k.cast("string")).alias("url"))
-    return filings.profile_evidence(filings.filer_profiles(f, 100), f)
-
-
 @query(f"""WITH {ARTICLES} SELECT strftime(coalesce(published_at, collected_at) + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(*) AS n, count(published_at) AS dated, sum(sentiment_score)::BIGINT AS score, min(title) AS first_title, count(*) AS without_symbol_url FROM articles GROUP BY 1""")
 def io1_typed_tables(spark, d):
     """IO1, IO17: articles written in folders by day and read again by the stored table's types; columns that they lack are null."""
@@ -341,3 +326,59 @@ def io1_typed_tables(spark, d):
     tables.write_articles(b.articles(spark, d).drop("body", "source_id"), path)
     rows = tables.read(spark, "articles", path).withColumn("day", F.date_format(F.coalesce("published_at", "collected_at") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd"))
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.count("published_at").alias("dated"), F.sum("sentiment_score").alias("score"), F.min("title").alias("first_title"), F.count_if(F.col("canonical_url").isNull()).alias("without_symbol_url"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS cik, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE o_orderkey % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '20-F' ELSE '6-K' END AS form FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (SELECT cik, bool_or(pos < 20 AND form = '10-K') AS dom, bool_or(pos < 20 AND form = '20-F') AS ann, bool_or(n - pos <= 20 AND form = '10-K') AS odom, bool_or(n - pos <= 20 AND form = '20-F') AS oann,
+  min_by(day, pos) FILTER (form IN ('10-K', '20-F')) AS annual, min_by(day, pos) AS newest FROM f GROUP BY 1),
+g AS (SELECT *, CASE WHEN dom THEN '미국 내국법인 양식(10-K·10-Q)' WHEN ann THEN '미국 기준 외국법인 양식(20-F)' ELSE '미국 기준 외국법인 양식(6-K 중심)' END AS now, CASE WHEN odom THEN '미국 내국법인 양식(10-K·10-Q)' WHEN oann THEN '미국 기준 외국법인 양식(20-F)' ELSE '미국 기준 외국법인 양식(6-K 중심)' END AS old FROM r),
+m AS (SELECT cik, string_agg(form || ' ' || c || '건', ', ' ORDER BY c DESC, p) AS mix FROM (SELECT cik, form, count(*) AS c, min(pos) AS p FROM f GROUP BY 1, 2) GROUP BY 1),
+i AS (SELECT *, 'Filer ' || cik AS name, CASE cik % 3 WHEN 0 THEN '' WHEN 1 THEN 'DE' ELSE 'C3' END AS state FROM g),
+e AS (SELECT cik, 'sec:profile' AS id, name || ' SEC 발행사 프로필' AS title, coalesce(annual, newest) AS observed_at, '2024-01-02' AS available_at, 'CIK ' || cik || '; 사명 ' || name || '; 거래소 ' || CASE WHEN cik % 2 = 0 THEN 'NYSE, Nasdaq' ELSE '미상' END || '; 업종 미상; 설립지 ' || CASE state WHEN '' THEN '미상' WHEN 'DE' THEN 'DE' ELSE 'C3(미국 밖)' END || '; 결산월 1231; 보고 양식 ' || now || '.'
+    || CASE WHEN NOT dom THEN ' 이 양식은 분기 실적 공시 의무가 없어 10-Q 가 존재하지 않는다.' ELSE '' END || CASE WHEN old <> now THEN ' 과거에는 ' || old || ' 으로 보고했다. 보고 체계가 바뀐 구간은 회계기준(IFRS/US-GAAP)도 함께 바뀌었을 수 있다.' ELSE '' END || CASE WHEN state = 'C3' AND dom THEN ' 미국 밖에서 설립된 법인이지만 미국 내국법인 양식으로 보고한다.' ELSE '' END AS summary FROM i
+  UNION ALL SELECT cik, 'sec:filings-mix', name || ' 최근 공시 구성', coalesce(annual, newest), '2024-01-02', '최근 공시 폼 분포: ' || mix || '.' FROM i JOIN m USING (cik)
+  UNION ALL SELECT cik, 'sec:filing:A-' || k, form || ' (' || day || ' 기준)', day, day, 'Filer ' || cik || ' 가 ' || day || ' 에 제출한 ' || form || '.' FROM f WHERE pos < 5)
+SELECT * FROM e""")
+def x21_profile_evidence(spark, d):
+    """X21, X20, IO11: orders as submission files, read into the evidence of who reports, how, and what."""
+    k, cik = F.col("o_orderkey"), F.col("cik")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    f = F.struct(k, F.when(k % 3 == 0, "10-K").when(k % 3 == 1, "20-F").otherwise("6-K").alias("form"), day.alias("day"), F.concat(F.lit("A-"), k.cast("string")).alias("no"), F.lit("").alias("doc"))
+    per = b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik")).agg(F.sort_array(F.collect_list(f)).alias("r"))
+    part = lambda n: F.transform("r", lambda x: x[n])
+    recent = F.struct(part("form").alias("form"), part("day").alias("filingDate"), part("doc").alias("reportDate"), part("no").alias("accessionNumber"), part("doc").alias("primaryDocument"))
+    state = F.when(cik % 3 == 0, F.lit(None)).when(cik % 3 == 1, " de").otherwise("C3")
+    raw = per.select("cik", F.to_json(F.struct(F.concat(F.lit("Filer "), cik.cast("string")).alias("name"), F.when(cik % 2 == 0, F.array(F.lit("NYSE"), F.lit("Nasdaq"))).alias("exchanges"), state.alias("stateOfIncorporation"), F.lit("1231").alias("fiscalYearEnd"), F.struct(recent.alias("recent")).alias("filings"))).alias("json"))
+    listed = filings.submissions(raw)
+    out = filings.profile_evidence(filings.filer_profiles(listed), listed, filings.filer_identities(raw), "2024-01-02")
+    return out.select("cik", "id", "title", "observed_at", "available_at", "summary")
+
+
+@query("""WITH x AS (SELECT c_custkey AS k, c_acctbal AS cap FROM customer),
+r AS (SELECT k, CASE WHEN cap > 0 THEN cap / 200 END AS pe, CASE WHEN cap > 0 THEN cap / 1000 END AS pb FROM x)
+SELECT k AS company, 'dart:accounts:' || k || ':2024:11011' AS id, 'C' || k || ' 2024 사업보고서 주요계정' AS title, '매출액=' || format('{:,}', k + 2000) || '원; ' || CASE WHEN k % 2 = 0 THEN '당기순이익=-200원; ' ELSE '' END || '자본총계=1,000원' AS summary FROM r""")
+def x21_account_evidence(spark, d):
+    """X21, IO12, W18: customers as statement files, read into evidence of their main accounts."""
+    k = F.col("c_custkey")
+    row = lambda name, div, now: F.struct(F.lit(name).alias("account_nm"), F.lit(div).alias("fs_div"), now.alias("thstrm_amount"), F.lit("-").alias("frmtrm_amount"))
+    money = F.format_number((k + 2000).cast("long"), 0)
+    rows = F.array(row("자본총계", "CFS", F.lit("1,000")), row("매출액", "OFS", F.lit("9")), row("매출액", "CFS", money), row("다른계정", "CFS", F.lit("5")), row("당기순이익", "OFS", F.when(k % 2 == 0, "-200").otherwise("-")))
+    c = b.table(spark, d, "customer")
+    raw = c.select(k.alias("company"), F.to_json(F.struct(rows.alias("list"))).alias("json"))
+    names = c.select(k.alias("company"), F.concat(F.lit("C"), k.cast("string")).alias("name"))
+    return filings.account_evidence(filings.dart_accounts(raw), names, "2024", "11011", "2024-01-02").select("company", "id", "title", "summary")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS symbol, event_id AS k, date_trunc('second', ts::TIMESTAMP) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), v AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n) AS nth FROM e WHERE n <= 8 AND k % 5 <> 0)
+SELECT symbol, 'external-news:' || CASE WHEN k % 2 = 0 THEN 'c' || k WHEN k % 3 = 0 THEN 'r' || k ELSE nth::VARCHAR END AS id, 'News ' || k AS title, CASE WHEN k % 2 = 0 THEN 'Desk ' || (k % 7) ELSE 'Yahoo Finance' END AS source,
+  CASE WHEN k % 7 <> 3 THEN epoch_ms(seen) END AS observed_at, CASE WHEN k % 2 = 0 THEN 'told' ELSE 'described' END AS summary, CASE WHEN k % 2 = 0 THEN 'https://n.com/' || k ELSE 'https://l.com/' || k END AS url FROM v""")
+def io13_vendor_news(spark, d):
+    """IO13: events as a quote vendor's news, nested and flat, read again."""
+    k = F.col("event_id")
+    text = k.cast("string")
+    e = b.table(spark, d, "events").withColumn("at", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    title = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" News "), text))
+    nested = F.to_json(F.struct(F.concat(F.lit("r"), text).alias("id"), F.struct(F.concat(F.lit("c"), text).alias("id"), title.alias("title"), F.struct(F.concat(F.lit("Desk "), (k % 7).cast("string")).alias("displayName")).alias("provider"), F.struct(F.concat(F.lit("https://n.com/"), text).alias("url")).alias("canonicalUrl"), F.when(k % 7 == 3, "soon").otherwise(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("pubDate"), F.lit("told").alias("summary")).alias("content")))
+    flat = F.to_json(F.struct(F.when(k % 3 == 0, F.concat(F.lit("r"), text)).alias("id"), title.alias("title"), F.lit("a name").alias("provider"), F.concat(F.lit("https://l.com/"), text).alias("link"), F.when(k % 7 != 3, F.unix_seconds("at")).alias("providerPublishTime"), F.lit("described").alias("description")))
+    rows = e.select(F.col("user_id").cast("string").alias("symbol"), k.alias("pos"), F.when(k % 2 == 0, nested).otherwise(flat).alias("json"))
+    return stock_news.vendor_news(rows).withColumn("observed_at", F.unix_millis("observed_at"))

@@ -159,3 +159,33 @@ r AS (SELECT *, 'stock-news:' || substr(sha256('https://x.com/' || u), 1, 32) AS
 def w16_select_stock_news(spark, d):
     """News chosen for each stock."""
     return stock_news.select_stock_news(*stock_items(spark, d))[0].select("symbol", "rank", "id", "provider")
+
+
+TERMS = {"src1": ["of the", "thing", "ION"], "src2": ["and the", "THE."], "src3": ["ción", "de la"], "src4": ["für", "die", "la"], "src5": ["is", "src"]}
+TERMS_SQL = ", ".join(f"('{s}', '{t}')" for s, ts in TERMS.items() for t in ts)
+
+
+@query(rf"""WITH {ARTICLES}, t AS (SELECT * FROM (VALUES {TERMS_SQL}) AS v(source_id, term)),
+h AS (SELECT article_id, title, title || ' ' || body AS whole, term, regexp_matches(term, '^[\x20-\x7E]+$') AS latin, '(^|[^a-z0-9])' || regexp_escape(lower(term)) || '([^a-z0-9]|$)' AS p FROM articles JOIN t USING (source_id))
+SELECT article_id, max(CASE WHEN NOT CASE WHEN latin THEN regexp_matches(lower(whole), p) ELSE contains(whole, term) END THEN 0 WHEN CASE WHEN latin THEN regexp_matches(lower(title), p) ELSE contains(title, term) END THEN 2 ELSE 1 END)::INT AS relevance FROM h GROUP BY 1""")
+def t11_relevance(spark, d):
+    """How relevant documents are to their sources' words and phrases."""
+    q = spark.createDataFrame(list(TERMS.items()), "symbol string, terms array<string>")
+    items = b.articles(spark, d).select("article_id", F.col("source_id").alias("symbol"), "title", F.col("body").alias("summary"))
+    return stock_news.news_relevance(items, q).select("article_id", "relevance")
+
+
+@query("""WITH q AS (SELECT c_custkey AS id, 'T' || (c_custkey % 60) AS symbol, trim(c_name) AS company FROM customer),
+e AS (SELECT 'T' || n_nationkey AS symbol, [n_name, 'T' || n_nationkey || ' Corp'] AS aliases FROM nation), c AS (SELECT 'T' || s_suppkey AS symbol, [s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'T' || s_suppkey END, s_name] AS names FROM supplier),
+l AS (SELECT id, q.symbol, e.symbol AS entry_symbol, list_concat([company], coalesce(names, []), coalesce(e.aliases, []), [q.symbol]) AS t FROM q LEFT JOIN e USING (symbol) LEFT JOIN c USING (symbol))
+SELECT symbol, entry_symbol, array_to_string(list_filter(t, lambda x, i: x IS NOT NULL AND list_position(t, x) = i), '|') AS terms FROM l""")
+def t11_stock_queries(spark, d):
+    """What news may call a stock, by its company and the dictionary's entry."""
+    k = F.col("c_custkey")
+    requests = b.table(spark, d, "customer").select(F.concat(F.lit("t"), (k % 60).cast("string"), F.when(k % 2 == 0, ".KS").otherwise("")).alias("symbol"), F.col("c_name").alias("company"), F.lit(datetime(2024, 1, 30)).cast("timestamp").alias("now"))
+    n = F.concat(F.lit("T"), F.col("n_nationkey").cast("string"))
+    entries = b.table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), n.alias("symbol"), F.lower(n).alias("name"), F.array("n_name", F.concat(n, F.lit(" Corp"))).alias("aliases"))
+    base = F.concat(F.lit("T"), F.col("s_suppkey").cast("string"))
+    known = b.table(spark, d, "supplier").select(base.alias("base"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, base).alias("name_en"), F.array("s_name").alias("aliases"))
+    out = stock_news.stock_queries(requests, known, entries)
+    return out.select("symbol", "entry_symbol", F.array_join("terms", "|").alias("terms"))

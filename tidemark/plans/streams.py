@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.sources.tables import folder
 from tidemark.streaming import jobs
 
 
@@ -19,14 +16,6 @@ def events(spark, d):
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("symbol"), "event_type")
 
 
-def folder(spark) -> str:
-    """A new folder in the one that the session names; a temporary one only for a session within one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id::VARCHAR AS symbol, event_type, count(DISTINCT 1) AS n FROM events GROUP BY 1, 2")
 def st2_unique_items(spark, d):
     """ST1, ST2: the first event of each user and kind within the window, which here spans all."""

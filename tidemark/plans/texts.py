@@ -36,12 +36,13 @@ m AS (SELECT *, pos - neg AS raw, CASE WHEN imp >= 3 THEN '높음' WHEN imp >= 1
   least(100, 48 + least(imp * 5, 19))::INT AS relevance, materiality, event_type,
   CASE WHEN event_type = '실적·가이던스' THEN '중기(1~2분기)' WHEN event_type = '수주·사업계약' THEN '장기(1년+)' WHEN materiality = '낮음' THEN '당일' ELSE '단기(1~4주)' END AS impact_horizon,
   round(least(100, 52 + least(length(t) / 45.0::DOUBLE, 18) + imp * 2), 6) AS confidence,
-  floor(greatest(-8, least(8, raw * CASE materiality WHEN '높음' THEN 2.4::DOUBLE WHEN '보통' THEN 1.5 ELSE 0.7 END)) + 0.5)::INT AS score_adjustment FROM m""")
+  floor(greatest(-8, least(8, raw * CASE materiality WHEN '높음' THEN 2.4::DOUBLE WHEN '보통' THEN 1.5 ELSE 0.7 END)) + 0.5)::INT AS score_adjustment,
+  pos > 0 AS bull, neg > 0 AS bear, list_transform(coalesce(nullif(list_filter(regexp_split_to_array(regexp_replace(t, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 18), []), [t])[1:3], lambda x: substr(x, 1, 150)) AS evidence, 3 AS watched FROM m""")
 def t4_analyze_news(spark, d):
     """The rule-based reading of articles (of 6500 characters, as the rules have it)."""
     a = b.articles(spark, d).select("article_id", F.substring(F.concat("title", F.lit(". "), "body"), 1, 6500).alias("t"))
     out = news.analyzed(a, F.col("t"), positive=GOOD, negative=BAD, material=WEIGHTY)
-    out = out.select("article_id", "sentiment", F.col("sentiment_score").cast("int").alias("sentiment_score"), F.col("relevance").cast("int").alias("relevance"), "materiality", "event_type", "impact_horizon", F.col("confidence").cast("double").alias("confidence"), "score_adjustment")
+    out = out.select("article_id", "sentiment", F.col("sentiment_score").cast("int").alias("sentiment_score"), F.col("relevance").cast("int").alias("relevance"), "materiality", "event_type", "impact_horizon", F.col("confidence").cast("double").alias("confidence"), "score_adjustment", (F.col("bull_case") == text.BULL[0]).alias("bull"), (F.col("bear_case") == text.BEAR[0]).alias("bear"), "evidence", F.size("watch_items").alias("watched"))
     return rounded(out, ["confidence"])
 
 
@@ -190,3 +191,22 @@ def t9_rule_insight(spark, d):
     base = news.rule_insight(a, news.keywords(b.articles(spark, d)), GOOD, BAD, WEIGHTY)
     replies = b.table(spark, d, "conversations").where("role = 'assistant'").groupBy((F.col("conv_id") % 100).alias("article_id")).agg(F.min("text").alias("reply")).withColumns({"engine": F.lit("llm"), "model": F.lit("m")})
     return news.merge_llm_insight(base, replies).select("article_id", "sentiment", "sentiment_score", "materiality")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 12 AS form, (o_orderdate::DATE + INTERVAL 10 YEAR)::DATE AS d, (o_orderkey % 24)::INT AS h, (o_orderkey % 60)::INT AS m FROM orders),
+t AS (SELECT *, d::TIMESTAMP + to_hours(h) + to_minutes(m) AS t FROM o)
+SELECT id, epoch_ms(CASE form WHEN 0 THEN t - INTERVAL 9 HOUR WHEN 1 THEN t WHEN 2 THEN t WHEN 3 THEN t - INTERVAL 9 HOUR WHEN 4 THEN t - INTERVAL 9 HOUR WHEN 5 THEN d::TIMESTAMP - INTERVAL 9 HOUR WHEN 6 THEN t + INTERVAL 5 HOUR WHEN 7 THEN t
+  WHEN 8 THEN make_timestamp(CASE WHEN make_timestamp(2008, month(d), day(d), h, m, 0) - INTERVAL 9 HOUR > TIMESTAMP '2008-08-11 12:00:00' THEN 2007 ELSE 2008 END, month(d), day(d), h, m, 0) - INTERVAL 9 HOUR
+  WHEN 9 THEN TIMESTAMP '2008-08-10 12:00:00' - to_minutes(m) WHEN 11 THEN t - INTERVAL 210 MINUTE END) AS t FROM t""")
+def x5_feed_dates(spark, d):
+    """Dates as feeds write them, in all their forms."""
+    day = F.add_months(F.col("o_orderdate").cast("date"), 120).cast("timestamp")
+    at = day + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"), mins=(F.col("o_orderkey") % 60).cast("int"))
+    shown = lambda form: F.date_format(at, form)
+    forms = [
+        shown("EEE, dd MMM yyyy HH:mm:ss '+0900'"), shown("EEEE, d MMMM yy HH:mm 'GMT'"), shown("yyyy-MM-dd'T'HH:mm:ss'Z'"), shown("yyyy-MM-dd HH:mm:ss'+09:00'"), shown("yyyy-MM-dd HH:mm"), shown("'<b>'yyyy.M.d'</b>'"),
+        shown("dd MMM yyyy HH:mm:ss 'EST'"), shown("MMM d, yyyy H:mm:ss 'UTC (now)'"), shown("M'월' d'일' H'시' m'분'"), F.concat(shown("m"), F.lit("분 전")), shown("'item 'd'-'M"), shown("EEE, dd MMM yyyy HH:mm:ss '+0330'"),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("o_orderkey") % 12 + 1).cast("int"))
+    out = dates.with_feed_date(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("shown")), "shown", F.lit(datetime(2008, 8, 10, 12)).cast("timestamp"), "at")
+    return out.select("id", F.unix_millis("at").alias("t"))

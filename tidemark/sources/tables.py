@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,18 @@ def write_articles(articles: DataFrame, path: str, mode: str = "append") -> None
     """Articles in folders by their day in Korea (of publication, else of collection), each day's rows in one task or as many as it needs."""
     day = date_kst(F.coalesce("published_at", "collected_at"))
     articles.withColumn("published_date_kst", day).repartition("published_date_kst", F.pmod(F.xxhash64("article_id"), F.lit(16))).write.mode(mode).partitionBy("published_date_kst").parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that the session names; a temporary one only for a session within one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read back: what is read several times is computed once, and a lost executor costs no recomputation. The folder is cleared after the job by whoever named it."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
