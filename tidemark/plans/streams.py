@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 from tidemark.sources.tables import folder
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, store
 
 
 def events(spark, d):
@@ -37,3 +37,41 @@ def st6_trailing_mentions(spark, d):
     """ST6: mentions within 48 hours, every twelve."""
     out = jobs.drained(jobs.trailing_mentions(events(spark, d), "48 hours", "12 hours"), folder(spark))
     return out.select(F.unix_millis("until").alias("until"), "symbol", "n")
+
+
+@query("""WITH e AS (SELECT event_id AS id, user_id::VARCHAR AS digest, ts::TIMESTAMP AS ts, event_type AS k FROM events),
+r AS (SELECT * FROM e WHERE k IN ('view', 'click')), o AS (SELECT * FROM e WHERE k = 'purchase'),
+n AS (SELECT r.id, r.digest, o.id AS report_id, o.ts AS made, r.ts FROM r ASOF LEFT JOIN o ON r.digest = o.digest AND r.ts >= o.ts)
+SELECT id AS request_id, digest, CASE WHEN ts - made <= INTERVAL 12 HOUR THEN report_id END AS report_id FROM n""")
+def st7_reused_reports(spark, d):
+    """ST7, ST1: views and clicks as requests, purchases and errors as reports that came about or failed: only young successes are reused."""
+    k = F.col("event_type")
+    kind = F.when(k.isin("view", "click"), "request").when(k.isin("purchase", "error"), "outcome")
+    log = events(spark, d).select(F.col("symbol").alias("digest"), "ts", kind.alias("kind"), F.col("event_id").alias("id"), (k == "purchase").alias("ok")).where("kind is not null")
+    return jobs.drained(jobs.reused_reports(log, 720), folder(spark)).select("request_id", "digest", "report_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS run_id, o_orderdate::TIMESTAMP + to_minutes(o_orderkey % 1440) AS s, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::TIMESTAMP + to_minutes(o_orderkey % 1440 + o_orderkey % 60) END AS e FROM orders),
+w AS (SELECT greatest(max(s), max(e)) - INTERVAL 10 MINUTE AS mark FROM o)
+SELECT run_id, CASE WHEN e <= s + INTERVAL 30 MINUTE THEN '완료' ELSE '오류' END AS status, epoch_ms(CASE WHEN e <= s + INTERVAL 30 MINUTE THEN e ELSE s + INTERVAL 30 MINUTE END) AS at FROM o, w WHERE e IS NOT NULL OR s + INTERVAL 30 MINUTE < mark""")
+def st4_reaped_runs(spark, d):
+    """ST4: orders as starts and ends of crawl runs: those without an end within half an hour are failed by a timer."""
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    o = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/orders*.parquet")
+    k = F.col("o_orderkey")
+    start = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(k % 1440).cast("int"))
+    ends = F.when(F.col("o_orderstatus") != "P", start + F.make_dt_interval(mins=(k % 60).cast("int")))
+    log = o.select(k.alias("run_id"), F.explode(F.array(F.struct(start.alias("ts"), F.lit("start").alias("kind")), F.struct(ends.alias("ts"), F.lit("end").alias("kind")))).alias("x")).select("run_id", "x.ts", "x.kind").where("ts is not null")
+    return jobs.drained(jobs.reaped_runs(log), folder(spark)).select("run_id", "status", F.unix_millis("at").alias("at"))
+
+
+@query("SELECT user_id::VARCHAR AS symbol, event_type, max(event_id) AS event_id, epoch_us(arg_max(ts, event_id)::TIMESTAMP) AS ts FROM events GROUP BY 1, 2")
+def st3_upsert_store(spark, d):
+    """ST3, IO15, IO16: events as upserts, the latest of a user and kind stays; what has been applied is given again and changes nothing."""
+    rows = events(spark, d).withColumn("key", F.concat_ws("/", "symbol", "event_type")).select("key", "symbol", "event_type", "event_id", "ts")
+    path = folder(spark)
+    held = store.UpsertStore(spark, f"{path}/store", rows.schema, "key")
+    merge = store.newest_of("event_id", "key")
+    for name, part in (("even", rows.where("event_id % 2 = 0")), ("odd", rows.where("event_id % 2 = 1")), ("even", rows.where("event_id % 2 = 0"))):
+        store.upsert_stream(part, held, merge, name, f"{path}/{name}").awaitTermination()
+    return held.read().select("symbol", "event_type", "event_id", F.unix_micros("ts").alias("ts"))

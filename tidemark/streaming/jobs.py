@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from tidemark.operators.news import retry_outcomes
 
+# What a run's state is called.
+DONE, FAILED = "완료", "오류"
+
 
 def unique_items(items: DataFrame, key: str = "canonical_url", window: str = "36 hours") -> DataFrame:
     """A stream's items without those that are too late, and without repeats of a key while its window lasts."""
@@ -25,9 +33,67 @@ def trailing_mentions(events: DataFrame, window: str = "48 hours", slide: str =
     return events.withWatermark("ts", late).groupBy(w, "symbol").agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "symbol", "n")
 
 
-def reused_reports(requests: DataFrame, ttl: str = "20 minutes") -> DataFrame:
-    """The requests of a stream that need a new report: the first of each fingerprint while its report is young."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["digest"])
+def reused_reports(log: DataFrame, minutes: int = 20, late: str = "10 minutes") -> DataFrame:
+    """(digest, request_id, ts, report_id) for each request of a stream of requests and outcomes (digest, ts, kind, id, ok): the young report that answers it, null if a new one is needed.
+
+    Only a successful outcome is kept, by fingerprint and for `minutes` of event time; a failure is never reused and leaves an earlier success as it is. Rows of a micro-batch are taken in order of time
+    and id; a fingerprint's state goes once the watermark has passed its end.
+    """
+    span = timedelta(minutes=minutes)
+
+    def answered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "id"])  # a fingerprint's rows of one micro-batch
+        last, at = state.get if state.exists else (None, None)
+        out = []
+        for ts, kind, id, ok in zip(rows["ts"], rows["kind"], rows["id"], rows["ok"]):
+            if kind == "request":
+                young = at is not None and timedelta(0) <= ts.to_pydatetime() - at <= span
+                out.append((key[0], id, ts, last if young else None))
+            elif ok is not None and bool(ok):
+                last, at = id, ts.to_pydatetime()
+        if last is not None:
+            state.update((last, at))
+            end = int(pd.Timestamp(at + span).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["digest", "request_id", "ts", "report_id"])
+
+    schema = "digest string, request_id long, ts timestamp, report_id long"
+    rows = log.withWatermark("ts", late).select("digest", "ts", "kind", "id", "ok")
+    return rows.groupBy("digest").applyInPandasWithState(answered, schema, "report_id long, at timestamp", "append", "EventTimeTimeout")
+
+
+def reaped_runs(log: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """(run_id, status, at) of runs that have ended or hung, from a stream of their starts and ends (run_id, ts, kind): a run without an end for `minutes` of event time is failed at that time, by a timer."""
+    span = timedelta(minutes=minutes)
+
+    def settled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], FAILED, state.get[0] + span))
+            state.remove()
+        else:
+            begun = state.get[0] if state.exists else None
+            rows = pd.concat(list(frames)).sort_values(["ts", "kind"], ascending=[True, False])  # a run's few rows; starts before ends
+            for ts, kind in zip(rows["ts"], rows["kind"]):
+                ts = ts.to_pydatetime()
+                if kind == "start":
+                    begun = ts if begun is None else begun
+                elif begun is not None:
+                    out.append((key[0], DONE, ts) if ts - begun <= span else (key[0], FAILED, begun + span))
+                    begun = None
+            if begun is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((begun,))
+                state.setTimeoutTimestamp(max(int(pd.Timestamp(begun + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["run_id", "status", "at"])
+
+    rows = log.withWatermark("ts", late).select("run_id", "ts", "kind")
+    return rows.groupBy("run_id").applyInPandasWithState(settled, "run_id long, status string, at timestamp", "begun timestamp", "append", "EventTimeTimeout")
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
