@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 
 from tests.llm.conftest import words
 from tidemark.llm.extraction import FLOOR, extract_pages, main_text, measure, parse
@@ -77,6 +79,49 @@ def test_forms_headers_and_marked_elements_are_weighed():
     assert main_text(f"<body><main><article>{article}</article><div><a href=/a>One</a> <a href=/b>Two</a></div></main></body>") == want
 
 
+COMMENT = '<div class="c"><span>Ann</span><p>{0}</p></div>'
+
+
+def test_readers_comments_adverts_and_boxes_go_whatever_their_names():
+    article = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head\n\n{LONG}\n\n{LONG}"
+    comments = COMMENT.format(LONG) * 4
+    for name in ('class="user-comments"', 'class="commentlist"', 'class="reader-comments"', 'class="c-comments-block"', 'id="commentsSection"', 'class="story-comments-list"'):
+        for box in (f"<div {name}>{comments}</div>", f"<section {name}><h3>4 Comments</h3><ol><li>{LONG}</li><li>{LONG}</li></ol></section>"):
+            assert main_text(f"<body><article>{article}{box}</article></body>") == want, name
+            assert main_text(f"<body><article>{article}</article>{box}</body>") == want, name
+            assert main_text(f"<body><div class=content>{article}{box}</div><div>(c)</div></body>") == want, name
+            assert main_text(f"<body><div class=content>{article}</div>{box}</body>") == want, name
+    for name in ("ad-slot-wide", "newsletter-signup-module", "cookie-policy-banner", "related-articles", "mid-article-ad", "article__sponsor-note"):
+        box = f'<div class="{name}"><p>Some words that no reader of the article wants to read.</p></div>'
+        assert main_text(f"<body><article><h1>Head</h1><p>{LONG}</p>{box}<p>{LONG}</p></article></body>") == want, name
+        assert main_text(f"<body><div class=content><h1>Head</h1><p>{LONG}</p>{box}<p>{LONG}</p></div><div>(c)</div></body>") == want, name
+
+
+def test_hints_cut_nothing_of_the_article():
+    for name in ("commentary", "ad-free-content", "subscriber-only", "with-comments", "share-prices", "story-alert-level", "post comments-open", "has-related"):
+        assert main_text(f'<body><article><h1>Head</h1><div class="{name}"><p>{LONG}</p><p>{LONG}</p></div></article></body>') == f"Head\n\n{LONG}\n\n{LONG}", name
+    assert main_text(f'<body><article><h1>Head</h1><p>{LONG}</p><div class="share-prices"><p>Oil 80, gold 2300.</p></div></article></body>') == f"Head\n\n{LONG}\n\nOil 80, gold 2300."
+
+
+def test_comments_told_by_their_form_alone():
+    entry = '<div class="x1"><b class="user">Ann</b> <time>1 May</time><p>I like this.</p></div>'
+    article = f"<h1>Head</h1><div class=t><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    want = f"Head\n\n{LONG}\n\n{LONG}\n\n{LONG}"
+    assert main_text(f"<body><div class=content>{article}{entry * 3}</div></body>") == want
+    assert main_text(f"<body><div class=content>{article}<div class=q>{entry * 3}</div></div></body>") == want
+    live = f'<div class="e"><time>10:00</time><p>{LONG}</p></div>'
+    assert main_text(f"<body><article><h1>Head</h1>{live * 3}</article></body>").count(LONG) == 3
+
+
+def test_hostile_pages_take_linear_time():
+    n = 100_000
+    for page in ("<div>" * n + "</span>" * n, "<span>" * n + "<li>" * n, "<li><div>" + "<span>" * n + "<li>" * n, "<nav>" + "<div>" * n + "</span>" * n, "<p>" + "<b>" * n + "<div>" * 10 + "</i>" * n, "<td>" * n + "</tr>" * n):
+        began = time.process_time()
+        parse(page)
+        assert time.process_time() - began < 3, page[:20]
+
+
 def test_unquoted_apostrophes_and_signs_in_values():
     assert main_text(f"<body><p title=it's>First {LONG}</p><p title=\"a > b\" class='x>y'>Second {LONG}</p></body>") == f"First {LONG}\n\nSecond {LONG}"
     assert main_text("<p title='open>text</p>") == "text"
@@ -126,3 +171,9 @@ def test_rows(spark):
     out = sorted(((r.page_id or 0, len(r.text), r.n_chars) for r in extract_pages(pages).collect()))
     assert out == [(0, 1, 1), (1, 0, 0), (2, 1, 1), (2, 249_999, 249_999)]
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+def test_pages_whose_article_has_no_element(spark, sf_dir):
+    """The given pages with their article element renamed: density alone finds the same text."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r.html]
+    assert len(pages) > 20 and all(main_text(p) and main_text(re.sub(r"<(/?)article\b", r"<\1div", p)) == main_text(p) for p in pages)

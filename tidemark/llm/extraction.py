@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,15 @@ SUFFIXES = frozenset("area bar block body box btn button buttons col column cont
 PREFIXES = frozenset("article bottom desktop entry footer global google js left main mobile page post primary right secondary site sticky top".split())
 #: Elements that mark an article; how much denser than the text around a heading a noise-named element must be to be the article; levels of noise names in each other that are weighed.
 MARKED, OUTWEIGHS, LEVELS = frozenset({"article", "main"}), 10, 8
+#: Beginnings of a name's part that hint at what is no article wherever they stand in it, words that do, and words that do only beside many links or a form.
+STEMS = re.compile(r"comment(?!ar|at)|newsletter|advert|sponsor|cookie|disqus|taboola|outbrain|sign-?up|subscrib|paywall|gdpr|breadcrumb|sidebar|recommend")
+STRONG = frozenset("ad ads adv consent promo promos promoted promotion related replies trending".split())
+#: First parts of names that tell of a page's state.
+STATES = frozenset("can has hide is js no not show with without".split())
+#: Names of what says who wrote a comment, and when.
+BYLINE = re.compile(r"author|avatar|byline|date|meta|posted|time|user")
+#: Elements of forms that a reader fills in.
+CONTROLS = frozenset("button input select textarea".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -41,10 +51,12 @@ RAW_END = {t: re.compile(rf"</{t}\s*(?:>|\Z)|\Z", re.I) for t in RAW}
 class Node:
     """An element: its children are nodes and strings."""
 
-    __slots__ = ("tag", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "suspect")
+    __slots__ = ("tag", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "suspect", "hint", "name", "near")
 
-    def __init__(self, tag: str, parent: Node | None, suspect: bool = False):
-        self.tag, self.parent, self.children, self.suspect = tag, parent, [], suspect
+    def __init__(self, tag: str, parent: Node | None, suspect: bool = False, hint: int = 0, name: str = ""):
+        self.tag, self.parent, self.children, self.suspect, self.hint, self.name = tag, parent, [], suspect, hint, name
+        # the nearest block around, itself if it is one
+        self.near = self if parent is None or tag in BLOCKS or tag == "option" else parent.near
 
 
 def noise_name(token: str) -> bool:
@@ -56,26 +68,48 @@ def noise_name(token: str) -> bool:
     return first or parts[-1] in NOISE_WORDS and all(p in NOISE_WORDS or p in PREFIXES for p in parts)
 
 
-def noisy(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's kind, role or being hidden says that it is no article; whether its class or id does, which is weighed against what it holds."""
+def hinted(token: str) -> int:
+    """How much a part of a class or id hints at what is no article: 2 by a strong word or stem, 1 by any noise word, 0 not at all."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", re.sub(r"\d+", "", token)).lower()) if p]
+    if not parts or parts[0] in STATES:
+        return 0
+    return 2 if any(p in STRONG or STEMS.match(p) for p in parts) else int(any(p in NOISE_WORDS for p in parts))
+
+
+def noisy(tag: str, attributes: str) -> tuple[bool, bool, int, str]:
+    """Whether an element's kind, role or being hidden says that it is no article; whether its class or id does as a whole; how much they hint at it; and both."""
     if tag in NOISE:
-        return True, False
-    suspect = tag in WEIGHED
+        return True, False, 0, ""
+    suspect, hint, named = tag in WEIGHED, 0, ""
     if not attributes or tag in ("html", "body"):
-        return False, suspect
+        return False, suspect, 0, ""
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
-            return True, False
+        name, value = name.lower(), value.strip("\"'")
+        low = value.lower()
+        if name == "hidden" or name == "aria-hidden" and low == "true" or name == "role" and low in NOISE_ROLES:
+            return True, False, 0, ""
         if name in ("class", "id"):
-            suspect = suspect or any(map(noise_name, value.split()))
-    return False, suspect
+            suspect = suspect or any(map(noise_name, low.split()))
+            hint = max([hint, *map(hinted, value.split())])
+            if name == "class":
+                named = low
+    return False, suspect, hint, named
 
 
 def parse(page: str) -> Node:
     """The page's tree, rid of comments, raw text and elements that are no article by kind or role; those with a noise name are suspect. Unclosed and stray tags are mended as browsers do."""
     root = Node("html", None)
     node, skip, at = root, [], 0  # skip: open elements below one that is left out
+    opened, skipped = Counter(), Counter()  # elements that stand open, by tag, so that an end tag without a beginning is told at once
+
+    def pop(to: Node) -> Node:
+        """Ends all that stands open below a node."""
+        inner = node
+        while inner is not to:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return to
+
     while at < len(page):
         found = TOKEN.search(page, at)
         start = found.start() if found else len(page)
@@ -92,20 +126,19 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if closing:
             if skip:
-                if tag in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
+                if skipped[tag] > 0:
+                    while (last := skip.pop()) != tag:
+                        skipped[last] -= 1
+                    skipped[tag] -= 1
+                    continue
+                if opened[tag] <= 0 or tag not in BLOCKS or tag == "p":
                     continue
+                skip, skipped = [], Counter()  # the end of an element around what is left out ends that as well
+            if opened[tag] > 0 and tag != "body":
                 up = node
-                while up is not None and up.tag != tag:
+                while up.tag != tag:
                     up = up.parent
-                if up is None or tag not in BLOCKS or tag == "p":
-                    continue
-                skip = []  # the end of an element around what is left out ends that as well
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up is not root and tag != "body":
-                node = up.parent
+                node = pop(up.parent)
             continue
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
@@ -116,34 +149,36 @@ def parse(page: str) -> Node:
             # what stands open below an element that is left out ends with it
             if not void and not (tag == "body" and skip[0] == "head"):
                 skip.append(tag)
+                skipped[tag] += 1
                 continue
             if void:
                 continue
-            skip = []
+            skip, skipped = [], Counter()
         if tag in ("html", "body"):
             if tag == "body" and node is root:
                 node = Node("body", root)
                 root.children.append(node)
+                opened["body"] += 1
             continue
         closes, hides = CLOSES.get(tag, ()), HIDES.get(tag, ())
         if tag in ENDS_P:
             closes = {*closes, "p"}
         if closes:
-            up = node
-            while up is not None and up.tag not in hides and not (up.tag in BLOCKS and up.tag not in closes):
-                if up.tag in closes:
-                    node = up.parent
-                up = up.parent
-        cut, suspect = noisy(tag, attributes)
+            up = node.near
+            while up is not root and up.tag in closes and up.tag not in hides:
+                node = pop(up.parent)
+                up = node.near
+        cut, suspect, hint, name = noisy(tag, attributes)
         if cut:
             if tag not in ("br", "hr") and not void:
-                skip = [tag]
-            node.children.append(Node("cut", node))
+                skip, skipped = [tag], Counter([tag])
+            node.children.append(Node("cut", node, name=tag))
             continue
-        child = Node(tag, node, suspect)
+        child = Node(tag, node, suspect, hint, name)
         node.children.append(child)
         if not void:
             node = child
+            opened[tag] += 1
     return root
 
 
@@ -185,8 +220,70 @@ def inside(node: Node) -> list[Node]:
     return found
 
 
+def repeats(node: Node) -> bool:
+    """Whether an element is a list of alike entries: two or more children of some node in it have the same tag and class, or are items, and text of their own."""
+    for n in inside(node):
+        alike = Counter((c.tag, c.name) for c in n.children if isinstance(c, Node) and c.chars and (c.name or c.tag in ("li", "article", "section")))
+        if any(m > 1 for m in alike.values()):
+            return True
+    return False
+
+
+def hint_holds(node: Node) -> bool:
+    """Whether what an element is bears out what its name hints at.
+
+    Many links or a form do. A strong hint also does if the element is a list of alike entries, or has no more than half of the text of the article or main element around it (of the page, where there is none).
+    """
+    if node.link_chars * 3 > node.chars or any(c.tag == "cut" and c.name in CONTROLS for c in inside(node)):
+        return True
+    if node.hint < 2:
+        return False
+    around = node
+    while around.parent is not None and around.tag not in MARKED:
+        around = around.parent
+    return node.chars * 2 <= around.chars or repeats(node)
+
+
+def signed(node: Node) -> bool:
+    """Whether an element says who wrote it or when: it has a time, or a short part with a name like that."""
+    return any(c is not node and c.chars <= 80 and (c.tag == "time" or c.name and BYLINE.search(c.name)) for c in inside(node))
+
+
+def cut_comments(order: list[Node]) -> bool:
+    """Cuts runs of two or more neighbours of one tag and class that each say who wrote them or when and stand after the densest subtree, whatever their names: readers' comments."""
+    core = max(order, key=lambda n: n.total)
+    around = set()
+    up: Node | None = core
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    found = False
+    up = core
+    while up.parent is not None:
+        above = up.parent
+        after = [c for c in above.children[next(i for i, c in enumerate(above.children) if c is up) + 1 :] if isinstance(c, Node)]
+        runs: list[list[Node]] = []
+        for c in after:
+            alike = lambda x: (x.tag, x.name) == (c.tag, c.name)  # noqa: B023, E731
+            inner = [x for x in c.children if isinstance(x, Node)]
+            if c.chars and c.name and runs and alike(runs[-1][-1]):
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+            if len(inner) > 1 and len({(x.tag, x.name) for x in inner if x.chars}) == 1 and inner[0].tag != "p":
+                runs.append(inner)
+        for run in runs:
+            run = [c for c in run if c.chars]
+            if len(run) > 1 and all(map(signed, run)):
+                for c in run:
+                    c.tag, c.children = "cut", []
+                found = True
+        up = above
+    return found
+
+
 def settled(root: Node) -> list[Node]:
-    """As measure(), after suspect elements are cut, except those that hold the article.
+    """As measure(), after suspect elements and those whose names hint at noise and that bear it out (see hint_holds) are cut, except those that hold the article, and then readers' comments that only their form tells.
 
     An element with a noise name stays if it holds an h1, or article or main element, and none stands outside of such elements; or if it holds the densest subtree and
     nothing outside marks another place: an article or main element does, a mere h1 unless its surroundings are OUTWEIGHS times less dense. It also stays if nothing else has text.
@@ -198,7 +295,7 @@ def settled(root: Node) -> list[Node]:
         for n in todo:
             for c in n.children:
                 if isinstance(c, Node):
-                    (outer if c.suspect else todo).append(c)
+                    (outer if c.suspect or c.hint and hint_holds(c) else todo).append(c)
         if not outer:
             break
         core = max(order, key=lambda n: n.total)
@@ -223,11 +320,11 @@ def settled(root: Node) -> list[Node]:
             keep = "h1" in tags and not title or tags & MARKED and not marked and (densest or not title)
             keep = keep or densest and not marked and total > most * (OUTWEIGHS if title else 1)
             if keep or alone and chars and chars == longest:
-                n.tag, n.children, n.suspect, stays = tag, children, False, True
+                n.tag, n.children, n.suspect, n.hint, stays = tag, children, False, 0, True
         if not stays:
             break
         order = measure(root)
-    return order
+    return measure(root) if cut_comments(order) else order
 
 
 def chosen(root: Node) -> list[Node]:
