@@ -137,3 +137,47 @@ def x16_indicator_panel(spark, d):
 def io17_panel_json(spark, d):
     """IO17, X27: compact panels as JSON."""
     return indicators.to_panel_json(indicators.compact_panel(panel(spark, d)), "symbol")
+
+
+TREND = [k for k, *_ in indicators.PANEL["추세·모멘텀·위험"] if k not in ("volatility", "drawdown", "beta")]
+STATEMENT = "CASE WHEN k % 4 < 2 THEN 'USD' WHEN k % 4 = 2 THEN 'EUR' ELSE '통화 미제공' END"
+RATIO_SOURCE, RATIO_PERIOD = indicators.QUOTE_RATIO, indicators.PERIODS["ratio"]
+R = indicators.REASONS
+LONG_SQL = {  # value, unit, source, period, reason if it is missing
+    "trailing_pe": ("CASE WHEN k % 3 = 0 AND k % 5 <> 0 THEN k % 30 + 1 WHEN k % 7 > 1 THEN k % 7 - 1 END", "'배'", "CASE WHEN k % 3 = 0 AND k % 5 <> 0 THEN 'Filings' ELSE '" + RATIO_SOURCE + "' END", "CASE WHEN k % 3 = 0 AND k % 5 <> 0 THEN '2023-12-31' ELSE '" + RATIO_PERIOD + "' END",
+        f"CASE WHEN k % 3 = 0 THEN CASE WHEN k % 6 = 0 THEN '{R['filed_cap']}' WHEN k % 11 < 3 THEN '{R['filed_loss']}' ELSE 'Filings{R['filed_none']}' END WHEN k % 9 <= 2 THEN '{R['loss']}' WHEN k % 6 = 0 THEN '{R['cap']}' ELSE '{R['none']}' END"),
+    "forward_pe": ("NULL", "'배'", f"'{RATIO_SOURCE}'", f"'{RATIO_PERIOD}'", f"'{R['forward_pe']}'"),
+    "price_to_book": ("CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 2.5 WHEN k % 8 > 3 THEN k % 8 - 3 END WHEN k % 8 > 3 THEN k % 8 - 3 END", "'배'", f"CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'Filings' ELSE '{RATIO_SOURCE}' END", f"CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN '2023-12-31' ELSE '{RATIO_PERIOD}' END", f"'{R['price_to_book']}'"),
+    "ev_ebitda": ("k % 12 + 0.5", "'배'", f"'{RATIO_SOURCE}'", f"'{RATIO_PERIOD}'", "''"),
+    "eps": ("k % 9 - 2", STATEMENT, "'Yahoo Finance'", "'TTM · 종료일 미제공'", "''"),
+    "bps": ("k % 13", STATEMENT, "'Yahoo Finance'", "'공급자 기준 · 결산일 미제공'", "''"),
+    "roe": ("k % 21", "'%'", f"'{RATIO_SOURCE}'", f"'{RATIO_PERIOD}'", "''"),
+    "roa": ("NULL", "'%'", f"'{RATIO_SOURCE}'", f"'{RATIO_PERIOD}'", f"'{R['ratio']}'"),
+    "operating_margin": ("NULL", "'%'", f"'{RATIO_SOURCE}'", f"'{RATIO_PERIOD}'", f"'{R['ratio']}'"),
+    "profit_margin_pct": ("CASE WHEN k % 3 = 0 THEN k % 17 END", "'%'", f"CASE WHEN k % 3 = 0 THEN 'Filings' ELSE '{RATIO_SOURCE}' END", f"CASE WHEN k % 3 = 0 THEN '2023-12-31' ELSE '{RATIO_PERIOD}' END", f"'{R['ratio']}'"),
+    "revenue_growth_pct": ("NULL", "'%'", f"'{RATIO_SOURCE}'", f"'{RATIO_PERIOD}'", f"'{R['ratio']}'"),
+    "fcf": ("CASE WHEN k % 10 <> 4 THEN k * 3 - k % 50 END", STATEMENT, "'Yahoo Finance'", "'2022-12-31'", f"'{R['any']}'"),
+    "fcf_yield": ("CASE WHEN k % 10 <> 4 AND k % 4 < 2 AND k % 6 > 0 THEN (k * 3 - k % 50) / (k % 6 * 1000.0::DOUBLE) * 100 END", "'%'", "'Yahoo Finance'", "'재무 2022-12-31 / 시가총액 조회 시점'", f"'{R['fcf_yield']}'"),
+    "net_debt": ("k % 40 - k % 25", STATEMENT, "'Yahoo Finance'", "'결산일 미제공'", "''"),
+    "debt_equity": ("CASE WHEN k % 5 > 1 THEN k % 40 / (k % 5 - 1)::DOUBLE * 100 END", "'%'", "'Yahoo Finance'", "'결산일 미제공'", f"'{R['any']}'"),
+    "current_ratio": ("CASE WHEN k % 4 > 0 THEN k % 30 / (k % 4)::DOUBLE * 100 END", "'%'", "'Yahoo Finance'", "'2022-09-30'", f"'{R['any']}'"),
+    **{c: (f"CASE WHEN k % {i + 3} > 0 THEN k % {i + 3} + {i} END", "''" if c == "rsi_14" else "'배'" if c == "volume_ratio" else "'USD'", "'Yahoo Finance'", "'2024-01-02'", f"'{R['any']}'") for i, c in enumerate(TREND)},
+    "volatility": ("k % 33", "'%'", "'Yahoo Finance'", "'2024-01-02'", "''"), "drawdown": ("NULL", "'%'", "'Yahoo Finance'", "'2024-01-02'", f"'{R['any']}'"), "beta": ("k % 3", "''", "'Yahoo Finance'", "'공급자 기준 · 추정 기간 미제공'", "''"),
+}
+LONG_ROWS = " UNION ALL ".join(f"SELECT k, '{key}' AS key, ({v})::DOUBLE AS value, {u} AS unit, {so} AS source, {pe} AS period, CASE WHEN ({v}) IS NULL THEN {re} ELSE '' END AS reason FROM x" for key, (v, u, so, pe, re) in LONG_SQL.items())
+
+
+@query(f"WITH x AS (SELECT c_custkey AS k FROM customer), l AS ({LONG_ROWS}) SELECT k::VARCHAR AS symbol, key, round(value, 6) AS value, unit, source, period, reason FROM l")
+def x16_panel_details(spark, d):
+    """All indicators with unit, source, period and the reason why they are missing, over customers as symbols."""
+    k = F.col("c_custkey")
+    over = lambda m, least=0: F.when(k % m > least, (k % m - least).cast("double"))
+    columns = {
+        "observed_at": F.lit("2024-01-02"), "currency": F.lit("USD"), "financial_currency": F.when(k % 4 < 2, "USD").when(k % 4 == 2, "EUR"), "market_cap": k % 6 * 1000.0, "net_income": k % 11 - 2, "trailing_pe": k % 7 - 1, "price_to_book": k % 8 - 3, "ev_ebitda": k % 12 + 0.5,
+        "eps": k % 9 - 2, "bps": k % 13, "roe": k % 21, "ocf": k * 3, "capex": -(k % 50), "ocf_period": F.lit("2022-12-31"), "capex_period": F.when(k % 10 == 4, "2021-12-31").otherwise("2022-12-31"), "cash": k % 25, "debt": k % 40, "equity": k % 5 - 1,
+        "current_assets": k % 30, "current_liabilities": over(4), "current_assets_period": F.lit("2022-09-30"), **{c: over(i + 3) + i for i, c in enumerate(TREND)}, "volatility_20d_pct": k % 33, "beta": k % 3,
+    }
+    snapshot = b.table(spark, d, "customer").select(k.cast("string").alias("symbol"), *[c.alias(name) for name, c in columns.items()])
+    filed = b.table(spark, d, "customer").where(k % 3 == 0).select(k.cast("string").alias("symbol"), F.lit("Filings").alias("source"), F.lit("2023-12-31").alias("period"), F.when(k % 5 != 0, k % 30 + 1.0).alias("trailing_pe"), F.when(k % 2 == 0, 2.5).alias("price_to_book"), (k % 17).cast("double").alias("profit_margin_pct"), F.lit(None).cast("double").alias("revenue_growth_pct"))
+    out = indicators.indicator_panel(snapshot, filed)
+    return rounded(out.select("symbol", "key", "value", "unit", "source", "period", "reason"), ["value"])
