@@ -2,6 +2,7 @@
 
 import json
 import random
+import zipfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -126,3 +127,28 @@ def test_evidence_as_of_against_loops(spark, capsys):
     assert {(x.symbol, x.as_of, x.kind): x.id for x in found.collect()} == {k: v[2] for k, v in want.items()}
     found.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_lists_are_read_in_splits_and_zips_by_pieces(spark, tmp_path, monkeypatch):
+    n = 20_000
+    body = "<result>" + "".join(f"<list><corp_code>{i:08d}</corp_code><corp_name>회사 {i}</corp_name><stock_code>{i if i % 2 else ' '}</stock_code><modify_date>20240101</modify_date></list>\n" for i in range(n)) + "</result>"
+    plain = tmp_path / "list.xml"
+    plain.write_text(body, encoding="utf-8")
+    with zipfile.ZipFile(tmp_path / "list.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.write(plain, "CORPCODE.xml")
+        z.writestr("other.txt", "<list><corp_code>no</corp_code><stock_code>1</stock_code></list>")
+    want = {(f"{i:08d}", str(i), f"회사 {i}") for i in range(n) if i % 2}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        records = companies.read_records(spark, str(plain), "</list>")
+        assert records.rdd.getNumPartitions() > 5
+        assert {(r.key, r.ticker, r.name) for r in companies.corp_codes(records).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "list.zip")).select("path", "content")
+    for size in (1000, 1 << 20):
+        monkeypatch.setattr(companies, "CHUNK", size)
+        assert {(r.key, r.ticker, r.name) for r in companies.corp_codes(companies.zipped_records(files, "</list>", member=".xml")).collect()} == want
+    korean = tmp_path / "master.txt"
+    korean.write_bytes("한글 줄\r\n둘째".encode("cp949"))
+    assert [r.record for r in companies.read_records(spark, str(korean), "\n", "cp949").collect()] == ["한글 줄\r", "둘째"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text, urls
-from tidemark.operators import archive, news
+from tidemark.operators import archive, news, search
 from tidemark.sources import feeds
 
 AT = datetime(2026, 8, 27, 12)
@@ -131,3 +131,20 @@ def test_pages_by_index_equal_pages_by_offset(spark):
         at = first[-1]
         first = archive.archive_after(a, at.published_at, at.article_id, 90).collect()
     assert read == order
+
+
+def test_search_by_index_equals_a_scan_and_reads_one_folder(spark, tmp_path, capsys):
+    texts = ["The tide turns", "A TIDE table", "no such word", None, "", "ti", "Ünï tidé", "the the", "tide\ntide"]
+    rows = spark.createDataFrame([(i, t, "b" + (t or ""), (t or "").lower().split(" ")) for i, t in enumerate(texts * 5)], "article_id long, title string, body string, words array<string>")
+    grams, words = str(tmp_path / "grams"), str(tmp_path / "words")
+    search.write_index(search.text_postings(rows, ["title", "body"]), grams)
+    search.write_index(search.keyword_postings(rows, "words"), words)
+    ids = lambda df: sorted(r.article_id for r in df.collect())
+    for part in ("tide", "TIDE t", "bti", "ti", "", "tidé", "zzz", "e\nt", "the the"):
+        want = [i for i, t in enumerate(texts * 5) if any(part.lower() in x.lower() for x in ((t or "\0") if t is not None else "\0", "b" + (t or "")))]
+        assert ids(search.search_text(rows, ["title", "body"], grams, part)) == want, part
+    for word in ("tide", "the", "ti", "tid", ""):
+        assert ids(search.search_keyword(rows, words, word)) == [i for i, t in enumerate(texts * 5) if word in (t or "").lower().split(" ")]
+    search.search_keyword(rows, words, "tide").explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,tide)" in plan

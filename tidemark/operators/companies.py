@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
+from typing import IO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,22 +48,63 @@ def company_tickers(raw: DataFrame, least: int = 1000) -> DataFrame:
     return one.select(fine.alias("key"), F.col("t")[0]["ticker"].alias("ticker"), "name", F.transform(F.slice(F.col("t"), F.lit(2), F.size("t")), lambda x: x["ticker"]).alias("aliases"))
 
 
-def unzipped(files: DataFrame, encoding: str = "utf-8", member: str = "") -> DataFrame:
-    """(path, text) of zipped text files (path, content), of members with a name's ending; the Java decoders lack some encodings."""
+#: Bytes inflated at a time, and records in a batch.
+CHUNK, BATCH = 1 << 20, 4096
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def zipped_records(files: DataFrame, end: str, encoding: str = "utf-8", member: str = "") -> DataFrame:
+    """(path, record) of zipped text files (path, content), of members with a name's ending: what stands before each `end` and after the last.
+
+    Members are inflated piece by piece and handed on in batches, so no cell holds a whole one. For lists that are large, let write_records lay them down once: those files are read in splits.
+    """
+    mark = end.encode(encoding)
+
+    def cut(stream: IO[bytes]) -> Iterator[bytes]:
+        rest = bytearray()
+        while piece := stream.read(CHUNK):
+            seen = max(0, len(rest) - len(mark))
+            rest += piece
+            if rest.find(mark, seen) >= 0:
+                *whole, last = bytes(rest).split(mark)
+                yield from whole
+                rest = bytearray(last)
+        yield bytes(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    texts = [z.read(n).decode(encoding, "replace") for n in z.namelist() if n.lower().endswith(member)]
-                yield pd.DataFrame({"path": path, "text": texts})
+                    for name in z.namelist():
+                        if name.lower().endswith(member):
+                            with z.open(name) as stream:
+                                records = (r.decode(encoding, "replace") for r in cut(stream))
+                                while some := list(islice(records, BATCH)):
+                                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), pa.array(some, pa.string())], ["path", "record"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, record string")
+
+
+def write_records(records: DataFrame, path: str, end: str) -> None:
+    """Lays records down as text files that end each with `end`, for read_records."""
+    records.select("record").write.mode("overwrite").option("lineSep", end).text(path)
+
+
+def read_records(spark: SparkSession, path: str, end: str, encoding: str = "utf-8") -> DataFrame:
+    """(path, record) of plain text files, however large: a file is read in splits by as many tasks, each beginning after an `end`. The end must be of ASCII; encodings that Java lacks are decoded in Python."""
+    rows = spark.read.option("lineSep", end).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record"))
+    if encoding == "utf-8":
+        return rows
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v.decode(encoding, "replace"))
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string")
+    return rows.withColumn("record", decoded(F.col("record").cast("binary")))
 
 
-def corp_codes(files: DataFrame, least: int = 100) -> DataFrame:
-    """Listed companies (key, ticker, name, name_en, as_of) of zipped XML lists (path, content); as_of is the latest change of any. Fewer than `least` are an error."""
-    each = unzipped(files).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<list>(.*?)</list>"), F.lit(1))).alias("b"))
+def corp_codes(records: DataFrame, least: int = 100) -> DataFrame:
+    """Listed companies (key, ticker, name, name_en, as_of) of the records (see zipped_records, read_records) of XML lists that end with </list>; as_of is the latest change of any. Fewer than `least` are an error."""
+    each = records.select(F.regexp_extract("record", r"(?s)<list>(.*)$", 1).alias("b")).where("b <> ''")
     part = lambda n: F.trim(F.regexp_extract("b", rf"(?s)<{n}>(.*?)</{n}>", 1))
     rows = each.select(part("corp_code").alias("key"), part("stock_code").alias("ticker"), part("corp_name").alias("name"), part("corp_eng_name").alias("name_en"), part("modify_date").alias("m")).where("ticker <> ''")
     whole = rows.agg(F.count("*").alias("n"), format_yyyymmdd(F.max("m")).alias("as_of"))
@@ -76,13 +120,13 @@ MASTERS = {
 SPAC, MASTER_ENCODING = "스팩|기업인수목적", "cp949"
 
 
-def stock_master(files: DataFrame, exchange: str) -> DataFrame:
-    """Stocks that trade (key, ticker, name, source, exchange, rank_hint, market_cap) of a market's zipped fixed-width rows (path, content), whose layout counts from the right end.
+def stock_master(records: DataFrame, exchange: str) -> DataFrame:
+    """Stocks that trade (key, ticker, name, source, exchange, rank_hint, market_cap) of a market's fixed-width rows (record; see zipped_records, read_records), whose layout counts from the right end.
 
     Only shares (group ST) that aren't halted; rank_hint puts common before preferred shares and these before shells for mergers; market_cap is 0 where it isn't a number.
     """
     at = MASTERS[exchange]
-    lines = unzipped(files, MASTER_ENCODING, ".mst").select(F.explode(F.split("text", r"\r?\n", -1)).alias("line")).where(F.length("line") > at["tail"] + 21)
+    lines = records.select(F.regexp_replace("record", r"\r$", "").alias("line")).where(F.length("line") > at["tail"] + 21)
     rows = lines.select("line", F.substring("line", F.length("line") - at["tail"] + 1, F.lit(at["tail"])).alias("tail"))
     part = lambda name: F.trim(F.substring("tail", at[name][0] + 1, at[name][1] - at[name][0]))
     rows = rows.select(normalize_ticker(F.substring("line", 1, 9)).alias("key"), F.trim(F.substring("line", F.lit(22), F.length("line") - at["tail"] - 21)).alias("name"), *[part(n).alias(n) for n in ("group", "halted", "preferred", "market_cap")])

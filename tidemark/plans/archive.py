@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import archive as ops
+from tidemark.operators import search
 from tidemark.plans.registry import query
 from tidemark.sources import bindings as b
+from tidemark.sources import tables
 from tidemark.sources.bindings import ARTICLES, BRIDGE, INSIGHTS, MENTIONS, PUBLISHERS, RUNS, SOURCES
 
 NOW = datetime(2024, 1, 15, 12)
@@ -206,3 +208,22 @@ def k1_indexed_page(spark, d):
 def k1_after_undated(spark, d):
     """K1: the page that follows an article without time."""
     return ops.archive_after(b.articles(spark, d), None, 500).select("article_id")
+
+
+@query(f"WITH {ARTICLES}, {INSIGHTS} SELECT article_id, engine FROM insights WHERE list_contains(words, 'the')")
+def f4_keyword_index(spark, d):
+    """insights with a word, by an index of words whose folder for the word alone is read."""
+    i = b.insights(spark, d)
+    words = b.articles(spark, d).where("insight_status = '완료'").select("article_id", F.split(F.lower("title"), " ").alias("words"))
+    path = tables.folder(spark)
+    search.write_index(search.keyword_postings(words, "words"), path)
+    return search.search_keyword(i, path, "the").select("article_id", "engine")
+
+
+@query(f"WITH {ARTICLES} SELECT article_id FROM articles WHERE contains(lower(title), 'the and') OR contains(lower(body), 'the and')")
+def f3_text_index(spark, d):
+    """articles that hold a phrase, by an index of trigrams of whole texts."""
+    a = b.articles(spark, d)
+    path = tables.folder(spark)
+    search.write_index(search.text_postings(a, ["title", "body"]), path)
+    return search.search_text(a, ["title", "body"], path, "The and").select("article_id")

@@ -15,7 +15,7 @@ from tidemark.operators import filings, indicators, news, stock_news
 from tidemark.plans import filings as filing_plans
 from tidemark.plans import ranking as ranking_plans
 from tidemark.plans.registry import query, rounded
-from tidemark.plans.streams import folder
+from tidemark.sources.tables import folder
 from tidemark.sources import bindings as b
 from tidemark.sources import feeds, tables
 from tidemark.sources.bindings import ARTICLES, BRIDGE
@@ -66,7 +66,7 @@ def io8_corp_codes(spark, d):
     line = F.concat(F.lit("<list>\n"), tag("corp_code", F.lpad(k.cast("string"), 8, "0")), tag("corp_name", F.col("s_name")), tag("corp_eng_name", F.upper("s_name")), tag("stock_code", code), tag("modify_date", day), F.lit("</list>\n"))
     raw = gathered(b.table(spark, d, "supplier").withColumn("id", k), F.floor(k / 500), line)
     files = raw.select(F.col("k").cast("string").alias("path"), zipped(F.concat(F.lit("<result>\n"), "text", F.lit("</result>")), "CORPCODE.xml", "utf-8").alias("content"))
-    return comp.corp_codes(files, least=1)
+    return comp.corp_codes(comp.zipped_records(files, "</list>"), least=1)
 
 
 @query("""WITH p AS (SELECT lpad(p_partkey::VARCHAR, 6, '0') AS key, '종목 ' || p_partkey || CASE WHEN p_partkey % 11 = 0 THEN ' 스팩' ELSE '' END AS name, p_partkey AS k FROM part)
@@ -88,7 +88,7 @@ def io9_stock_master(spark, d):
         line = F.concat(F.rpad(code, 9, " "), F.rpad(F.concat(F.lit("KR7"), code), 12, " "), name, *tail, F.lit(" " * (at["tail"] - end)))
         raw = gathered(parts.where(k % 2 == i), F.floor(k / 1000), line, "\n")
         files = raw.select(F.col("k").cast("string").alias("path"), zipped(F.col("text"), f"{exchange.lower()}_code.mst", comp.MASTER_ENCODING).alias("content"))
-        masters.append(comp.stock_master(files, exchange))
+        masters.append(comp.stock_master(comp.zipped_records(files, "\n", comp.MASTER_ENCODING, ".mst"), exchange))
     return comp.stock_masters(masters, least=1).select("key", "name", "exchange", "rank_hint", "market_cap")
 
 
@@ -382,3 +382,16 @@ def io13_vendor_news(spark, d):
     flat = F.to_json(F.struct(F.when(k % 3 == 0, F.concat(F.lit("r"), text)).alias("id"), title.alias("title"), F.lit("a name").alias("provider"), F.concat(F.lit("https://l.com/"), text).alias("link"), F.when(k % 7 != 3, F.unix_seconds("at")).alias("providerPublishTime"), F.lit("described").alias("description")))
     rows = e.select(F.col("user_id").cast("string").alias("symbol"), k.alias("pos"), F.when(k % 2 == 0, nested).otherwise(flat).alias("json"))
     return stock_news.vendor_news(rows).withColumn("observed_at", F.unix_millis("observed_at"))
+
+
+@query("""SELECT lpad(p_partkey::VARCHAR, 8, '0') AS key, lpad(p_partkey::VARCHAR, 6, '0') AS ticker, p_name AS name, upper(p_name) AS name_en, (SELECT max(strftime(DATE '2025-01-01' + (p_partkey % 300)::INT, '%Y-%m-%d')) FROM part WHERE p_partkey % 4 <> 0) AS as_of FROM part WHERE p_partkey % 4 <> 0""")
+def io8_split_lists(spark, d):
+    """IO8, IO9: parts as XML lists laid down as plain files, which tasks read in splits."""
+    k = F.col("p_partkey")
+    tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>\n"))
+    day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (k % 300).cast("int")), "yyyyMMdd")
+    code = F.when(k % 4 != 0, F.lpad(k.cast("string"), 6, "0")).otherwise(F.lit(" "))
+    record = F.concat(F.lit("\n<list>\n"), tag("corp_code", F.lpad(k.cast("string"), 8, "0")), tag("corp_name", F.col("p_name")), tag("corp_eng_name", F.upper("p_name")), tag("stock_code", code), tag("modify_date", day))
+    path = tables.folder(spark)
+    comp.write_records(b.table(spark, d, "part").select(record.alias("record")), path, "</list>")
+    return comp.corp_codes(comp.read_records(spark, path, "</list>"), least=1)
