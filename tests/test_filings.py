@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import companies, filings, news, stock_news, valuation
+from tidemark.sources import tables
 
 
 def facts(revenue, income, equity):
@@ -152,3 +153,16 @@ def test_lists_are_read_in_splits_and_zips_by_pieces(spark, tmp_path, monkeypatc
     korean = tmp_path / "master.txt"
     korean.write_bytes("한글 줄\r\n둘째".encode("cp949"))
     assert [r.record for r in companies.read_records(spark, str(korean), "\n", "cp949").collect()] == ["한글 줄\r", "둘째"]
+
+
+def test_tables_are_read_from_a_database_in_parts(spark, tmp_path):
+    """Derby, which comes with Spark: rows are read by ranges of the key, filters go to the database, lists are JSON text there."""
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    t = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, f"summary {i}", f'["k{i}", "x"]' if i % 3 else None, t + timedelta(hours=i)) for i in range(40)], "article_id long, summary string, keywords string, created_at timestamp")
+    rows.write.format("jdbc").options(url=url, dbtable="insights", **options).save()
+    read = tables.read_jdbc(spark, "insights", url, "insights", "article_id", 0, 40, 4, **options)
+    assert read.columns == spark.createDataFrame([], tables.SCHEMAS["insights"]).columns and read.rdd.getNumPartitions() == 4
+    got = {r.article_id: r for r in read.collect()}
+    assert len(got) == 40 and got[4].keywords == ["k4", "x"] and got[3].keywords is None and got[5].created_at == t + timedelta(hours=5) and got[5].engine is None
+    assert [r.summary for r in read.where("article_id = 7").collect()] == ["summary 7"]

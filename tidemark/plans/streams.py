@@ -16,12 +16,19 @@ def events(spark, d):
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("symbol"), "event_type")
 
 
-@query("SELECT user_id::VARCHAR AS symbol, event_type, count(DISTINCT 1) AS n FROM events GROUP BY 1, 2")
+@query("""WITH e AS (SELECT user_id::VARCHAR AS symbol, event_type, ts::TIMESTAMP AS ts FROM events),
+a AS (SELECT symbol, event_type, max(ts) AS ts FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2), b AS (SELECT symbol, event_type, min(ts) AS ts FROM e WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2)
+SELECT symbol, event_type, (a.ts IS NOT NULL)::INT + (b.ts IS NOT NULL AND (a.ts IS NULL OR a.ts + INTERVAL 36 HOUR <= (SELECT max(ts) FROM a) - INTERVAL 36 HOUR))::INT AS n FROM a FULL JOIN b USING (symbol, event_type)""")
 def st2_unique_items(spark, d):
-    """ST1, ST2: the first event of each user and kind within the window, which here spans all."""
-    s = events(spark, d).select("symbol", "event_type", F.col("ts").alias("published_at"), F.concat_ws("/", "symbol", "event_type").alias("canonical_url"))
-    out = jobs.drained(jobs.unique_items(s, window="1000 days"), folder(spark))
-    return out.groupBy("symbol", "event_type").agg(F.count("*").alias("n"))
+    """ST1, ST2: of each user and kind the last event of the first half of a month and the first of the second: the second is new only once the window of 36 hours has passed for the first."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("symbol"), "event_type", F.col("ts").cast("timestamp").alias("published_at"))
+    early = F.col("published_at") < F.lit("2024-01-16").cast("timestamp")
+    path = folder(spark)
+    for half, pick in ((e.where(early), F.max), (e.where(~early), F.min)):
+        half.groupBy("symbol", "event_type").agg(pick("published_at").alias("published_at")).write.mode("append").parquet(f"{path}/in")
+        s = spark.readStream.schema(e.schema).parquet(f"{path}/in").withColumn("canonical_url", F.concat_ws("/", "symbol", "event_type"))
+        out = jobs.drained(jobs.unique_items(s), path)
+    return out.groupBy("symbol", "event_type").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("SELECT epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts::TIMESTAMP) + INTERVAL 30 MINUTE) AS next_run, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 30 MINUTE, ts::TIMESTAMP) + INTERVAL 30 MINUTE <= (SELECT max(ts)::TIMESTAMP - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")

@@ -58,11 +58,13 @@ def t8_keywords(spark, d):
     return news.keywords(b.articles(spark, d)).withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query(f"WITH {ARTICLES} SELECT article_id, sha256(title || chr(10) || excerpt) AS content_hash, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS title_key, CASE WHEN length(body) > length(excerpt) THEN length(body) ELSE length(excerpt) END AS body_chars FROM articles")
+@query(f"""WITH {ARTICLES} SELECT article_id, sha256(title || chr(10) || body) AS content_hash, regexp_replace(lower(body), '[^\\p{{{{L}}}}\\p{{{{N}}}}]', '', 'g') AS title_key, sha256(CASE WHEN article_id % 2 = 0 AND length(body) > 300 THEN body ELSE substr(body, 1, 300) END) AS chosen FROM articles""".replace("{{", "{").replace("}}", "}"))
 def t10_hashes(spark, d):
-    """Content hash, title key, choice of body."""
+    """Content hash and key of whole texts; the choice between what was fetched, every other time too short, and a stored excerpt."""
     a = b.articles(spark, d)
-    return a.select("article_id", text.content_hash(F.col("title"), F.col("excerpt")).alias("content_hash"), text.title_key(F.col("title")).alias("title_key"), F.length(news.choose_body(F.col("body"), F.col("excerpt"))).cast("long").alias("body_chars"))
+    fetched = F.when(F.col("article_id") % 2 == 0, F.col("body")).otherwise(F.substring("body", 1, 10))
+    chosen = news.choose_body(fetched, F.substring("body", 1, 300))
+    return a.select("article_id", text.content_hash(F.col("title"), F.col("body")).alias("content_hash"), text.title_key(F.col("body")).alias("title_key"), F.sha2(chosen, 256).alias("chosen"))
 
 
 @query(f"""WITH {ARTICLES} SELECT article_id, len(regexp_extract_all(lower(' ' || regexp_replace(body, '([^A-Za-z0-9])', '\\1\\1', 'g') || ' '), '[^a-z0-9]the[^a-z0-9]')) AS n FROM articles""")
@@ -78,7 +80,24 @@ def t1_clean_text(spark, d):
     return b.table(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
 
 
-@query()
+GONE = "script style noscript iframe svg form nav header footer aside".split()
+
+
+def dropped_sql(c: str, tags: list[str]) -> str:
+    """Elements of some kinds taken out, the first that begins first; the test's pages don't have one in another."""
+    return f"regexp_replace({c}, '(?is)" + "|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in tags) + "', ' ', 'g')"
+
+
+def plain_sql(c: str) -> str:
+    """A fragment as text."""
+    out = f"replace(replace(replace(replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&quot;', '\"'), '&#x27;', ''''), '&nbsp;', ' ')"
+    out = f"regexp_replace({out}, '&(copy|middot);', ' ', 'g')"
+    return COMPACT.format(f"replace({out}, '&amp;', '&')")
+
+
+@query(f"""WITH c AS (SELECT page_id, {dropped_sql("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", GONE)} AS h FROM pages),
+p AS (SELECT page_id, h, list_filter(list_transform(regexp_extract_all(h, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {plain_sql("x")}), lambda x: length(x) >= 20 AND NOT regexp_matches(x, '{text.BOILERPLATE}')) AS p FROM c)
+SELECT page_id, substr(CASE WHEN len(p) >= 2 THEN array_to_string(p, chr(10)) ELSE {plain_sql("regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1)")} END, 1, 9000) AS body FROM p""")
 def io6_extract_body(spark, d):
     """IO6: article bodies of pages."""
     body = text.extract_body(F.col("html"))
@@ -95,19 +114,30 @@ def x1_canonical_url(spark, d):
     return b.table(spark, d, "pages").select("page_id", urls.canonical_url(u).alias("url"), urls.page_number(u).alias("page"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^(10\.|localhost)') THEN 'inner' END AS error FROM pages""")
-def f11_validate_source_url(spark, d):
-    """which URLs may be sources."""
-    return b.table(spark, d, "pages").select("page_id", urls.validate_source_url(F.col("url"))["error"].alias("error"))
+HOSTS = ["10.0.0.7", "localhost:80", "127.0.0.1", "169.254.1.1", "172.15.0.1", "172.16.0.1", "172.31.9.9:8080", "172.32.0.1", "192.168.1.1", "192.169.1.1", "224.0.0.1", "8.8.8.8", "256.1.1.1", "0.0.0.0", "news.internal", "a.local.", "2130706433", "0x7f000001", "[::1]", "user:pw@host.com", "news.host.com"]
+INNER = {"10.0.0.7", "localhost:80", "127.0.0.1", "169.254.1.1", "172.16.0.1", "172.31.9.9:8080", "192.168.1.1", "224.0.0.1", "256.1.1.1", "0.0.0.0", "news.internal", "a.local.", "2130706433", "0x7f000001", "[::1]", "user:pw@host.com"}
 
 
-@query(f"""WITH {RUNS} SELECT run_id, epoch_ms(to_timestamp((floor(epoch(started_at) / (step * 60)) + 1) * step * 60)::TIMESTAMP) AS next_at, strftime(started_at + INTERVAL 9 HOUR, '%Y-%m-%d') AS day
-FROM (SELECT *, greatest(5, least(1440, fetched_count)) AS step FROM runs WHERE fetched_count > 0)""")
+@query(f"""WITH p AS (SELECT page_id, page_id % {len(HOSTS) + 3} AS k, page_id % 6 AS s, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages)
+SELECT page_id, CASE WHEN s = 5 THEN 'bad' WHEN s = 4 THEN 'scheme' WHEN k < {len(HOSTS)} THEN CASE WHEN k IN ({', '.join(str(i) for i, h in enumerate(HOSTS) if h in INNER)}) THEN 'inner' END
+  WHEN regexp_matches(host, '^(10\\.|localhost)') THEN 'inner' END AS error FROM p""")
+def f11_validate_source_url(spark, d):
+    """which URLs may be sources, pages' own and those of hosts within."""
+    k, url = F.col("page_id") % (len(HOSTS) + 3), F.col("url")
+    path = F.regexp_replace(url, "^[a-z]+://[^/]*", "")
+    put = F.when(k < len(HOSTS), F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, HOSTS)), (k + 1).cast("int")), path)).otherwise(url)
+    s = F.col("page_id") % 6
+    put = F.when(s == 5, F.lit("no url at all")).when(s == 4, F.regexp_replace(put, "^[a-z]+:", "ftp:")).otherwise(F.concat(F.lit(" "), put))
+    error = urls.validate_source_url(put)["error"]
+    return b.table(spark, d, "pages").select("page_id", F.when(error.startswith("올바른"), "bad").when(error.startswith("HTTP"), "scheme").when(error.startswith("내부"), "inner").alias("error"))
+
+
+@query(f"""WITH {RUNS}, n AS (SELECT *, date_trunc('day', started_at + INTERVAL 9 HOUR) AS day, greatest(5, least(1440, fetched_count)) AS step FROM runs)
+SELECT run_id, epoch_ms(CASE WHEN fetched_count > 0 THEN to_timestamp((floor(epoch(started_at) / (step * 60)) + 1) * step * 60)::TIMESTAMP WHEN day > started_at THEN day ELSE day + INTERVAL 24 HOUR END) AS next_at, strftime(started_at + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM n""")
 def x7_next_runs(spark, d):
-    """The next crawl by interval, and the day in Korea."""
-    r = b.runs(spark, d).where("fetched_count > 0")
+    """The next crawl by interval, or by hour (nine in Korea is midnight here) where there is none, and the day in Korea."""
     t = F.col("started_at")
-    return r.select("run_id", F.unix_millis(dates.next_crawl_at(F.lit(9), F.col("fetched_count"), t)).alias("next_at"), dates.date_kst(t).cast("string").alias("day"))
+    return b.runs(spark, d).select("run_id", F.unix_millis(dates.next_crawl_at(F.lit(9), F.col("fetched_count"), t)).alias("next_at"), dates.date_kst(t).cast("string").alias("day"))
 
 
 @query("""SELECT o_orderkey AS id, epoch_ms(make_timestamp(year(o_orderdate), month(o_orderdate), 1, 0, 0, 0) + to_days((o_orderkey % 31)::INT) + to_hours((o_orderkey % 24)::INT) - INTERVAL 9 HOUR) AS t FROM orders""")
@@ -184,13 +214,22 @@ def t5_match_symbols(spark, d):
     return news.article_symbols(news.match_symbols(b.articles(spark, d), ENTRIES, ["thst"]))
 
 
-@query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || body, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")} SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score, materiality FROM m""")
+@query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || body, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")},
+w AS (SELECT article_id, title, body, regexp_matches(lower(' ' || title || ' '), '[^a-z0-9]the[^a-z0-9]') OR regexp_matches(lower(' ' || body || ' '), '[^a-z0-9]the[^a-z0-9]') AS one, contains(title, 'ción') OR contains(body, 'ción') AS two,
+  list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: length(x) > 30)[1:2] AS long FROM articles)
+SELECT article_id, CASE WHEN raw > 0 THEN '긍정' WHEN raw < 0 THEN '부정' ELSE '중립' END AS sentiment, greatest(0, least(100, 50 + raw * 11))::INT AS sentiment_score, materiality, event_type,
+  CASE WHEN event_type = '실적·가이던스' THEN '중기(1~2분기)' WHEN event_type = '수주·사업계약' THEN '장기(1년+)' WHEN materiality = '낮음' THEN '당일' ELSE '단기(1~4주)' END AS impact_horizon,
+  CASE WHEN one AND two THEN 'one, two' WHEN one THEN 'one' WHEN two THEN 'two' ELSE '' END AS sectors, CASE WHEN one OR two THEN CASE WHEN one AND two THEN 'one, two' WHEN one THEN 'one' ELSE 'two' END || ' 업종에 관련된 보도입니다.' ELSE '특정 업종을 지목하기 어려운 일반 보도입니다.' END AS market_view,
+  one::INT + two::INT AS n_symbols, sha256(substr(CASE WHEN len(long) > 0 THEN array_to_string(long, ' ') WHEN body <> '' THEN body ELSE title END, 1, 400)) AS summary FROM m JOIN w USING (article_id)""")
 def t9_rule_insight(spark, d):
-    """Insights by rules; replies without JSON leave them as they are."""
-    a = news.match_symbols(b.articles(spark, d), [("AAA", "The Company", "US", "one", ["the"])])
+    """Insights by rules; replies without JSON leave them as they are."""
+    a = news.match_symbols(b.articles(spark, d), [("AAA", "The Company", "US", "one", ["the"]), ("BBB", "Ción", "KR", "two", ["ción"])])
     base = news.rule_insight(a, news.keywords(b.articles(spark, d)), GOOD, BAD, WEIGHTY)
     replies = b.table(spark, d, "conversations").where("role = 'assistant'").groupBy((F.col("conv_id") % 100).alias("article_id")).agg(F.min("text").alias("reply")).withColumns({"engine": F.lit("llm"), "model": F.lit("m")})
-    return news.merge_llm_insight(base, replies).select("article_id", "sentiment", "sentiment_score", "materiality")
+    out = news.merge_llm_insight(base, replies)
+    names = F.array_join(F.array_sort("sectors"), ", ")
+    view = F.when(F.size("sectors") > 1, F.concat(names, F.lit(" 업종에 관련된 보도입니다."))).otherwise(F.col("market_view"))
+    return out.select("article_id", "sentiment", "sentiment_score", "materiality", "event_type", "impact_horizon", names.alias("sectors"), view.alias("market_view"), "n_symbols", F.sha2("summary", 256).alias("summary"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 12 AS form, (o_orderdate::DATE + INTERVAL 10 YEAR)::DATE AS d, (o_orderkey % 24)::INT AS h, (o_orderkey % 60)::INT AS m FROM orders),
