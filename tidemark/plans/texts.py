@@ -173,7 +173,8 @@ def io2_parse_feed(spark, d):
     return items.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "title", "url", F.unix_millis("published_at").alias("published_at"))
 
 
-@query()
+@query(r"""WITH i AS (SELECT url AS page, unnest(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1)) AS title FROM pages)
+SELECT DISTINCT page, title, regexp_extract(page, '^(https?://[^/?#]+)', 1) || '/' || replace(url_encode(title), '%2C', ',') AS url, epoch_ms(TIMESTAMP '2024-01-15 01:00:00') AS published_at FROM i WHERE length(title) >= 12""")
 def io4_parse_list(spark, d):
     """IO4, IO5: items and links of pages, given a date before each anchor."""
     dated = F.regexp_replace("html", "<li><a ", '<li><span class="time">2024.01.15 10:00</span><a title="a title of twelve letters" ')
