@@ -40,7 +40,7 @@ m AS (SELECT *, pos - neg AS raw, CASE WHEN imp >= 3 THEN '높음' WHEN imp >= 1
   pos > 0 AS bull, neg > 0 AS bear, list_transform(coalesce(nullif(list_filter(regexp_split_to_array(regexp_replace(t, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 18), []), [t])[1:3], lambda x: substr(x, 1, 150)) AS evidence, 3 AS watched FROM m""")
 def t4_analyze_news(spark, d):
     """The rule-based reading of articles (of 6500 characters, as the rules have it)."""
-    a = b.articles(spark, d).select("article_id", F.substring(F.concat("title", F.lit(". "), "body"), 1, 6500).alias("t"))
+    a = b.spread(b.articles(spark, d)).select("article_id", F.substring(F.concat("title", F.lit(". "), "body"), 1, 6500).alias("t"))
     out = news.analyzed(a, F.col("t"), positive=GOOD, negative=BAD, material=WEIGHTY)
     out = out.select("article_id", "sentiment", F.col("sentiment_score").cast("int").alias("sentiment_score"), F.col("relevance").cast("int").alias("relevance"), "materiality", "event_type", "impact_horizon", F.col("confidence").cast("double").alias("confidence"), "score_adjustment", (F.col("bull_case") == text.BULL[0]).alias("bull"), (F.col("bear_case") == text.BEAR[0]).alias("bear"), "evidence", F.size("watch_items").alias("watched"))
     return rounded(out, ["confidence"])
@@ -55,7 +55,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY w DESC, toke
 SELECT article_id, coalesce(string_agg(token, ',' ORDER BY n) FILTER (n <= 8), '') AS keywords FROM articles LEFT JOIN n USING (article_id) GROUP BY 1""")
 def t8_keywords(spark, d):
     """Keywords of articles."""
-    return news.keywords(b.articles(spark, d)).withColumn("keywords", F.array_join("keywords", ","))
+    return news.keywords(b.spread(b.articles(spark, d))).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query(f"""WITH {ARTICLES} SELECT article_id, sha256(title || chr(10) || body) AS content_hash, regexp_replace(lower(body), '[^\\p{{{{L}}}}\\p{{{{N}}}}]', '', 'g') AS title_key, sha256(CASE WHEN article_id % 2 = 0 AND length(body) > 300 THEN body ELSE substr(body, 1, 300) END) AS chosen FROM articles""".replace("{{", "{").replace("}}", "}"))
@@ -96,8 +96,9 @@ def plain_sql(c: str) -> str:
 
 
 @query(f"""WITH c AS (SELECT page_id, {dropped_sql("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", GONE)} AS h FROM pages),
-p AS (SELECT page_id, h, list_filter(list_transform(regexp_extract_all(h, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {plain_sql("x")}), lambda x: length(x) >= 20 AND NOT regexp_matches(x, '{text.BOILERPLATE}')) AS p FROM c)
-SELECT page_id, substr(CASE WHEN len(p) >= 2 THEN array_to_string(p, chr(10)) ELSE {plain_sql("regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1)")} END, 1, 9000) AS body FROM p""")
+p AS (SELECT page_id, h, list_filter(list_transform(regexp_extract_all(h, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {plain_sql("x")}), lambda x: length(x) >= 20 AND NOT regexp_matches(x, '{text.BOILERPLATE}')) AS p FROM c),
+q AS (SELECT *, list_transform(regexp_extract_all(h, '(?is){"|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in ("article", "section", "div"))}'), lambda x: {plain_sql("x")}) AS b FROM p)
+SELECT page_id, substr(CASE WHEN len(p) >= 2 THEN array_to_string(p, chr(10)) WHEN len(b) > 0 THEN list_reduce(list_prepend('', b), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END) ELSE {plain_sql("h")} END, 1, 9000) AS body FROM q""")
 def io6_extract_body(spark, d):
     """IO6: article bodies of pages."""
     body = text.extract_body(F.col("html"))
@@ -128,8 +129,8 @@ def f11_validate_source_url(spark, d):
     put = F.when(k < len(HOSTS), F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, HOSTS)), (k + 1).cast("int")), path)).otherwise(url)
     s = F.col("page_id") % 6
     put = F.when(s == 5, F.lit("no url at all")).when(s == 4, F.regexp_replace(put, "^[a-z]+:", "ftp:")).otherwise(F.concat(F.lit(" "), put))
-    error = urls.validate_source_url(put)["error"]
-    return b.table(spark, d, "pages").select("page_id", F.when(error.startswith("올바른"), "bad").when(error.startswith("HTTP"), "scheme").when(error.startswith("내부"), "inner").alias("error"))
+    error = urls.validate_source_url(F.col("put"))["error"]
+    return b.table(spark, d, "pages").select("page_id", put.alias("put")).select("page_id", F.when(error.startswith("올바른"), "bad").when(error.startswith("HTTP"), "scheme").when(error.startswith("내부"), "inner").alias("error"))
 
 
 @query(f"""WITH {RUNS}, n AS (SELECT *, date_trunc('day', started_at + INTERVAL 9 HOUR) AS day, greatest(5, least(1440, fetched_count)) AS step FROM runs)
@@ -212,7 +213,7 @@ SELECT article_id, symbol, company, market, sector, mentions, relevance FROM per
 @query(f"""WITH {ARTICLES}{matches_sql(ENTRIES, ["thst"])}""")
 def t5_match_symbols(spark, d):
     """Symbols mentioned, from a dictionary drawn from the text."""
-    return news.article_symbols(news.match_symbols(b.articles(spark, d), ENTRIES, ["thst"]))
+    return news.article_symbols(news.match_symbols(b.spread(b.articles(spark, d)), ENTRIES, ["thst"]))
 
 
 @query(f"""WITH {ANALYSIS_SQL.replace("substr(title || '. ' || body, 1, 6500)", "substr(title || '. ' || body, 1, 8000)")},

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt out to all of them, for work that is heavy for its rows; one of more splits is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as articles: the first line is the title, the rest the body; ids give times and states."""
     k = F.col("doc_id")
