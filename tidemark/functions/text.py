@@ -92,9 +92,8 @@ def extract_body(html: Column, length: int = 9000, least: int = 20) -> Column:
     return F.substring(F.when(F.size(parts) >= 2, F.array_join(parts, "\n")).otherwise(other), 1, length)
 
 
-def lexicon_count(c: Column, words: list[str]) -> Column:
-    """How many of the words the text holds, as substrings and without case."""
-    low = F.lower(c)
+def lexicon_count(low: Column, words: list[str]) -> Column:
+    """How many of the words a lower-cased text holds, as substrings."""
     return sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
 
 
@@ -142,7 +141,7 @@ def analyze_news(text: Column, symbol: Column, company: Column, positive: list[s
 
 def counted(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, material: list[str] = MATERIAL) -> list[dict[str, Column]]:
     """Layers of columns that analyze_news() reads: the folded text, the same without case, then the counts of words in it and the kind of event."""
-    held = lambda words: sum((F.contains("_low", F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+    held = lambda words: lexicon_count(F.col("_low"), words)
     event = F.lit(OTHER_EVENT)
     for name, korean, pattern in reversed(EVENTS):
         event = F.when(reduce(lambda a, b: a | b, [F.contains("_low", F.lit(w)) for w in [*korean, *pattern.split("|")]]), name).otherwise(event)

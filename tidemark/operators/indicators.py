@@ -60,8 +60,6 @@ REASONS = {
 GAPS = ["재무·거래 통화가 다르거나 확인되지 않아 통화를 섞는 가치 계산을 생략했습니다.", ("추가 지표 ", "개는 데이터 부족 또는 적용 불가로 계산하지 않았습니다."), "제공 비율의 기준일과 연간 공시 기간은 다를 수 있습니다. 실시간 체결가·증권사 컨센서스는 아닙니다."]
 #: Ratios that a quote provides, filings taking precedence.
 PROVIDED = ["trailing_pe", "forward_pe", "price_to_book", "ev_ebitda", "roe", "roa", "operating_margin", "profit_margin_pct", "revenue_growth_pct"]
-# Inputs of statements and quotes that indicators are made of.
-DETAILS = ["forward_pe", "ev_ebitda", "eps", "bps", "roe", "roa", "operating_margin", "ocf", "capex", "cash", "debt", "equity", "current_assets", "current_liabilities", "market_cap"]
 
 
 def indicator_panel(snapshot: DataFrame, fundamentals: DataFrame | None = None) -> DataFrame:
