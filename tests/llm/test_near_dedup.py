@@ -188,6 +188,21 @@ def test_repeated_ids_against_all_pairs(spark):
     assert len(kept) == len(first) and {(root[t], i) for i, t in kept} == set(first.items())
 
 
+def test_lists_name_each_pair_about_once(spark):
+    """Nodes that share passages of many shingles over their leader: a list for each passage, and of two nodes' lists only the first, shortest ones make a pair."""
+    rows = []
+    for b in range(40):
+        for passage in {b % 4, 4 + b % 5}:
+            rows += [(0, b, 200.0, 140.0, b, True, 1000 * passage + i, 1.0) for i in range(20)]
+    posts = spark.createDataFrame(rows, "a long, b long, size double, common double, c long, away boolean, s long, w double")
+    want = lambda x, y: 0.8 / 1.8 * (x + y) - 1e-9
+    lists = nd.narrowed(posts, want)
+    assert lists.count() == 80 and {r.over for r in lists.collect()} == {40.0} and nd.narrowed(lists, want).count() == 80
+    kept = nd.rarest(lists).collect()
+    # 178 less 140 are needed, so both passages must be shared: the shorter list finds each such pair, and no other
+    assert {(r.b, r.over) for r in kept} == {(b, 40.0) for b in range(40)} and len(kept) == 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (105, 101), (105, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

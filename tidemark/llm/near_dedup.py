@@ -193,13 +193,28 @@ def narrowed(posts: DataFrame, want: Callable) -> DataFrame:
     """posts without what can't decide a pair, by two sums over lists and nodes: no list is gathered, nothing is paired.
 
     A list (a, s) counts only if it holds nodes of two classes, one of them away from the leader. What a node can have in common with another over the leader is
-    what it has in such lists; a node stays in a list only if that, with the list's other bounds, can be enough.
+    what it has in such lists (`over`); a node stays in a list only if that, with the list's other bounds, can be enough. `held` is the list's length, `need` the least that
+    a pair over the leader asks of the list's node. Lists of the same nodes, such as those of a passage's shingles, become one with the sum of their weights: its name is a hash of its nodes.
     """
-    lists = posts.groupBy("a", "s").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("away").alias("any"), F.min("size").alias("lo"), F.max("common").alias("top")).where("c1 <> c2 and any").drop("c1", "c2", "any")
-    posts = posts.join(saved(lists), ["a", "s"])
+    posts = posts.drop("over", "held", "need")
+    lists = posts.groupBy("a", "s").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("away").alias("any"), F.min("size").alias("lo"), F.max("common").alias("top"), F.count("*").alias("held"), F.bit_xor(F.xxhash64("b")).alias("name")).where("c1 <> c2 and any").drop("c1", "c2", "any")
+    posts = posts.join(lists, ["a", "s"]).drop("s").withColumnRenamed("name", "s")
+    posts = posts.groupBy([c for c in posts.columns if c != "w"]).agg(F.sum("w").alias("w"))
     over = F.sum("w").over(Window.partitionBy("a", "b"))
-    posts = posts.withColumn("over", over)
-    return posts.where(F.least("common", "top") + F.col("over") >= want(F.col("size"), F.col("lo"))).drop("lo", "top")
+    posts = posts.withColumns({"over": over, "need": want(F.col("size"), F.col("lo")) - F.least("common", "top")})
+    return posts.where("over >= need").drop("lo", "top")
+
+
+def rarest(posts: DataFrame) -> DataFrame:
+    """Of each node of narrowed posts the lists by which it must be found: its shortest ones.
+
+    If two nodes are similar, what they share over the leader weighs at least the least need of either. So of a node's lists, the longest may go as long as what they weigh together is less: were all
+    lists that two nodes share among those that either left, the one that leaves more of them would hold too little outside. Lists are in one order for all nodes, by length, then by name.
+    `over` becomes what a list and the longer ones weigh: in the first list that two nodes share, it bounds what they share over the leader.
+    """
+    mine = Window.partitionBy("a", "b")
+    longest = mine.orderBy(F.desc("held"), "s").rowsBetween(Window.unboundedPreceding, 0)
+    return posts.withColumns({"need": F.min("need").over(mine), "over": F.sum("w").over(longest)}).where("over >= need - 1e-9").drop("need", "held")
 
 
 def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
@@ -257,7 +272,7 @@ def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar:
             both = x.join(lists.select("a", "s", whole.alias("y")), ["a", "s"]).where("x.c <> y.c")
             return both.where(F.least("x.common", "y.common") + F.least("x.over", "y.over") >= want(F.col("x.size"), F.col("y.size"))).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
 
-        pairs = paired(posts).unionByName(paired(near)).distinct()
+        pairs = paired(rarest(posts)).unionByName(paired(near)).distinct()
         return saved(pairs.join(seen, ["a", "b"], "left_anti"))
 
     links = links.unionByName(met.where(F.col("sim") >= similar).select("a", "b"))
@@ -278,7 +293,7 @@ def classes(buckets: DataFrame, meet: Callable[[DataFrame], DataFrame], similar:
         if firsts:
             seen = seen.unionByName(pairs)
             classed = merged(roots, more)
-            rows, posts = (labelled(df.drop("c", "away"), classed) for df in (rows, posts.drop("over")))
+            rows, posts = (labelled(df.drop("c", "away"), classed) for df in (rows, posts))
     whole = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for more in extra:
         whole = whole.unionByName(more)
@@ -337,10 +352,10 @@ def classified(docs: DataFrame, doc_id: str, text: str, similar: float) -> DataF
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, columns), added], ["a", "b", "sim", "size", "common", "added"])
 
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        need = saved(nodes.select("node", F.col("first").alias("id"), "t1", "t2").join(small(saved(need)), "node", "left_semi"))
+        need = saved(nodes.select("node", F.col("first").alias("id"), "t1", "t2").join(need, "node", "left_semi"))
         texts = known.select(F.col(f"`{doc_id}`").alias("id"), *hashed(body), lowered(body).alias("text")).join(small(need), ["id", "t1", "t2"])
         texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")))
-        hot = small(saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1")))
+        hot = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1"))  # a row for each SHARE pairs at most
         leaders = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(hot, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)))
         dealt = pairs.join(hot, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1)).cast("long")))
         both = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").drop("shares").join(leaders.drop("shares"), ["a", "share"])
