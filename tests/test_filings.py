@@ -166,3 +166,15 @@ def test_tables_are_read_from_a_database_in_parts(spark, tmp_path):
     got = {r.article_id: r for r in read.collect()}
     assert len(got) == 40 and got[4].keywords == ["k4", "x"] and got[3].keywords is None and got[5].created_at == t + timedelta(hours=5) and got[5].engine is None
     assert [r.summary for r in read.where("article_id = 7").collect()] == ["summary 7"]
+
+
+def test_what_is_exploded_from_a_small_file_is_not_broadcast(spark, tmp_path):
+    """Beginnings of tickers and grams of names come from a file that Spark may broadcast by its size."""
+    spark.range(1, 3000).selectExpr("cast(id as string) AS key", "concat('S', id) AS ticker", "concat('name ', id) AS name").write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    df = companies.autocomplete(spark.createDataFrame([("s12",), ("name 12",), (" ",)], "query string"), c, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    sent = [below for line, below in zip(plan, plan[1:]) if "BroadcastExchange" in line]
+    assert sent and not [x for x in sent if "ticker" in x or "name#" in x]
+    found = {(r["query"], r["rank"]): r["key"] for r in df.collect()}
+    assert found == {("s12", 1): "12", ("s12", 2): "120", ("s12", 3): "121", ("name 12", 1): "12", ("name 12", 2): "120", ("name 12", 3): "121"}

@@ -13,6 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import kept
+
+#: Rows up to which a table of queries is broadcast.
+FEW = 100_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table of queries, computed once, and how it is to be joined: by broadcast if a count finds few rows, else by a merge. Spark itself takes what is exploded from a small file for small, and would send that to the driver."""
+    df = kept(df)
+    return df, "broadcast" if df.limit(FEW + 1).count() <= FEW else "merge"
+
 
 def normalize_ticker(c: Column) -> Column:
     """A ticker without white space, in upper case."""
@@ -150,15 +161,15 @@ def holders(needles: DataFrame, names: DataFrame) -> DataFrame:
 
     Grams have three characters, or as many as the needle if that is shorter.
     """
-    needles = needles.select("needle").where("needle <> ''").distinct().withColumn("size", F.least(F.lit(3), F.length("needle")))
+    needles, how = counted(needles.select("needle").where("needle <> ''").distinct().withColumn("size", F.least(F.lit(3), F.length("needle"))))
     names = names.select("name").where("name <> ''").distinct()
     grams = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substring(F.col(c), i, size)))
     sizes = names.crossJoin(F.broadcast(names.sparkSession.range(1, 4).select(F.col("id").cast("int").alias("size"))))  # three rows
     index = sizes.select("name", "size", F.explode(grams("name", F.col("size"))).alias("gram")).where(F.length("gram") == F.col("size"))
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = needles.select("needle", F.explode(grams("needle", F.col("size"))).alias("gram")).join(counts, "gram", "left")
-    rare = asked.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    return rare.join(index, "gram").where(F.contains("name", F.col("needle"))).select("needle", "name")
+    asked = needles.select("needle", F.explode(grams("needle", F.col("size"))).alias("gram"))
+    counts = index.join(asked.select("gram").distinct().hint(how), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rare = asked.join(counts.hint("merge"), "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return rare.hint(how).join(index, "gram").where(F.contains("name", F.col("needle"))).select("needle", "name")
 
 
 def name_map(companies: DataFrame) -> DataFrame:
@@ -205,15 +216,15 @@ def autocomplete(queries: DataFrame, companies: DataFrame, limit: int = 10) -> D
 
     Tickers meet queries on each of their beginnings, names on grams (see holders), so neither side is compared with all of the other.
     """
-    q = queries.select("query").distinct().withColumns({"code": normalize_ticker(F.col("query")), "needle": normalize_name(F.col("query"))}).where("trim(query) <> ''")
+    q, how = counted(queries.select("query").distinct().withColumns({"code": normalize_ticker(F.col("query")), "needle": normalize_name(F.col("query"))}).where("trim(query) <> ''"))
     c = companies.withColumn("n", normalize_name(F.col("name")))
     cap = F.coalesce("market_cap", F.lit(0.0)) if "market_cap" in companies.columns else F.lit(0.0)
     hint = F.col("rank_hint") if "rank_hint" in companies.columns else F.lit(0)
     c = c.select("key", "ticker", "name", "n", cap.alias("cap"), hint.alias("hint"))
     starts = c.withColumn("code", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ticker"))), lambda i: F.substring("ticker", F.lit(1), i)))).where("code <> ''")
-    by_ticker = q.join(starts, "code")
+    by_ticker = q.hint(how).join(starts, "code")
     held = holders(q.select("needle"), c.select(F.col("n").alias("name"))).withColumnRenamed("name", "n")
-    by_name = q.join(held, "needle").join(c, "n")
+    by_name = q.hint(how).join(held, "needle").join(c.hint("merge"), "n")
     hits = by_ticker.unionByName(by_name).distinct()
     p = F.when(F.col("ticker") == F.col("code"), 0).when((F.col("code") != "") & F.startswith("ticker", F.col("code")), 1).when(F.startswith("n", F.col("needle")), 2).otherwise(3)
     order = Window.partitionBy("query").orderBy("priority", "hint", F.desc("cap"), F.length("name"), "key")
