@@ -1,5 +1,6 @@
 """Streams over small folders."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -58,6 +59,23 @@ def test_runs_without_an_end_are_failed_by_a_timer(spark, tmp_path):
     assert out() == ended | {(4, "완료", at(40)), (3, "오류", at(35))}
 
 
+def test_runs_of_a_bucket_are_settled_together(spark, tmp_path):
+    """Runs that begin and end several times, against a plain loop; two calls settle all."""
+    r, schema, path = random.Random(4), "run_id long, ts timestamp, kind string", str(tmp_path / "in")
+    log = sorted({(r.randint(0, 40), r.randint(0, 400), r.choice(["start", "start", "end"])) for _ in range(300)}, key=lambda x: (x[1], x[2] == "end", x[0]))
+    at, want, begun = lambda m: T + timedelta(minutes=m), [], {}
+    for run, t, kind in log:
+        if kind == "start":
+            begun.setdefault(run, t)
+        elif run in begun:
+            b = begun.pop(run)
+            want.append((run, "완료", at(t)) if t - b <= 30 else (run, "오류", at(b + 30)))
+    want += [(k, "오류", at(b + 30)) for k, b in begun.items() if b + 30 < max(t for _, t, _ in log) - 10]
+    given(spark, path, [(k, at(t), kind) for k, t, kind in log], schema)
+    out = jobs.drained(jobs.reaped_runs(spark.readStream.schema(schema).parquet(path), buckets=2), str(tmp_path / "out")).collect()
+    assert len(want) > 50 and sorted((x.run_id, x.at, x.status) for x in out) == sorted((k, t, s) for k, s, t in want)
+
+
 def test_store_takes_a_batch_once_and_survives_a_fall_between_its_files(spark, tmp_path):
     schema = "key string, v long, n long"
     s = store.UpsertStore(spark, str(tmp_path / "store"), schema, "key", buckets=4)

@@ -65,35 +65,44 @@ def reused_reports(log: DataFrame, minutes: int = 20, late: str = "10 minutes")
     return rows.groupBy("digest").applyInPandasWithState(answered, schema, "report_id long, at timestamp", "append", "EventTimeTimeout")
 
 
-def reaped_runs(log: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
-    """(run_id, status, at) of runs that have ended or hung, from a stream of their starts and ends (run_id, ts, kind): a run without an end for `minutes` of event time is failed at that time, by a timer."""
-    span = timedelta(minutes=minutes)
+def reaped_runs(log: DataFrame, minutes: int = 30, late: str = "10 minutes", buckets: int = 4096) -> DataFrame:
+    """(run_id, status, at) of runs that have ended or hung, from a stream of their starts and ends (run_id, ts, kind): a run without an end for `minutes` of event time is failed at that time, by a timer.
+
+    Runs are kept by buckets of their id's hash, so that a call settles all rows of a bucket at once and not a run's two or three; a bucket's state is its runs that are open, its timer the first of their ends.
+    """
+    span = minutes * 60_000_000
 
     def settled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], FAILED, state.get[0] + span))
-            state.remove()
+        held = pd.DataFrame(zip(*state.get, strict=True) if state.exists else [], columns=["run_id", "ts"], dtype="int64").assign(end=False)
+        now, done = state.getCurrentWatermarkMs() * 1000, []  # microseconds
+        if not state.hasTimedOut:
+            came = pd.concat(list(frames))  # a bucket's rows of one micro-batch
+            came = pd.DataFrame({"run_id": came["run_id"], "ts": came["us"], "end": came["kind"] != "start"})
+            quiet = held[~held["run_id"].isin(came["run_id"])]
+            # what is held comes first, then starts before ends; a run begins with its first start after an end
+            rows = pd.concat([held.drop(quiet.index), came.sort_values(["ts", "end"], kind="stable")]).sort_values("run_id", kind="stable", ignore_index=True)
+            ends = rows.groupby("run_id")["end"]
+            rows = rows.assign(turn=ends.cumsum() - rows["end"], turns=ends.transform("sum"))
+            begun = rows[~rows["end"]].drop_duplicates(["run_id", "turn"])
+            over = begun[["run_id", "turn", "ts"]].merge(rows.loc[rows["end"], ["run_id", "turn", "ts"]], on=["run_id", "turn"], suffixes=("", "_end"))
+            fine = over["ts_end"] - over["ts"] <= span
+            done.append(pd.DataFrame({"run_id": over["run_id"], "status": fine.map({True: DONE, False: FAILED}), "at": over["ts_end"].where(fine, over["ts"] + span)}))
+            held, young = quiet, begun[begun["turn"] == begun["turns"]]
         else:
-            begun = state.get[0] if state.exists else None
-            rows = pd.concat(list(frames)).sort_values(["ts", "kind"], ascending=[True, False])  # a run's few rows; starts before ends
-            for ts, kind in zip(rows["ts"], rows["kind"]):
-                ts = ts.to_pydatetime()
-                if kind == "start":
-                    begun = ts if begun is None else begun
-                elif begun is not None:
-                    out.append((key[0], DONE, ts) if ts - begun <= span else (key[0], FAILED, begun + span))
-                    begun = None
-            if begun is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((begun,))
-                state.setTimeoutTimestamp(max(int(pd.Timestamp(begun + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["run_id", "status", "at"])
-
-    rows = log.withWatermark("ts", late).select("run_id", "ts", "kind")
-    return rows.groupBy("run_id").applyInPandasWithState(settled, "run_id long, status string, at timestamp", "begun timestamp", "append", "EventTimeTimeout")
+            young = held[:0]
+        hung = held["ts"] + span < now
+        done.append(pd.DataFrame({"run_id": held.loc[hung, "run_id"], "status": FAILED, "at": held.loc[hung, "ts"] + span}))
+        stay = pd.concat([held.loc[~hung, ["run_id", "ts"]], young[["run_id", "ts"]]])
+        if len(stay):
+            state.update((stay["run_id"].tolist(), stay["ts"].tolist()))
+            state.setTimeoutTimestamp(max((int(stay["ts"].min()) + span) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.concat(done)
+
+    rows = log.withWatermark("ts", late).select("run_id", "ts", F.unix_micros("ts").alias("us"), "kind", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"))
+    found = rows.groupBy("bucket").applyInPandasWithState(settled, "run_id long, status string, at long", "runs array<long>, begun array<long>", "append", "EventTimeTimeout")
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
