@@ -57,3 +57,19 @@ def test_scores_of_the_first_shards_lose_nothing(spark, monkeypatch):
         s = sorted((-int(x[i] @ x[j]), j) for j in range(700) if j != i)[:5]
         want += [(i, r + 1, j, -v) for r, (v, j) in enumerate(s)]
     assert got == sorted(want)
+
+
+def test_copied_queries_are_not_broadcast(spark, monkeypatch):
+    """However small their file is; and there are as many copies as cores ask for, not as there are shards."""
+    for name, n in (("SHARD", 4), ("CHUNK", 8), ("TURNS", 1)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-9, 9, (200, 6)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    found = exact_top_k(df, df.where("id % 10 = 0"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "SortMergeJoin [bucket" in plan and f"sequence(0, {spark.sparkContext.defaultParallelism - 1}" in found._jdf.queryExecution().analyzed().toString().replace("cast(0 as bigint)", "0").replace(f"cast({spark.sparkContext.defaultParallelism - 1} as bigint)", str(spark.sparkContext.defaultParallelism - 1))
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in found.collect()}
+    for q in range(0, 200, 10):
+        best = sorted((-int(x[q] @ x[i]), i) for i in range(200) if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]

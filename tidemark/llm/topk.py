@@ -13,6 +13,8 @@ from tidemark.llm.shared import saved
 
 #: Vectors of a block, of a shard (one row of the saved index) and queries scored together.
 BLOCK, SHARD, CHUNK = 256, 8192, 2048
+#: Buckets of shards for each core: as often are the queries copied, however many vectors there are.
+TURNS = 4
 #: One shard of so many is searched first, for scores that prune the others.
 FIRST = 16
 
@@ -103,7 +105,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     and candidates of their own. An empty table on either side gives an empty table. Fewer than k candidates: as many rows.
 
     Vectors are gathered by ranges of id into shards of bounded size, queries into chunks. Each chunk meets each shard once, by an equi-join on
-    numbered buckets, and keeps its k best there; blocks of a shard are pruned by their bounds. A first pass over some of the shards gives each query a kth score, which goes with it to all others, so
+    numbered buckets (a few for each core, so that copies of the queries grow as the queries do), and keeps its k best there; blocks of a shard are pruned by their bounds. A first pass over some of the shards gives each query a kth score, which goes with it to all others, so
     that most of their blocks fall below it. Then the shards' k best are ranked.
     """
     fine = vectors.where("id is not null and vector is not null")
@@ -111,7 +113,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     shards = saved(gathered(fine.select("id", "vector"), fine.count(), SHARD))
     chunks = saved(gathered(asked.select("id", "vector"), asked.count(), CHUNK).drop("first"))
     n = shards.count()
-    buckets = max(1, min(4096, n))
+    buckets = max(1, min(TURNS * vectors.sparkSession.sparkContext.defaultParallelism, n))
     begun = F.pmod(F.xxhash64("part"), F.lit(FIRST)) == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
         right = chunks.select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), F.col("dims").alias("q_dims"))
         right = right.withColumn("floors", F.lit(None).cast("array<struct<nth: long, score: long>>")) if floors is None else right.join(floors, "q_part", "left")
         right = right.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-        pairs = left.join(right, "bucket").select("ids", "matrix", "first", "dims", "q_part", "q_ids", "q", "q_dims", "floors")
+        # a merge, never a broadcast: Spark takes the copied queries for as small as their file
+        pairs = left.join(right.hint("merge"), "bucket").select("ids", "matrix", "first", "dims", "q_part", "q_ids", "q", "q_dims", "floors")
         return pairs.mapInArrow(run, "q_part long, nth long, query_id long, id long, score long")
 
     rank = F.row_number().over(Window.partitionBy("q_part", "nth").orderBy(F.desc("score"), "id"))
