@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +61,13 @@ def match_symbols(articles: DataFrame, dictionary: Iterable[tuple] | None = None
     noise = list(noise if noise is not None else NOISE if dictionary is None else ())
     dictionary = [Entry(*e[:4], tuple(e[4])) for e in (companies() if dictionary is None else dictionary)]
 
-    @F.pandas_udf(MATCH)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([*[(c, pa.string()) for c in ("symbol", "company", "market", "sector")], ("mentions", pa.int32()), ("relevance", pa.int32())]))
+
+    @F.arrow_udf(MATCH)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         matcher = Matcher(dictionary, noise)
-        for titles, bodies in batches:
-            yield pd.Series([matcher.matches(t or "", b or "", limit) for t, b in zip(titles, bodies, strict=True)], dtype=object)
+        for titles, bodies in batches:  # one text at a time leaves Arrow
+            yield pa.array((matcher.matches(t.as_py() or "", b.as_py() or "", limit) for t, b in zip(titles, bodies, strict=True)), kind)
 
     return articles.withColumn("matches", run("title", "body"))
 
