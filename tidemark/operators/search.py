@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Folders of an index; a term stands in one of them.
 BUCKETS = 64
+#: Parts that a folder's rows are dealt to, by article.
+SHARES = 16
 GRAM = 3
 
 
@@ -22,11 +24,12 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Stores (term, article_id) under folders by the term's hash, sorted by term.
 
-    Tasks take ranges of (folder, term, id), so a term that most articles hold is spread over several, and each writes few files; within them row groups are told apart by term.
+    One shuffle, by folder and a hash of the article, so a term that most articles hold is spread over SHARES tasks; repeated rows meet in one and go there. Within a file row groups are told apart by term.
     """
-    rows = postings.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "article_id").where("term is not null and article_id is not null").distinct()
-    order = ["bucket", "term", "article_id"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    share = F.pmod(F.xxhash64("article_id"), F.lit(SHARES)).cast("int")
+    rows = postings.select(bucket_of(F.col("term"), buckets).alias("bucket"), share.alias("share"), "term", "article_id").where("term is not null and article_id is not null")
+    rows = rows.repartition("bucket", "share").dropDuplicates(["bucket", "share", "term", "article_id"])
+    rows.sortWithinPartitions("bucket", "term", "article_id").drop("share").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def keyword_postings(rows: DataFrame, column: str) -> DataFrame:
