@@ -148,3 +148,24 @@ def test_search_by_index_equals_a_scan_and_reads_one_folder(spark, tmp_path, cap
     search.search_keyword(rows, words, "tide").explain()
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,tide)" in plan
+
+
+def test_a_page_of_many_items_leaves_in_small_batches(spark, monkeypatch):
+    """Candidates leave a task a few at a time, and none is lost between."""
+    from tidemark.sources import feeds
+
+    monkeypatch.setattr(feeds, "ROWS", 2)
+    items = "".join(f'<li><span class="time">2024.01.15 10:00</span><a href="/a/{i}">a title of twelve letters {i}</a></li>' for i in range(7))
+    pages = spark.createDataFrame([("https://x.example/list", items), ("https://x.example/none", None)], "url string, html string")
+    rows = feeds.parse_news_list(pages, F.lit("2024-01-16").cast("timestamp")).collect()
+    assert sorted(r.url for r in rows) == [f"https://x.example/a/{i}" for i in range(7)]
+
+
+def test_an_index_holds_a_posting_once(spark, monkeypatch, tmp_path):
+    """Repeated rows meet in one share of their folder, and a folder has no more files than shares."""
+    from tidemark.operators import search
+
+    monkeypatch.setattr(search, "SHARES", 2)
+    rows = spark.createDataFrame([(t, i) for t in ("one", "two", None) for i in range(50)] * 3, "term string, article_id long").repartition(4)
+    search.write_index(rows, str(tmp_path / "i"), 1)
+    assert spark.read.parquet(str(tmp_path / "i")).count() == 100 and len(list((tmp_path / "i" / "bucket=0").glob("*.parquet"))) <= 2
