@@ -96,3 +96,24 @@ def test_windows_close_by_tokens_and_long_texts_are_cut_once(spark, monkeypatch)
 
 def test_empty(empty):
     assert pack_documents(empty, PATH).collect() == []
+
+
+def test_arrow_batches_of_long_texts_are_bounded_and_texts_come_whole(spark):
+    from tidemark.llm.shared import PIECE, in_pieces, whole_texts
+
+    texts = ["é日" * 300_000, None, "", "x" * PIECE, "y" * (PIECE + 1), *(f"{i} " + "word 日本 " * 400 for i in range(3000)), "z" * 3_000_000]
+    docs = in_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 10_000 * (PIECE + 40)
+    assert {r.doc_id: r.text for r in docs.mapInArrow(whole_texts, "doc_id long, text string").collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_packing_gets_pieces_of_texts(messy):
+    plan = pack_documents(messy, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(" in plan and "Filter" not in plan

@@ -10,9 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tidemark.llm.mixing import row_hash
-from tidemark.llm.shared import cut_without_loss, packed, saved, small
+from tidemark.llm.shared import cut_without_loss, in_pieces, packed, saved, small, whole_texts
 
 #: Rows of each language that the text model is fitted on, in expectation; hashed byte trigrams; trigrams whose evidence counts in full; posterior below which a document is rejected.
 SAMPLE, SIZE, EVIDENCE, THRESHOLD = 4000, 1 << 16, 200, 0.5
@@ -88,18 +89,20 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     if not names:
         return rows.select("doc_id", "row_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), "declared", F.lit(False).alias("accepted"))
 
-    @F.pandas_udf("array<double>")
-    def likelihood(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            total, n = np.zeros(len(names)), 0
-            for codes in trigrams(t):
-                total += table[:, codes].sum(1, dtype=np.float64)
-                n += len(codes)
-            out.append(total * (min(n, EVIDENCE) / n) if n else None)
-        return pd.Series(out)
-
-    rows = saved(rows.withColumn("text_log", likelihood("text")).drop("text", "label"))
+    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_texts(batches):
+            out = []
+            for t in batch.columns[-1]:
+                total, n = np.zeros(len(names)), 0
+                for codes in trigrams(t.as_py()):
+                    total += table[:, codes].sum(1, dtype=np.float64)
+                    n += len(codes)
+                out.append(total * (min(n, EVIDENCE) / n) if n else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "text_log"])
+
+    rows = rows.drop("label")
+    scored = StructType([f for f in rows.schema if f.name != "text"]).add("text_log", ArrayType(DoubleType()))
+    rows = saved(in_pieces(rows).mapInArrow(likelihood, scored))
     top = F.array_position("text_log", F.array_max("text_log")).cast("int") - 1
     by_text = rows.where("text_log is not null").withColumn("l", top)
     langs = F.sequence(F.lit(0), F.lit(len(names) - 1))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import row_hash
-from tidemark.llm.shared import components, cut_without_loss, packed, per_worker, saved, small
+from tidemark.llm.shared import components, cut_without_loss, in_pieces, packed, per_worker, saved, small, whole_texts
 from tidemark.llm.shingles import MIX1, MIX2, PRIME, scrambled, shingled
 
 #: Similarity from which documents are near duplicates, bands and samples in a band.
@@ -69,12 +69,12 @@ def common_shingles(docs: DataFrame, text: Column, common: float = COMMON, windo
     Each task names what may be as frequent among its documents (see Frequent), counted short by half the share of them at most; so what all tasks together name for less than half the share isn't wanted, and the rest, a
     table of bounded size, is then counted exactly, over all documents. No table of all shingles is made.
     """
-    texts = docs.select(lowered(text).alias("text"))
+    texts = in_pieces(docs.select(lowered(text).alias("text")))
     n = docs.count()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Frequent(common, window)
-        for batch in batches:
+        for batch in whole_texts(batches):
             for h, _ in shingled(batch.column(0)):
                 found.add(h)
         found.close()
@@ -94,7 +94,7 @@ def common_shingles(docs: DataFrame, text: Column, common: float = COMMON, windo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted) + 1, np.int64)
-        for batch in batches:
+        for batch in whole_texts(batches):
             for h, _ in shingled(batch.column(0)):
                 at = np.searchsorted(wanted, h)
                 total[at[wanted[np.minimum(at, len(wanted) - 1)] == h]] += 1
@@ -317,14 +317,14 @@ def classified(docs: DataFrame, doc_id: str, text: str, similar: float) -> DataF
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = per_worker(("sampler",), Sampler)
-        for batch in batches:
+        for batch in whole_texts(batches):
             keys = np.concatenate([np.zeros(0, np.int64), *[sampler.keys(*weigh(doc, table)) for doc in shingled(batch.column(3))]])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["id", "t1", "t2", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = known.select(F.col(f"`{doc_id}`").alias("id"), *hashed(body), lowered(body).alias("text"))
-    signed = saved(rows.mapInArrow(sign, f"id {kind}, t1 long, t2 long, keys array<long>"))
+    signed = saved(in_pieces(rows).mapInArrow(sign, f"id {kind}, t1 long, t2 long, keys array<long>"))
     nodes = signed.groupBy("t1", "t2").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
     nodes = saved(nodes.orderBy("first", "t1", "t2").withColumn("node", F.monotonically_increasing_id()))
     buckets = saved(nodes.select(F.explode("keys").alias("key"), "node"))

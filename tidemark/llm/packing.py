@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import json
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import per_worker
+from tidemark.llm.shared import in_pieces, per_worker, whole_texts
 
 #: Tokens of a sequence, id that ends a document, attention cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LENGTH, END, LINEAR, QUADRATIC = 2048, 1, 1.0, 1.0 / 1024
@@ -30,16 +33,22 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, file = path, json.loads(Path(path).read_text("utf-8"))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.added}
+        self.added = [t["content"] for t in file["added_tokens"]]
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in file["model"]["vocab"].items() if token not in self.added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, which takes as much memory again; few workers meet a text for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
         if any(a in text for a in self.added) or len(text) > self.LONG and max(map(len, text.split(" "))) > self.LONG:
@@ -134,7 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         tail = np.asarray([end], "<u4").tobytes()
         rows, held = [], 0
-        for batch in batches:
+        for batch in whole_texts(batches):
             key_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = coder.encode(text.as_py() or "") + tail
@@ -147,4 +156,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
             yield from pieces(left + rows, True)
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return in_pieces(rows).mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -6,9 +6,11 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ BROADCAST_ROWS = 100_000
 #: Folders of applications whose session names none.
 UNSET: dict[str, str] = {}
 
+#: Bytes of a piece of a text, of which Spark puts 10,000 in an Arrow batch.
+PIECE = 512
+
 #: ASCII white space, as Java and Python string literals write it.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -102,6 +107,51 @@ def per_worker(key: tuple, make: Callable):
     return store[key]
 
 
+def in_pieces(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of rows, then piece (int) and text (binary): a row for each PIECE bytes of a text, in order and within one task. A null text is empty; an empty one has one piece.
+
+    Spark ends an Arrow batch by its number of rows, so batches of whole texts take as much memory as their texts do, twice while they grow, in
+    the executor and in its Python workers; batches of pieces are bounded, and so are their cells. whole_texts() puts them together again.
+    """
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    # the array of one binds the bytes, else each piece would make them anew
+    cut = F.transform(F.array(raw), lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1)), F.lit(PIECE)), lambda i: F.substring(b, i, F.lit(PIECE))))
+    keys = [F.col(f"`{c}`") for c in rows.columns if c != text]
+    # outer: no filter on the pieces' number, which would cut each text twice
+    return rows.select(*keys, F.get(cut, F.lit(0)).alias("pieces")).select(*keys, F.posexplode_outer("pieces").alias("piece", "text"))
+
+
+def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of in_pieces() with the texts whole again: its other columns, then text (string)."""
+
+    def made(keys: list[pa.Array], at: np.ndarray, data: pa.Buffer | None) -> pa.RecordBatch:
+        text = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at, np.int32)), data if data is not None else pa.py_buffer(b""))
+        return pa.RecordBatch.from_arrays([*keys, text], [*names, "text"])
+
+    def joined() -> pa.RecordBatch:
+        data = b"".join(piece for part in held for piece in part.columns[-1].to_pylist())
+        return made(held[0].slice(0, 1).columns[:-2], np.array([0, len(data)]), pa.py_buffer(data))
+
+    held: list[pa.RecordBatch] = []  # the pieces of a text that may go on in the next batch
+    names: list[str] = []
+    for batch in batches:
+        names = batch.schema.names[:-2]
+        firsts = np.flatnonzero(batch.columns[-2].to_numpy() == 0)
+        if not len(firsts):
+            held.append(batch)
+            continue
+        if held:
+            held.append(batch.slice(0, firsts[0]))
+            yield joined()
+        if len(firsts) > 1:
+            pieces = batch.columns[-1]
+            ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :]
+            yield made([c.take(pa.array(firsts[:-1])) for c in batch.columns[:-2]], ends[firsts], pieces.buffers()[2])
+        held = [batch.slice(firsts[-1])]
+    if held:
+        yield joined()
+
+
 def cut_without_loss(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """df without the rows whose keys (null-safe) are in gone, a saved table: broadcast if a count shows it to be small, else by shuffle."""
     gone = small(gone.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct())
